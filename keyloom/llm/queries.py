@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality_rules, simhash, token_counts, url_filter, warc
+from . import chat, embedding_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_counts, url_filter, warc
 from .common import table
 
 
@@ -55,19 +55,49 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, token_counts.vocabulary_path("piece_bpe_32k.model"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and probability in the production mixture, and the draw."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.with_mix(docs, mixing.dimensions(), mixing.approximate_tokens(F.col("text")), mixing.PRODUCTION)
+    return mixed.select("doc_id", "source", "lang", mixing.text_form(F.col("text")).alias("topic"), mixing.approximate_tokens(F.col("text")).alias("n_tokens"), "mix_weight", "mix_probability", "mix_kept")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score by a model of the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.trained_model(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.with_scores(docs, model).select(
+        "doc_id", quality_classifier.held_out().alias("held_out"), "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, token_counts.vocabulary_path("word_bpe_49k.json"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and the one of control strings, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.format_conversations(turns.unionByName(chat.control_conversation(spark))))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding."""
+    return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
     "op4_url_filter": op4_url_filter,
     "op5_token_counts": op5_token_counts,
+    "op6_mixing": op6_mixing,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_packing": op8_packing,
     "op9_chat_format": op9_chat_format,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 
