@@ -131,6 +131,32 @@ def measures(text: Column) -> Column:
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
 
 
+def verdict(text: Column, limits: DivergenceLimits = DivergenceLimits()) -> Column:
+    """One struct of RESULTS of a text column.
+
+    All of it is one expression with its parts bound by ``let``, so that a filter on a field
+    doesn't make the optimizer repeat the measures for each place that they are used in.
+    """
+    word_refs = [(*(shares.get(v, 0.0) for v in VOCABULARY), 1.0 - sum(shares.values())) for shares in WORD_SHARES.values()]
+
+    def of(m: Column) -> Column:
+        n, w = m["n_chars"], m["w"]
+        classes = F.array(m["lower"], m["upper"], m["digit"], n - m["word_chars"], m["n_symbols"],
+                          m["word_chars"] - m["lower"] - m["upper"] - m["digit"] - m["n_symbols"])
+        words = F.concat(w["common"], F.array(w["n_words"] - w["n_common"]))
+        distances = F.struct(nearest(classes, n, list(CLASS_SHARES.values())).alias("c"), nearest(words, w["n_words"], word_refs).alias("w"))
+        failed = (w["n_words"] < 50) | (100 * w["n_repeat_words"] > 50 * w["n_words"])
+
+        def judged(d: Column) -> Column:
+            odd = ((n >= limits.min_chars) & (d["c"] > limits.class_distance)) | ((w["n_words"] >= limits.min_words) & (d["w"] > limits.word_distance))
+            columns = (w["n_words"], m["word_chars"], m["n_symbols"], m["n_dup_lines"], w["n_repeat_words"], failed, d["c"], d["w"], ~failed & ~F.coalesce(odd, F.lit(False)))
+            return F.struct(*[c.alias(name) for name, c in zip(RESULTS, columns, strict=True)])
+
+        return let(distances, judged)
+
+    return let(measures(text), of)
+
+
 def with_quality(docs: DataFrame, text_col: str = "text", limits: DivergenceLimits = DivergenceLimits(), prefix: str = "") -> DataFrame:
     """Add the columns of RESULTS, with ``prefix``, to ``docs``.
 
@@ -141,24 +167,10 @@ def with_quality(docs: DataFrame, text_col: str = "text", limits: DivergenceLimi
     verdicts, an empty table stays empty. Other columns pass through; give a ``prefix`` where
     their names are taken.
     """
-    m = F.col("__keyloom_m")
-    base = docs.withColumn("__keyloom_m", measures(F.col(text_col)))
-    n, w = m["n_chars"], m["w"]
-    classes = F.array(m["lower"], m["upper"], m["digit"], n - m["word_chars"], m["n_symbols"],
-                      n - m["lower"] - m["upper"] - m["digit"] - (n - m["word_chars"]) - m["n_symbols"])
-    words = F.concat(w["common"], F.array(w["n_words"] - w["n_common"]))
-    word_refs = [(*(shares.get(v, 0.0) for v in VOCABULARY), 1.0 - sum(shares.values())) for shares in WORD_SHARES.values()]
-    failed = (w["n_words"] < 50) | (100 * w["n_repeat_words"] > 50 * w["n_words"])
-    far_class = nearest(classes, n, list(CLASS_SHARES.values()))
-    far_words = nearest(words, w["n_words"], word_refs)
-    out = base.withColumn("__keyloom_d", F.struct(far_class.alias("c"), far_words.alias("w")))
-    d = F.col("__keyloom_d")
-    odd = ((n >= limits.min_chars) & (d["c"] > limits.class_distance)) | ((w["n_words"] >= limits.min_words) & (d["w"] > limits.word_distance))
-    columns = (w["n_words"], m["word_chars"], m["n_symbols"], m["n_dup_lines"], w["n_repeat_words"], failed, d["c"], d["w"], ~failed & ~F.coalesce(odd, F.lit(False)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(prefix + name) for name, c in zip(RESULTS, columns, strict=True)])
+    out = docs.withColumn("__keyloom_v", verdict(F.col(text_col), limits))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col("__keyloom_v")[name].alias(prefix + name) for name in RESULTS])
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", limits: DivergenceLimits = DivergenceLimits()) -> DataFrame:
     """The rows that ``with_quality`` keeps, with the columns of ``docs``."""
-    p = "__keyloom_q_"
-    return with_quality(docs, text_col, limits, p).where(F.col(p + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(verdict(F.col(text_col), limits)["kept"])
