@@ -1,4 +1,753 @@
-"""The registered queries over the state tables, each with its SQL for DuckDB."""
+"""The registered queries over the state tables, each with its SQL for DuckDB.
 
-QUERIES: dict = {}
+Every query asks its question of whole tables. ``{strings}`` and the like in the SQL stand for
+the state tables of ``sources.state``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keyloom.functions.keys import parse_double, parse_int, shard_of
+from keyloom.operators import commands, generic, hashes, lists, metrics, sets, sketches, strings, vectors, zsets
+from keyloom.plans import fold
+from keyloom.sources import state
+from keyloom.sources.state import NOW_MS, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            text = sql
+            for name, own in state.SQL.items():
+                text = text.replace("{" + name + "}", f"({own})")
+            ORACLE_SQL[f.__name__] = text.replace("{now}", str(NOW_MS)).replace("{live}", f"(SELECT * FROM ({state.SQL['strings']}) WHERE deadline_ms IS NULL OR deadline_ms > {NOW_MS})")
+        return f
+
+    return register
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    """Requests: the customer of each order, and customers that don't exist."""
+    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("customer:"), F.col("o_custkey") * 2 - 50).alias("key"))
+
+
+_ORDERS = "(SELECT o_orderkey, 'customer:' || (o_custkey * 2 - 50) AS key FROM orders)"
+
+
+# ---- strings
+
+@query(f"SELECT o_orderkey, r.key, s.value FROM {_ORDERS} r LEFT JOIN {{live}} s USING (key)")
+def get_point(spark, d):
+    return strings.get(_orders(spark, d), state.strings(spark, d), NOW_MS).select("o_orderkey", "key", "value")
+
+
+@query("""SELECT o_custkey * 100 + pos AS slot, 'customer:' || (o_custkey + pos * 700) AS key, s.value
+FROM (SELECT DISTINCT o_custkey FROM orders), (SELECT unnest([0, 1, 2]) AS pos) LEFT JOIN {live} s ON s.key = 'customer:' || (o_custkey + pos * 700)""")
+def mget_ordered(spark, d):
+    asked = table(spark, d, "orders").select("o_custkey").distinct().select("o_custkey", F.posexplode(F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: F.concat(F.lit("customer:"), F.col("o_custkey") + i * 700))).alias("pos", "key"))
+    return strings.get(asked, state.strings(spark, d), NOW_MS).select((F.col("o_custkey") * 100 + F.col("pos")).alias("slot"), "key", "value")
+
+
+@query(f"SELECT count(*)::BIGINT AS n FROM {_ORDERS} r WHERE r.key IN (SELECT key FROM {{live}})")
+def exists_count(spark, d):
+    return generic.exists(_orders(spark, d), state.strings(spark, d), NOW_MS).agg(F.count("*").alias("n"))
+
+
+@query("SELECT key, arg_max(props, seq) AS value FROM {log} GROUP BY key")
+def set_lww(spark, d):
+    return strings.set_last(state.events(spark, d).select("seq", "key", F.col("props").alias("value")))
+
+
+_WRITES = "(SELECT seq, ts_ms, 'customer:' || (seq % 2000) AS key, props AS value FROM {log})"
+
+
+def _writes(spark, d):
+    e = state.events(spark, d)
+    return e.select("seq", "ts_ms", F.concat(F.lit("customer:"), F.col("seq") % 2000).alias("key"), F.col("props").alias("value"))
+
+
+@query(f"SELECT key, arg_min(value, seq) AS value FROM {_WRITES} WHERE key NOT IN (SELECT key FROM {{live}}) GROUP BY key")
+def setnx_first(spark, d):
+    return strings.set_absent(_writes(spark, d), state.strings(spark, d), NOW_MS)
+
+
+@query(f"SELECT key, arg_max(value, seq) AS value FROM {_WRITES} WHERE key IN (SELECT key FROM {{live}}) GROUP BY key")
+def set_xx(spark, d):
+    return strings.set_present(_writes(spark, d), state.strings(spark, d), NOW_MS)
+
+
+@query(f"SELECT key, arg_max(value, seq) AS value, (arg_max(ts_ms, seq) + 90000)::BIGINT AS deadline_ms FROM {_WRITES} GROUP BY key")
+def setex_deadline(spark, d):
+    return strings.set_expiring(_writes(spark, d), 90_000)
+
+
+_KEEP = f"""SELECT coalesce(s.key, w.key) AS key, coalesce(w.value, s.value) AS value, {{deadline}} AS deadline_ms
+FROM {{strings}} s FULL JOIN (SELECT key, arg_max(value, seq) AS value FROM {_WRITES} GROUP BY key) w ON s.key = w.key"""
+
+
+@query(_KEEP.replace("{deadline}", "deadline_ms"))
+def set_keepttl(spark, d):
+    return strings.set_keeping_ttl(_writes(spark, d), state.strings(spark, d), True)
+
+
+@query(_KEEP.replace("{deadline}", "CASE WHEN w.value IS NULL THEN deadline_ms END"))
+def set_clears_ttl(spark, d):
+    return strings.set_keeping_ttl(_writes(spark, d), state.strings(spark, d), False)
+
+
+@query("SELECT seq, key, props AS value, lag(props) OVER (PARTITION BY key ORDER BY seq) AS previous FROM {log}")
+def getset_prev(spark, d):
+    return strings.get_set(state.events(spark, d).select("seq", "key", F.col("props").alias("value")))
+
+
+@query("SELECT key, string_agg(kind, '' ORDER BY seq) AS value, strlen(string_agg(kind, '' ORDER BY seq))::BIGINT AS n_bytes FROM {log} GROUP BY key")
+def append_concat(spark, d):
+    return strings.append(state.events(spark, d).select("seq", "key", F.col("kind").alias("value")))
+
+
+@query("SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes FROM documents")
+def strlen_bytes(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
+
+
+@query(f"SELECT o_orderkey, r.key, coalesce(strlen(s.value), 0)::BIGINT AS n_bytes FROM {_ORDERS} r LEFT JOIN {{live}} s USING (key)")
+def strlen_lookup(spark, d):
+    return strings.strlen(_orders(spark, d), state.strings(spark, d), NOW_MS).select("o_orderkey", "key", "n_bytes")
+
+
+@query("SELECT p_partkey, substr(p_name, 3, 6) AS head, substr(p_name, greatest(length(p_name) - 4, 1)) AS tail FROM part")
+def getrange_slice(spark, d):
+    return table(spark, d, "part").select("p_partkey", strings.byte_range(F.col("p_name"), 2, 7).cast("string").alias("head"), strings.byte_range(F.col("p_name"), -5, -1).cast("string").alias("tail"))
+
+
+@query("""SELECT p_partkey, substr(p_name, 1, 2) || 'XYZ' || substr(p_name, 6) AS patched,
+hex(encode(p_name)) || repeat('00', greatest(40 - length(p_name), 0)::INTEGER) || hex(encode('!')) AS padded FROM part""")
+def setrange_patch(spark, d):
+    name = F.col("p_name")
+    return table(spark, d, "part").select("p_partkey", strings.set_range(name, 2, "XYZ").cast("string").alias("patched"), F.hex(strings.set_range(name, 40, "!")).alias("padded"))
+
+
+@query("SELECT key, count(*)::BIGINT AS total FROM {log} GROUP BY key")
+def incr_total(spark, d):
+    return strings.increase(state.events(spark, d), F.lit(1))
+
+
+@query("SELECT key, (-sum(seq % 7))::BIGINT AS total FROM {log} GROUP BY key")
+def decrby_total(spark, d):
+    return strings.increase(state.events(spark, d), -(F.col("seq") % 7))
+
+
+@query("SELECT seq, key, (sum(seq % 11) OVER (PARTITION BY key ORDER BY seq))::BIGINT AS running FROM {log}")
+def incrby_running(spark, d):
+    return strings.running(state.events(spark, d), F.col("seq") % 11).select("seq", "key", "running")
+
+
+@query("SELECT key, round(sum(value), 4) AS total FROM {log} GROUP BY key")
+def incrbyfloat_total(spark, d):
+    return strings.increase(state.events(spark, d), F.col("value")).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT key, CASE WHEN abs(sum(seq::HUGEINT * 100000000000000)) <= 9223372036854775807 THEN sum(seq::HUGEINT * 100000000000000)::BIGINT END AS total FROM {log} GROUP BY key")
+def incrby_overflow(spark, d):
+    return strings.increase_checked(state.events(spark, d), F.col("seq") * 100_000_000_000_000)
+
+
+@query("""SELECT event_id, CASE WHEN regexp_matches(t, '^-?[0-9]+$') THEN try_cast(t AS BIGINT) END AS as_int
+FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '+' ELSE '' END || event_id || CASE event_id % 3 WHEN 0 THEN ' ' ELSE '' END AS t FROM events)""")
+def parse_integers(spark, d):
+    i = F.col("event_id")
+    text = F.concat(F.when(i % 4 == 0, "+").otherwise(""), i.cast("string"), F.when(i % 3 == 0, " ").otherwise(""))
+    return table(spark, d, "events").select("event_id", parse_int(text).alias("as_int"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'infinity'::DOUBLE WHEN event_id % 5 = 1 THEN NULL ELSE value END AS as_double FROM events")
+def parse_doubles(spark, d):
+    i = F.col("event_id")
+    text = F.when(i % 5 == 0, F.lit("+inf")).when(i % 5 == 1, F.lit(" 1.5")).otherwise(F.col("value").cast("string"))
+    return table(spark, d, "events").select("event_id", parse_double(text).alias("as_double"))
+
+
+# ---- keyspace
+
+@query(f"SELECT key, value FROM {{live}} WHERE key NOT IN (SELECT key FROM {_ORDERS})")
+def del_antijoin(spark, d):
+    return generic.delete(state.strings(spark, d), _orders(spark, d), NOW_MS).select("key", "value")
+
+
+@query(f"SELECT count(*)::BIGINT AS n_removed FROM {{live}} WHERE key IN (SELECT key FROM {_ORDERS})")
+def unlink_count(spark, d):
+    return generic.deleted(state.strings(spark, d), _orders(spark, d), NOW_MS).agg(F.count("*").alias("n_removed"))
+
+
+@query(f"SELECT o_orderkey, r.key FROM {_ORDERS} r WHERE r.key IN (SELECT key FROM {{live}})")
+def touch(spark, d):
+    return generic.exists(_orders(spark, d), state.strings(spark, d), NOW_MS).select("o_orderkey", "key")
+
+
+_TTL = "(SELECT 'customer:' || o_custkey AS key, max(o_orderkey % 5000 - 500) AS ttl_ms FROM orders GROUP BY ALL)"
+
+
+@query(f"SELECT s.key, s.value, CASE WHEN t.ttl_ms IS NOT NULL THEN {{now}} + greatest(t.ttl_ms, 0) ELSE deadline_ms END::BIGINT AS deadline_ms FROM {{live}} s LEFT JOIN {_TTL} t USING (key)")
+def pexpire(spark, d):
+    asked = table(spark, d, "orders").select(F.concat(F.lit("customer:"), "o_custkey").alias("key"), (F.col("o_orderkey") % 5000 - 500).alias("ttl_ms"))
+    return generic.expire(state.strings(spark, d), asked, NOW_MS)
+
+
+@query("SELECT s.key, s.value, coalesce(greatest(t.at_s, 0) * 1000, deadline_ms)::BIGINT AS deadline_ms FROM {live} s LEFT JOIN (SELECT 'customer:' || o_custkey AS key, max(epoch_us(o_orderdate) // 1000000) AS at_s FROM orders GROUP BY ALL) t USING (key)")
+def expireat(spark, d):
+    asked = table(spark, d, "orders").select(F.concat(F.lit("customer:"), "o_custkey").alias("key"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("at_s"))
+    return generic.expire_at(state.strings(spark, d), asked, NOW_MS)
+
+
+@query(f"""SELECT o_orderkey, r.key, CASE WHEN s.key IS NULL THEN -2 WHEN deadline_ms IS NULL THEN -1 ELSE (deadline_ms - {{now}} + 999) // 1000 END::BIGINT AS ttl_s,
+CASE WHEN s.key IS NULL THEN -2 WHEN deadline_ms IS NULL THEN -1 ELSE deadline_ms - {{now}} END::BIGINT AS ttl_ms FROM {_ORDERS} r LEFT JOIN {{live}} s USING (key)""")
+def expire_ttl(spark, d):
+    return generic.ttl(_orders(spark, d), state.strings(spark, d), NOW_MS).select("o_orderkey", "key", "ttl_s", "ttl_ms")
+
+
+@query(f"""SELECT s.key, s.value, CASE WHEN a.key IS NULL THEN deadline_ms END AS deadline_ms, a.key IS NOT NULL AND deadline_ms IS NOT NULL AS persisted
+FROM {{live}} s LEFT JOIN (SELECT DISTINCT key FROM {_ORDERS}) a USING (key)""")
+def persist(spark, d):
+    return generic.persist(state.strings(spark, d), _orders(spark, d), NOW_MS)
+
+
+@query("SELECT key, value, deadline_ms FROM {live}")
+def live_keys(spark, d):
+    from keyloom.functions.keys import live
+
+    return live(state.strings(spark, d), NOW_MS)
+
+
+@query("SELECT key, deadline_ms FROM {strings} WHERE deadline_ms <= {now}")
+def expire_cycle(spark, d):
+    return generic.active_expire(state.strings(spark, d), NOW_MS)
+
+
+def _keys(spark, d):
+    return generic.keys_of(string=state.strings(spark, d), hash=state.hashes(spark, d), list=state.lists(spark, d), set=state.sets(spark, d), zset=state.zsets(spark, d))
+
+
+_KEYS = "(" + " UNION ALL ".join(f"SELECT DISTINCT key, '{t}' AS type FROM {{{n}}}" for t, n in (("string", "strings"), ("hash", "hashes"), ("list", "lists"), ("set", "sets"), ("zset", "zsets"))) + ")"
+
+
+@query(f"SELECT type, count(*)::BIGINT AS n FROM {_KEYS} GROUP BY type")
+def type_census(spark, d):
+    return _keys(spark, d).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT o_orderkey, r.key, coalesce(k.type, 'none') AS type FROM {_ORDERS} r LEFT JOIN {_KEYS} k USING (key)")
+def type_lookup(spark, d):
+    return generic.type_of(_orders(spark, d), _keys(spark, d)).select("o_orderkey", "key", "type")
+
+
+@query(f"SELECT key, CASE type WHEN 'string' THEN 'embstr' WHEN 'list' THEN 'quicklist' WHEN 'zset' THEN 'skiplist' ELSE 'hashtable' END AS encoding FROM {_KEYS}")
+def object_encoding(spark, d):
+    keyed = _keys(spark, d).join(state.strings(spark, d).select("key", "value"), "key", "left")
+    return keyed.select("key", generic.encoding(F.col("type"), F.col("value")).alias("encoding"))
+
+
+@query(f"SELECT count(*)::BIGINT AS n FROM {_KEYS}")
+def dbsize(spark, d):
+    return _keys(spark, d).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT key FROM {_KEYS} WHERE regexp_matches(key, '^c[^a-t].*:1[0-5].?$')")
+def keys_glob(spark, d):
+    return generic.scan(_keys(spark, d), "c[^a-t]*:1[0-5]?").unionByName(generic.scan(_keys(spark, d), "c[!a-t]*:1[0-5]")).select("key")
+
+
+@query(f"SELECT key, type FROM {_KEYS} WHERE key LIKE 'cust:1%' AND type = 'set'")
+def scan_match_type(spark, d):
+    return generic.scan(_keys(spark, d), "cust:1*", "set").select("key", "type")
+
+
+@query(f"SELECT key, type FROM {_KEYS} WHERE key > 'cust' ORDER BY key LIMIT 20")
+def scan_page(spark, d):
+    return generic.page(_keys(spark, d), "cust", 20)
+
+
+@query(f"SELECT key, type FROM {_KEYS} ORDER BY md5(key), key LIMIT 1")
+def randomkey(spark, d):
+    return generic.random_key(_keys(spark, d))
+
+
+@query("""WITH moved AS (SELECT 'customer:' || (substr(key, 10)::BIGINT + 500) AS key, value, deadline_ms FROM {strings} WHERE substr(key, 10)::BIGINT % 10 = 0)
+SELECT key, value, deadline_ms FROM moved UNION ALL SELECT key, value, deadline_ms FROM {strings} WHERE substr(key, 10)::BIGINT % 10 <> 0 AND key NOT IN (SELECT key FROM moved)""")
+def rename(spark, d):
+    number = F.substring("key", 10, 20).cast("bigint")
+    return generic.rename(state.strings(spark, d), number % 10 == 0, F.concat(F.lit("customer:"), number + 500))
+
+
+# ---- hashes
+
+@query("SELECT key, field, value FROM {hashes}")
+def hset_lww(spark, d):
+    return hashes.set_fields(state.events(spark, d).select("seq", "key", F.col("kind").alias("field"), F.col("props").alias("value")))
+
+
+_FIELDS = "(SELECT event_id, 'user:' || (user_id + event_id % 3) AS key, event_type AS field FROM events)"
+
+
+def _fields(spark, d):
+    return table(spark, d, "events").select("event_id", F.concat(F.lit("user:"), F.col("user_id") + F.col("event_id") % 3).alias("key"), F.col("event_type").alias("field"))
+
+
+@query(f"SELECT event_id, r.key, r.field, h.value FROM {_FIELDS} r LEFT JOIN {{hashes}} h USING (key, field)")
+def hget(spark, d):
+    return hashes.get_fields(_fields(spark, d), state.hashes(spark, d)).select("event_id", "key", "field", "value")
+
+
+@query("""SELECT u.key, f.pos, f.field, h.value FROM (SELECT DISTINCT key FROM {hashes}) u, (SELECT unnest([0, 1, 2]) AS pos, unnest(['click', 'nope', 'view']) AS field) f
+LEFT JOIN {hashes} h ON h.key = u.key AND h.field = f.field""")
+def hmget(spark, d):
+    h = state.hashes(spark, d)
+    asked = h.select("key").distinct().select("key", F.posexplode(F.array(F.lit("click"), F.lit("nope"), F.lit("view"))).alias("pos", "field"))
+    return hashes.get_fields(asked, h).select("key", "pos", "field", "value")
+
+
+@query(f"SELECT event_id, r.key, r.field, h.key IS NOT NULL AS found FROM {_FIELDS} r LEFT JOIN {{hashes}} h USING (key, field)")
+def hexists(spark, d):
+    return hashes.has_field(_fields(spark, d), state.hashes(spark, d)).select("event_id", "key", "field", "found")
+
+
+@query("SELECT key, list(field ORDER BY field) AS fields, list(value ORDER BY field) AS values, count(*)::BIGINT AS n_fields FROM {hashes} GROUP BY key")
+def hgetall(spark, d):
+    return hashes.get_all(state.hashes(spark, d))
+
+
+@query("SELECT key, list(field ORDER BY field) AS fields FROM {hashes} GROUP BY key")
+def hkeys(spark, d):
+    return hashes.get_all(state.hashes(spark, d)).select("key", "fields")
+
+
+@query("SELECT key, list(value ORDER BY field) AS values FROM {hashes} GROUP BY key")
+def hvals(spark, d):
+    return hashes.get_all(state.hashes(spark, d)).select("key", "values")
+
+
+@query("SELECT key, count(*)::BIGINT AS n_fields FROM {hashes} GROUP BY key")
+def hlen(spark, d):
+    return state.hashes(spark, d).groupBy("key").agg(F.count("*").alias("n_fields"))
+
+
+@query("SELECT key, field, value FROM {hashes} WHERE field <> 'click'")
+def hdel(spark, d):
+    h = state.hashes(spark, d)
+    return hashes.delete_fields(h, h.where("field = 'click'").select("key", "field"))
+
+
+@query("SELECT key, kind AS field, sum(seq % 13)::BIGINT AS total FROM {log} GROUP BY ALL")
+def hincrby(spark, d):
+    return hashes.increase(state.events(spark, d).withColumnRenamed("kind", "field"), F.col("seq") % 13)
+
+
+# ---- lists
+
+@query("SELECT key, (row_number() OVER (PARTITION BY key ORDER BY seq) - 1)::BIGINT AS pos, kind AS value FROM {log}")
+def rpush_list(spark, d):
+    return lists.push(state.events(spark, d).select("seq", "key", F.col("kind").alias("value")))
+
+
+@query("SELECT key, (row_number() OVER (PARTITION BY key ORDER BY seq DESC) - 1)::BIGINT AS pos, kind AS value FROM {log}")
+def lpush_list(spark, d):
+    return lists.push(state.events(spark, d).select("seq", "key", F.col("kind").alias("value")), left=True)
+
+
+_PLACED = "(SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) - 1 AS place, count(*) OVER (PARTITION BY key) AS n FROM {lists})"
+
+
+@query("SELECT key, count(*)::BIGINT AS length FROM {lists} GROUP BY key")
+def llen(spark, d):
+    return lists.length(state.lists(spark, d))
+
+
+@query(f"SELECT key, place, value FROM {_PLACED} WHERE place BETWEEN 1 AND 3")
+def lrange_front(spark, d):
+    return lists.slices(state.lists(spark, d), 1, 3)
+
+
+@query(f"SELECT key, place, value FROM {_PLACED} WHERE place >= greatest(n - 3, 0)")
+def lrange_back(spark, d):
+    return lists.slices(state.lists(spark, d), -3, -1)
+
+
+@query("SELECT key, max(CASE WHEN place = 2 THEN value END) AS third FROM " + _PLACED + " GROUP BY key")
+def lindex(spark, d):
+    return lists.element(state.lists(spark, d), 2).withColumnRenamed("value", "third")
+
+
+@query("SELECT key, arg_max(value, pos) AS last FROM {lists} GROUP BY key")
+def lindex_last(spark, d):
+    return lists.element(state.lists(spark, d), -1).withColumnRenamed("value", "last")
+
+
+@query(f"SELECT key, pos, CASE WHEN place = n - 2 THEN 'changed' ELSE value END AS value FROM {_PLACED}")
+def lset(spark, d):
+    return lists.set_element(state.lists(spark, d), -2, "changed")
+
+
+@query(f"SELECT key, place, value FROM {_PLACED} WHERE place < 2")
+def lpop_n(spark, d):
+    return lists.pop(state.lists(spark, d), 2)[0]
+
+
+@query(f"SELECT key, (n - 1 - place)::BIGINT AS place, value FROM {_PLACED} WHERE place >= n - 2")
+def rpop_n(spark, d):
+    return lists.pop(state.lists(spark, d), 2, left=False)[0]
+
+
+@query(f"SELECT key, pos, value FROM {_PLACED} WHERE place >= 2")
+def lpop_rest(spark, d):
+    return lists.pop(state.lists(spark, d), 2)[1]
+
+
+# ---- sets
+
+@query("SELECT key, member FROM {sets}")
+def sadd(spark, d):
+    return sets.add(table(spark, d, "orders").select(F.concat(F.lit("cust:"), "o_custkey").alias("key"), F.col("o_orderpriority").alias("member")))
+
+
+@query("SELECT key, count(*)::BIGINT AS n_added FROM (SELECT DISTINCT 'cust:' || o_custkey AS key, o_orderstatus AS member FROM orders) GROUP BY key")
+def sadd_count(spark, d):
+    log = table(spark, d, "orders").select(F.concat(F.lit("cust:"), "o_custkey").alias("key"), F.col("o_orderstatus").alias("member"))
+    return sets.added(log, state.sets(spark, d))
+
+
+@query("SELECT key, count(*)::BIGINT AS n_members FROM {sets} GROUP BY key")
+def scard(spark, d):
+    return sets.cardinality(state.sets(spark, d))
+
+
+_MEMBERS = "(SELECT o_orderkey, 'cust:' || (o_custkey + 1) AS key, o_orderpriority AS member FROM orders)"
+
+
+def _members(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("cust:"), F.col("o_custkey") + 1).alias("key"), F.col("o_orderpriority").alias("member"))
+
+
+@query(f"SELECT o_orderkey, r.key, r.member, s.key IS NOT NULL AS found FROM {_MEMBERS} r LEFT JOIN {{sets}} s USING (key, member)")
+def sismember(spark, d):
+    return sets.is_member(_members(spark, d), state.sets(spark, d)).select("o_orderkey", "key", "member", "found")
+
+
+@query("SELECT key, list(member ORDER BY member) AS members FROM {sets} GROUP BY key")
+def smembers(spark, d):
+    return sets.members(state.sets(spark, d))
+
+
+@query(f"SELECT key, member FROM {{sets}} s ANTI JOIN {_MEMBERS} r USING (key, member)")
+def srem(spark, d):
+    return sets.remove(state.sets(spark, d), _members(spark, d))
+
+
+@query("SELECT key, member FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(member), member) AS rn FROM {sets}) WHERE rn <= 2")
+def spop_n(spark, d):
+    return sets.pop(state.sets(spark, d), 2)
+
+
+# ---- scored sets
+
+@query("SELECT c_mktsegment AS key, CAST(rn - 1 AS BIGINT) AS rank, c_name AS member, c_acctbal AS score FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_name) AS rn FROM customer) WHERE rn <= 10")
+def zrange_top10(spark, d):
+    return zsets.by_rank(state.zsets(spark, d), 0, 9)
+
+
+_RANKED = "(SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, member) - 1 AS place, row_number() OVER (PARTITION BY key ORDER BY score DESC, member DESC) - 1 AS back FROM {zsets})"
+
+
+@query(f"SELECT key, back AS rank, member, score FROM {_RANKED} WHERE back BETWEEN 2 AND 6")
+def zrange_rev(spark, d):
+    return zsets.by_rank(state.zsets(spark, d), 2, 6, reverse=True)
+
+
+@query(f"SELECT key, place AS rank, member, score FROM {_RANKED} WHERE back < 3")
+def zrange_last(spark, d):
+    return zsets.by_rank(state.zsets(spark, d), -3, -1)
+
+
+@query(f"SELECT key, member, place AS rank FROM {_RANKED}")
+def zrank(spark, d):
+    return zsets.rank(state.zsets(spark, d))
+
+
+@query("SELECT key, count(*)::BIGINT AS n_members FROM {zsets} GROUP BY key")
+def zcard(spark, d):
+    return zsets.cardinality(state.zsets(spark, d))
+
+
+@query("SELECT o_orderkey, r.key, r.member, z.score FROM (SELECT o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS key, c_name AS member FROM orders JOIN customer ON c_custkey = o_custkey) r LEFT JOIN {zsets} z USING (key, member)")
+def zscore(spark, d):
+    names = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("member"))
+    asked = table(spark, d, "orders").join(names, "o_custkey").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("key"), "member")
+    return zsets.score(asked, state.zsets(spark, d)).select("o_orderkey", "key", "member", "score")
+
+
+@query("SELECT key, member, score FROM {zsets} WHERE member NOT IN (SELECT c_name FROM customer JOIN orders ON o_custkey = c_custkey)")
+def zrem(spark, d):
+    buyers = table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    return zsets.remove(state.zsets(spark, d), buyers.select(F.col("c_mktsegment").alias("key"), F.col("c_name").alias("member")))
+
+
+@query("SELECT key, member, score FROM {zsets} WHERE score BETWEEN 0 AND 1000")
+def zrangebyscore(spark, d):
+    return zsets.by_score(state.zsets(spark, d), "0", "1000")
+
+
+@query("SELECT key, member, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, member) AS rn FROM {zsets} WHERE score > 100) WHERE rn BETWEEN 4 AND 8")
+def zrangebyscore_excl_limit(spark, d):
+    return zsets.by_score(state.zsets(spark, d), "(100", "+inf", 3, 5)
+
+
+_SCORES = "(SELECT seq, 'board:' || kind AS key, key AS member, value AS score FROM {log})"
+_HALF = "(SELECT 'board:' || kind AS key, key AS member, max(value) AS score FROM {log} WHERE seq % 2 = 0 GROUP BY ALL)"
+
+
+def _scores(spark, d):
+    return state.events(spark, d).select("seq", F.concat(F.lit("board:"), "kind").alias("key"), F.col("key").alias("member"), F.col("value").alias("score"))
+
+
+def _board(spark, d):
+    return zsets.add(_scores(spark, d).where("seq % 2 = 0"), "gt")
+
+
+@query(f"SELECT key, member, arg_max(score, seq) AS score FROM {_SCORES} GROUP BY ALL")
+def zadd_plain(spark, d):
+    return zsets.add(_scores(spark, d))
+
+
+@query(f"SELECT key, member, max(score) AS score FROM {_SCORES} GROUP BY ALL")
+def zadd_gt(spark, d):
+    return zsets.add(_scores(spark, d), "gt")
+
+
+@query(f"SELECT key, member, min(score) AS score FROM {_SCORES} GROUP BY ALL")
+def zadd_lt(spark, d):
+    return zsets.add(_scores(spark, d), "lt")
+
+
+@query(f"SELECT key, member, score FROM {_HALF} UNION ALL SELECT key, member, arg_min(score, seq) FROM {_SCORES} s ANTI JOIN {_HALF} h USING (key, member) GROUP BY ALL")
+def zadd_nx(spark, d):
+    return zsets.add(_scores(spark, d), "nx", _board(spark, d))
+
+
+@query(f"SELECT h.key, h.member, coalesce(n.score, h.score) AS score FROM {_HALF} h LEFT JOIN (SELECT key, member, arg_max(score, seq) AS score FROM {_SCORES} WHERE seq % 3 = 0 GROUP BY ALL) n USING (key, member)")
+def zadd_xx(spark, d):
+    return zsets.add(_scores(spark, d).where("seq % 3 = 0"), "xx", _board(spark, d))
+
+
+@query(f"SELECT n.key, count(*)::BIGINT AS n_changed FROM (SELECT key, member, arg_max(score, seq) AS score FROM {_SCORES} GROUP BY ALL) n LEFT JOIN {_HALF} h USING (key, member) WHERE h.score IS NULL OR h.score <> n.score GROUP BY n.key")
+def zadd_ch(spark, d):
+    return zsets.changed(_scores(spark, d), _board(spark, d))
+
+
+@query(f"SELECT key, member, round(sum(score), 4) AS score FROM {_SCORES} GROUP BY ALL")
+def zincrby(spark, d):
+    return zsets.add(_scores(spark, d), "incr").withColumn("score", F.round("score", 4))
+
+
+# ---- sketches
+
+_REGISTERS = """(SELECT key, (h & 16383)::INTEGER AS idx, max(CASE WHEN h >> 14 = 0 THEN 47 ELSE length(bin(h >> 14)) - length(rtrim(bin(h >> 14), '0')) + 1 END)::INTEGER AS reg
+FROM (SELECT event_type AS key, ('0x' || substr(md5(user_id::VARCHAR), 1, 15))::BIGINT AS h FROM events) GROUP BY ALL)"""
+_COUNT = """SELECT key, floor(CASE WHEN raw <= 40960 AND zeros > 0 THEN 16384 * ln(16384 / zeros) ELSE raw END + 0.5)::BIGINT AS estimate
+FROM (SELECT key, 16384.0::DOUBLE - count(*) AS zeros, (0.7213 / (1 + 1.079 / 16384.0::DOUBLE)) * 16384.0 * 16384.0 / (sum(pow(2.0, -reg)) + 16384.0::DOUBLE - count(*)) AS raw FROM {r} GROUP BY key)"""
+
+
+def _registers(spark, d):
+    return sketches.add(table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").alias("element")))
+
+
+@query(f"SELECT key, idx, reg FROM {_REGISTERS}")
+def pfadd_registers(spark, d):
+    return _registers(spark, d)
+
+
+@query(_COUNT.replace("{r}", _REGISTERS))
+def pfcount(spark, d):
+    return sketches.count(_registers(spark, d))
+
+
+@query(f"SELECT 'all' AS key, idx, max(reg)::INTEGER AS reg FROM {_REGISTERS} GROUP BY idx")
+def pfmerge(spark, d):
+    return sketches.merge(_registers(spark, d), "all")
+
+
+@query(_COUNT.replace("{r}", f"(SELECT 'all' AS key, idx, max(reg) AS reg FROM {_REGISTERS} GROUP BY idx)"))
+def pfcount_union(spark, d):
+    return sketches.count(sketches.merge(_registers(spark, d), "all"))
+
+
+# ---- vectors
+
+@query("SELECT key, count(*)::BIGINT AS n_vectors FROM {vectors} GROUP BY key")
+def vcard(spark, d):
+    return vectors.cardinality(state.vectors(spark, d))
+
+
+@query("SELECT label % 100 AS label, arg_max(label, label)::BIGINT AS source FROM {vectors} GROUP BY ALL")
+def vadd_latest(spark, d):
+    v = state.vectors(spark, d)
+    log = v.select(F.lit("all").alias("key"), F.col("label").alias("seq"), (F.col("label") % 100).alias("label"), F.array(F.col("label")).alias("vec"))
+    return vectors.add_last(log).select("label", F.col("vec")[0].alias("source"))
+
+
+def _questions(spark, d):
+    """A stated set of queries: the first vectors of the table."""
+    return state.vectors(spark, d).where("label < 5").select(F.col("label").alias("query"), "vec")
+
+
+_NEAREST = """SELECT query, rank, label, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, label) AS rank FROM (
+SELECT q.label AS query, v.label, round({m}, 6) AS score FROM {vectors} v, {vectors} q WHERE q.label < 5 {and})) WHERE rank <= 10"""
+
+
+@query(_NEAREST.replace("{m}", "list_cosine_similarity(v.vec::DOUBLE[], q.vec::DOUBLE[])").replace("{and}", ""))
+def vsim_cosine(spark, d):
+    return vectors.search(state.vectors(spark, d), _questions(spark, d), 10)
+
+
+@query(_NEAREST.replace("{m}", "-list_distance(v.vec::DOUBLE[], q.vec::DOUBLE[])").replace("{and}", ""))
+def vsim_l2(spark, d):
+    return vectors.search(state.vectors(spark, d), _questions(spark, d), 10, "l2")
+
+
+@query(_NEAREST.replace("{m}", "list_cosine_similarity(v.vec::DOUBLE[], q.vec::DOUBLE[])").replace("{and}", "AND v.key <> 'emb:3'"))
+def vrem_topk(spark, d):
+    v = state.vectors(spark, d)
+    return vectors.search(vectors.remove(v, v.where("key = 'emb:3'").select("key", "label")), _questions(spark, d), 10)
+
+
+# ---- metrics and introspection
+
+def _ops(spark, d):
+    return state.events(spark, d).withColumn("micros", F.abs("value") * 1000)
+
+
+_OPS = "(SELECT *, abs(value) * 1000 AS micros FROM {log})"
+_BUCKET = "(CASE WHEN micros < 1 THEN 0 ELSE least(511, floor(ln(micros) / (ln(6e7) / 512)) + 1) END)::INTEGER"
+
+
+@query(f"SELECT kind, bucket, n, (sum(n) OVER (PARTITION BY kind ORDER BY bucket))::BIGINT AS cumulative FROM (SELECT kind, {_BUCKET} AS bucket, count(*) AS n FROM {_OPS} GROUP BY ALL)")
+def latency_histogram(spark, d):
+    return metrics.histogram(_ops(spark, d), "kind")
+
+
+@query(f"""SELECT kind, min(bucket) AS bucket FROM (SELECT kind, bucket, sum(n) OVER (PARTITION BY kind ORDER BY bucket) AS c, sum(n) OVER (PARTITION BY kind) AS t
+FROM (SELECT kind, {_BUCKET} AS bucket, count(*) AS n FROM {_OPS} GROUP BY ALL)) WHERE c >= ceil(t * 0.99::DOUBLE) GROUP BY kind""")
+def latency_p99_bucket(spark, d):
+    return metrics.bucket_percentile(_ops(spark, d), 0.99, "kind")
+
+
+@query(f"SELECT kind, round(quantile_cont(micros, 0.5), 6) AS p50, round(quantile_cont(micros, 0.9), 6) AS p90, round(quantile_cont(micros, 0.99), 6) AS p99, round(avg(micros), 6) AS mean FROM {_OPS} GROUP BY kind")
+def metrics_percentiles(spark, d):
+    return metrics.percentiles(_ops(spark, d), "kind")
+
+
+@query("SELECT shard, n_ops, round(n_ops / sum(n_ops) OVER (), 6) AS share FROM (SELECT (substr(key, 6)::BIGINT % 4)::INTEGER AS shard, count(*)::BIGINT AS n_ops FROM {log} GROUP BY ALL)")
+def shard_balance(spark, d):
+    return metrics.shard_balance(_ops(spark, d), (F.substring("key", 6, 20).cast("bigint") % 4).cast("int"))
+
+
+@query()
+def shard_balance_hashed(spark, d):
+    return metrics.shard_balance(_ops(spark, d), shard_of(F.col("key"), 16))
+
+
+@query("""SELECT kind, tick, n_ops, round(coalesce(n_ops / ((tick - lag(tick) OVER w) * 86400.0::DOUBLE), 0.0), 6) AS per_s,
+round((n_ops - lag(n_ops) OVER w) / lag(n_ops) OVER w, 6) AS change FROM (SELECT kind, ts_ms // 86400000 AS tick, count(*)::BIGINT AS n_ops FROM {log} GROUP BY ALL) WINDOW w AS (PARTITION BY kind ORDER BY tick)""")
+def throughput_rate(spark, d):
+    return metrics.rates(_ops(spark, d), 86_400_000, "kind")
+
+
+@query("SELECT kind, tick, n_ops, (sum(n_ops) OVER (PARTITION BY kind ORDER BY tick ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))::BIGINT AS window_ops FROM (SELECT kind, ts_ms // 3600000 AS tick, count(*)::BIGINT AS n_ops FROM {log} GROUP BY ALL)")
+def rolling60(spark, d):
+    return metrics.rolling(_ops(spark, d), 3_600_000, 60, "kind")
+
+
+@query(f"SELECT count(s.key)::BIGINT AS hits, count(*) FILTER (s.key IS NULL)::BIGINT AS misses, round(count(s.key) / count(*), 6) AS rate FROM {_ORDERS} r LEFT JOIN {{live}} s USING (key)")
+def hit_rate(spark, d):
+    return metrics.hit_rate(strings.get(_orders(spark, d), state.strings(spark, d), NOW_MS), F.col("value").isNotNull())
+
+
+@query("SELECT key, count(*) FILTER (kind = 'view')::BIGINT AS reads, count(*) FILTER (kind <> 'view')::BIGINT AS writes, round(count(*) FILTER (kind = 'view') / count(*), 6) AS ratio FROM {log} GROUP BY key")
+def read_ratio(spark, d):
+    return metrics.read_ratio(_ops(spark, d), F.col("kind") == "view", "key")
+
+
+@query(f"""SELECT 'keyspace' AS section, 'keys' AS field, count(*)::BIGINT AS value FROM {_KEYS} UNION ALL SELECT 'keyspace', 'expires', count(deadline_ms) FROM {{strings}}
+UNION ALL SELECT 'keyspace', 'expired', count(*) FROM {{strings}} WHERE deadline_ms <= {{now}} UNION ALL SELECT 'memory', 'used', sum(strlen(key) + strlen(value) + 48)::BIGINT FROM {{strings}}
+UNION ALL SELECT 'stats', 'commands', count(*) FROM events""")
+def info_stats(spark, d):
+    return metrics.info(_keys(spark, d), state.strings(spark, d), _ops(spark, d), NOW_MS)
+
+
+@query()
+def exposition_lines(spark, d):
+    return metrics.exposition(_ops(spark, d), shard_of(F.col("key"), 4))
+
+
+@query()
+def dashboard_json(spark, d):
+    return metrics.dashboard(_ops(spark, d), shard_of(F.col("key"), 4))
+
+
+@query()
+def command_table(spark, d):
+    return commands.table(spark)
+
+
+@query("""SELECT event_id AS seq, CASE WHEN event_type IN ('view', 'click') THEN NULL ELSE 'unknown command' END AS error,
+CASE WHEN event_type IN ('view', 'click') THEN 2 END::INTEGER AS n_keys FROM events""")
+def command_check(spark, d):
+    key = F.concat(F.lit("user:"), "user_id")
+    name = F.when(F.col("event_type") == "view", "MGET").when(F.col("event_type") == "click", "Del").otherwise("nosuch")
+    log = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.array(name, key, F.concat(key, F.lit(":b"))).alias("argv"))
+    return commands.checked(log, commands.table(spark)).select("seq", "error", F.size("keys").alias("n_keys")).withColumn("n_keys", F.when(F.col("error").isNull(), F.col("n_keys")))
+
+
+# ---- recovery
+
+def _counter_log(spark, d):
+    kind = F.when(F.col("seq") % 17 == 0, "set").otherwise("incrby")
+    return state.events(spark, d).select("seq", "key", kind.alias("op"), (F.col("seq") % 23).alias("arg"))
+
+
+_FOLD = """WITH log AS (SELECT seq, key, CASE WHEN seq % 17 = 0 THEN 'set' ELSE 'incrby' END AS op, seq % 23 AS arg FROM {log}),
+base AS (SELECT key, max(seq) AS set_seq, arg_max(arg, seq) AS base FROM log WHERE op = 'set' GROUP BY key)
+SELECT log.key, (coalesce(max(base), 0) + sum(CASE WHEN op = 'incrby' AND (set_seq IS NULL OR seq > set_seq) THEN arg ELSE 0 END))::BIGINT AS value, max(seq) AS max_seq FROM log LEFT JOIN base USING (key) GROUP BY log.key"""
+
+
+@query(_FOLD)
+def oplog_fold(spark, d):
+    return fold.fold_counters(_counter_log(spark, d))
+
+
+@query(_FOLD)
+def snapshot_plus_log(spark, d):
+    log = _counter_log(spark, d)
+    return fold.snapshot_and_log(fold.fold_counters(log.where("seq < 400")), log)
+
+
+_BARRIER = "(SELECT seq, key, CASE WHEN seq = 100 THEN 'flush' WHEN seq % 61 = 0 THEN 'del' ELSE 'incrby' END AS op FROM {log})"
+
+
+@query(f"SELECT l.seq, l.key FROM {_BARRIER} l LEFT JOIN (SELECT key, max(seq) AS cut FROM {_BARRIER} WHERE op = 'del' GROUP BY key) c USING (key) WHERE op = 'incrby' AND l.seq > 100 AND (cut IS NULL OR l.seq > cut)")
+def flush_barrier(spark, d):
+    op = F.when(F.col("seq") == 100, "flush").when(F.col("seq") % 61 == 0, "del").otherwise("incrby")
+    return fold.barrier(state.events(spark, d).select("seq", "key", op.alias("op"))).select("seq", "key")
+
+
+@query()
+def replay_lists(spark, d):
+    op = F.when(F.col("seq") % 5 == 0, "lpush").when(F.col("seq") % 5 == 1, "lpop").when(F.col("seq") % 5 == 2, "rpop").otherwise("rpush")
+    return fold.replay_lists(state.events(spark, d).select("seq", "key", op.alias("op"), F.col("seq").cast("string").alias("arg")))
