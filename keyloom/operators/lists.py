@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from keyloom.functions.keys import slice_bounds
 
-_BY_KEY = Window.partitionBy("key")
-_FORWARD = _BY_KEY.orderBy("pos")
+
+def _by_key() -> WindowSpec:
+    return Window.partitionBy("key")
 
 
 def push(log: DataFrame, left: bool = False) -> DataFrame:
     """RPUSH or LPUSH of a log (seq, key, value): lists with places from 0."""
     order = F.col("seq").desc() if left else F.col("seq")
-    return log.select("key", (F.row_number().over(_BY_KEY.orderBy(order)) - 1).cast("bigint").alias("pos"), "value")
+    return log.select("key", (F.row_number().over(_by_key().orderBy(order)) - 1).cast("bigint").alias("pos"), "value")
 
 
 def length(state: DataFrame) -> DataFrame:
@@ -23,8 +24,8 @@ def length(state: DataFrame) -> DataFrame:
 
 
 def _placed(state: DataFrame, counted: bool) -> DataFrame:
-    out = state.withColumn("rn", F.row_number().over(_FORWARD))
-    return out.withColumn("n", F.count("*").over(_BY_KEY).cast("int")) if counted else out
+    out = state.withColumn("rn", F.row_number().over(_by_key().orderBy("pos")))
+    return out.withColumn("n", F.count("*").over(_by_key()).cast("int")) if counted else out
 
 
 def slices(state: DataFrame, start: int, stop: int) -> DataFrame:
@@ -54,6 +55,6 @@ def set_element(state: DataFrame, index: int, value: str) -> DataFrame:
 def pop(state: DataFrame, count: int, left: bool = True) -> tuple[DataFrame, DataFrame]:
     """LPOP or RPOP of ``count`` elements of every list: (popped, left over)."""
     order = F.col("pos") if left else F.col("pos").desc()
-    placed = state.withColumn("rn", F.row_number().over(_BY_KEY.orderBy(order)))
+    placed = state.withColumn("rn", F.row_number().over(_by_key().orderBy(order)))
     popped = placed.where(F.col("rn") <= count).select("key", (F.col("rn") - 1).cast("bigint").alias("place"), "value")
     return popped, placed.where(F.col("rn") > count).select("key", "pos", "value")

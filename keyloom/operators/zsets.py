@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from keyloom.functions.keys import slice_bounds
 
-_BY_KEY = Window.partitionBy("key")
+
+def _by_key() -> WindowSpec:
+    return Window.partitionBy("key")
 
 
 def add(log: DataFrame, rule: str = "last", state: DataFrame | None = None) -> DataFrame:
@@ -57,7 +59,7 @@ def cardinality(state: DataFrame) -> DataFrame:
 
 def rank(state: DataFrame) -> DataFrame:
     """ZRANK of every member, from 0."""
-    rn = F.row_number().over(_BY_KEY.orderBy("score", "member"))
+    rn = F.row_number().over(_by_key().orderBy("score", "member"))
     return state.select("key", "member", (rn - 1).cast("bigint").alias("rank"))
 
 
@@ -68,11 +70,11 @@ def by_rank(state: DataFrame, start: int, stop: int, reverse: bool = False) -> D
     keeps only the first rows of each group before it shuffles and sorts.
     """
     order = [F.col("score").desc(), F.col("member").desc()] if reverse else [F.col("score"), F.col("member")]
-    placed = state.withColumn("rn", F.row_number().over(_BY_KEY.orderBy(*order)))
+    placed = state.withColumn("rn", F.row_number().over(_by_key().orderBy(*order)))
     if start >= 0 and stop >= 0:
         found = placed.where(F.col("rn") <= stop + 1).where(F.col("rn") > start)
     else:
-        placed = placed.withColumn("n", F.count("*").over(_BY_KEY).cast("int"))
+        placed = placed.withColumn("n", F.count("*").over(_by_key()).cast("int"))
         first, last = slice_bounds(start, stop, F.col("n"))
         found = placed.where((F.col("rn") - 1 >= first) & (F.col("rn") - 1 <= last))
     return found.select("key", (F.col("rn") - 1).cast("bigint").alias("rank"), "member", "score")
@@ -90,7 +92,7 @@ def by_score(state: DataFrame, low: str, high: str, offset: int = 0, count: int
     found = state.where(((s > a) if a_out else (s >= a)) & ((s < b) if b_out else (s <= b)))
     if offset <= 0 and count < 0:
         return found.select("key", "member", "score")
-    found = found.withColumn("rn", F.row_number().over(_BY_KEY.orderBy("score", "member")))
+    found = found.withColumn("rn", F.row_number().over(_by_key().orderBy("score", "member")))
     if count >= 0:
         found = found.where(F.col("rn") <= max(offset, 0) + count)
     return found.where(F.col("rn") > max(offset, 0)).select("key", "member", "score")
