@@ -101,7 +101,7 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> tup
                 opened(free - left * length, first + full, 1)
                 full, left = full + 1, 0
             opened(free, first + full, n - full)
-    return np.array(runs, dtype=np.int64).reshape(-1, 4), bins
+    return np.array(sorted(runs), dtype=np.int64).reshape(-1, 4), bins
 
 
 #: Characters that the tokenizer's normalisation only lower-cases, one by one.
