@@ -189,7 +189,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fps = rows.groupBy("fp").agg(F.min("id").alias("low"))
     parts = connected_components(fingerprint_links(fps.select("fp"), bucket_limit))
     rooted = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    rooted = written(rooted, "rooted")
+    # as tables of known size both sides are dealt for the join alone, so that Spark can split a large group
+    lows = written(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
     of = rooted.join(lows, "root").select("fp", "component_id")
     return rows.join(of, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
