@@ -1,4 +1,4 @@
-"""Lists: (key, pos, value), ordered by pos, which needn't be gapless."""
+"""Lists: (key, pos, value), ordered by pos, unique in a key, which needn't be gapless."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from keyloom.functions.keys import slice_bounds
+from keyloom.functions.ordered import even_slices, numbered
 
 
 def _by_key() -> WindowSpec:
@@ -14,8 +15,9 @@ def _by_key() -> WindowSpec:
 
 def push(log: DataFrame, left: bool = False) -> DataFrame:
     """RPUSH or LPUSH of a log (seq, key, value): lists with places from 0."""
+    part = even_slices(log, "seq")
     order = F.col("seq").desc() if left else F.col("seq")
-    return log.select("key", (F.row_number().over(_by_key().orderBy(order)) - 1).cast("bigint").alias("pos"), "value")
+    return numbered(log.select("key", "seq", "value"), -part if left else part, [order], "pos").select("key", "pos", "value")
 
 
 def length(state: DataFrame) -> DataFrame:
@@ -30,6 +32,10 @@ def _placed(state: DataFrame, counted: bool) -> DataFrame:
 
 def slices(state: DataFrame, start: int, stop: int) -> DataFrame:
     """LRANGE of every list: (key, place, value), ends included, negative from the end."""
+    if start < 0 and stop < 0:
+        placed = state.withColumn("rn", F.row_number().over(_by_key().orderBy(F.col("pos").desc())))
+        found = placed.where((F.col("rn") <= -start) & (F.col("rn") >= -stop)).join(length(state), "key")
+        return found.select("key", (F.col("length") - F.col("rn")).alias("place"), "value")
     if start >= 0 and stop >= 0:
         found = _placed(state, False).where((F.col("rn") <= stop + 1) & (F.col("rn") > start))
     else:
@@ -40,9 +46,13 @@ def slices(state: DataFrame, start: int, stop: int) -> DataFrame:
 
 
 def element(state: DataFrame, index: int) -> DataFrame:
-    """LINDEX of every list: (key, value), null where it is out of range."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"])
-    return state.groupBy("key").agg(F.try_element_at(values, F.lit(index + 1 if index >= 0 else index)).alias("value"))
+    """LINDEX of every list: (key, value), null where it is out of range.
+
+    Only the rows up to the element, from its nearer end, outlive the first step of the window.
+    """
+    order, nth = (F.col("pos"), index + 1) if index >= 0 else (F.col("pos").desc(), -index)
+    near = state.withColumn("rn", F.row_number().over(_by_key().orderBy(order))).where(F.col("rn") <= nth)
+    return near.groupBy("key").agg(F.max(F.when(F.col("rn") == nth, F.col("value"))).alias("value"))
 
 
 def set_element(state: DataFrame, index: int, value: str) -> DataFrame:
@@ -55,6 +65,6 @@ def set_element(state: DataFrame, index: int, value: str) -> DataFrame:
 def pop(state: DataFrame, count: int, left: bool = True) -> tuple[DataFrame, DataFrame]:
     """LPOP or RPOP of ``count`` elements of every list: (popped, left over)."""
     order = F.col("pos") if left else F.col("pos").desc()
-    placed = state.withColumn("rn", F.row_number().over(_by_key().orderBy(order)))
-    popped = placed.where(F.col("rn") <= count).select("key", (F.col("rn") - 1).cast("bigint").alias("place"), "value")
-    return popped, placed.where(F.col("rn") > count).select("key", "pos", "value")
+    gone = state.withColumn("rn", F.row_number().over(_by_key().orderBy(order))).where(F.col("rn") <= count)
+    popped = gone.select("key", (F.col("rn") - 1).cast("bigint").alias("place"), "value")
+    return popped, state.join(gone.select("key", "pos"), ["key", "pos"], "left_anti").select("key", "pos", "value")

@@ -2,15 +2,17 @@
 
 State tables have (key, value, deadline_ms); requests have a ``key`` and whatever identifies
 them; a log has (seq, key, value). Lookups are left joins that keep every request; writes are
-one grouped aggregate by key, so a hot key is combined before it is shuffled.
+one grouped aggregate by key, so a hot key is combined before it is shuffled; replies of every
+write are computed within slices of a key's log.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions.keys import live, slice_bounds
+from keyloom.functions.ordered import even_slices, previous, running_sum
 
 
 def get(requests: DataFrame, state: DataFrame, now_ms: int) -> DataFrame:
@@ -23,6 +25,12 @@ def set_last(log: DataFrame) -> DataFrame:
     return log.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
 
 
+def set_many(log: DataFrame) -> DataFrame:
+    """MSET: the single writes of a log (seq, pairs); of one key twice in a command the last counts."""
+    each = log.select("seq", F.posexplode("pairs").alias("at", "pair")).select("seq", "at", "pair.key", "pair.value")
+    return each.groupBy("seq", "key").agg(F.max_by("value", "at").alias("value"))
+
+
 def set_absent(log: DataFrame, state: DataFrame, now_ms: int) -> DataFrame:
     """SETNX: the first write of each key that has no live value."""
     return log.join(live(state, now_ms).select("key"), "key", "left_anti").groupBy("key").agg(F.min_by("value", "seq").alias("value"))
@@ -49,7 +57,7 @@ def set_keeping_ttl(log: DataFrame, state: DataFrame, keep: bool) -> DataFrame:
 
 def get_set(log: DataFrame) -> DataFrame:
     """GETSET and SET GET: every write with the value before it."""
-    return log.withColumn("previous", F.lag("value").over(Window.partitionBy("key").orderBy("seq")))
+    return previous(log, even_slices(log, "seq"), "seq", "value", "previous")
 
 
 def append(log: DataFrame) -> DataFrame:
@@ -86,8 +94,7 @@ def increase(log: DataFrame, delta: Column, name: str = "total") -> DataFrame:
 
 def running(log: DataFrame, delta: Column, name: str = "running") -> DataFrame:
     """Every counter operation with the value that it replies."""
-    own = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn(name, F.sum(delta).over(own))
+    return running_sum(log, even_slices(log, "seq"), "seq", delta, name)
 
 
 def increase_checked(log: DataFrame, delta: Column) -> DataFrame:

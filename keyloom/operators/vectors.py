@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that may be broadcast; more are refused.
+#: Queries that may be broadcast; more are refused, or joined in blocks.
 MAX_QUERIES = 1_000
+#: Parts that the vectors are dealt to for each block of queries.
+PARTS = 64
 
 
 def add_last(log: DataFrame) -> DataFrame:
@@ -47,6 +49,18 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(_fold(a, b, lambda x, y: (x - y) * (x - y)))
 
 
+def _best(pairs: DataFrame, k: int, metric: str) -> DataFrame:
+    """The ``k`` best labels of each query among (query, qvec, label, vec)."""
+    value = cosine(F.col("vec"), F.col("qvec")) if metric == "cosine" else -l2(F.col("vec"), F.col("qvec"))
+    rn = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "label"))
+    scored = pairs.select("query", "label", F.round(value, 6).alias("score")).withColumn("rn", rn)
+    return scored.where(F.col("rn") <= k).select("query", F.col("rn").cast("bigint").alias("rank"), "label", "score")
+
+
+def _same_size() -> Column:
+    return F.size("vec") == F.size("qvec")
+
+
 def search(state: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """VSIM: (query, rank, label, score), the ``k`` best of all vectors for each of ``queries``
     (query, vec).
@@ -59,7 +73,18 @@ def search(state: DataFrame, queries: DataFrame, k: int, metric: str = "cosine")
     if n > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries: search in blocks")
     asked = F.broadcast(queries.select("query", F.col("vec").alias("qvec")))
-    value = cosine(F.col("vec"), F.col("qvec")) if metric == "cosine" else -l2(F.col("vec"), F.col("qvec"))
-    scored = state.select("label", "vec").join(asked, F.size("vec") == F.size("qvec")).select("query", "label", F.round(value, 6).alias("score"))
-    rn = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "label"))
-    return scored.withColumn("rn", rn).where(F.col("rn") <= k).select("query", F.col("rn").cast("bigint").alias("rank"), "label", "score")
+    return _best(state.select("label", "vec").join(asked, _same_size()), k, metric)
+
+
+def search_in_blocks(state: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """As ``search`` for any number of queries: beyond ``MAX_QUERIES`` they are cut into blocks,
+    each of which meets all vectors part by part."""
+    n = queries.count()
+    if n <= MAX_QUERIES:
+        return search(state, queries, k, metric)
+    blocks = -(-2 * n // MAX_QUERIES)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    rows = state.select("label", "vec", own("label", PARTS).alias("part"), every(blocks).alias("block"))
+    asked = queries.select("query", F.col("vec").alias("qvec"), own("query", blocks).alias("block"), every(PARTS).alias("part"))
+    return _best(rows.join(asked, ["part", "block"]).where(_same_size()), k, metric)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from keyloom.functions.keys import slice_bounds
+from keyloom.functions.ordered import numbered, uneven_slices
 
 
 def _by_key() -> WindowSpec:
@@ -59,16 +60,19 @@ def cardinality(state: DataFrame) -> DataFrame:
 
 def rank(state: DataFrame) -> DataFrame:
     """ZRANK of every member, from 0."""
-    rn = F.row_number().over(_by_key().orderBy("score", "member"))
-    return state.select("key", "member", (rn - 1).cast("bigint").alias("rank"))
+    return numbered(state.select("key", "member", "score"), uneven_slices(state, "score"), ["score", "member"], "rank").select("key", "member", "rank")
 
 
 def by_rank(state: DataFrame, start: int, stop: int, reverse: bool = False) -> DataFrame:
     """ZRANGE of every set: (key, rank, member, score), negative ranks from the end.
 
     With both ends from the front the predicate stands on the window's own column, so Spark
-    keeps only the first rows of each group before it shuffles and sorts.
+    keeps only the first rows of each group before it shuffles and sorts. With both from the
+    end the order is turned round, which comes to the same.
     """
+    if start < 0 and stop < 0:
+        back = by_rank(state, -1 - stop, -1 - start, not reverse) if start <= stop else state.where(F.lit(False)).select("key", F.lit(0).cast("bigint").alias("rank"), "member", "score")
+        return back.join(cardinality(state), "key").select("key", (F.col("n_members") - 1 - F.col("rank")).alias("rank"), "member", "score")
     order = [F.col("score").desc(), F.col("member").desc()] if reverse else [F.col("score"), F.col("member")]
     placed = state.withColumn("rn", F.row_number().over(_by_key().orderBy(*order)))
     if start >= 0 and stop >= 0:

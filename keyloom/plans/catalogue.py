@@ -95,6 +95,18 @@ _KEEP = f"""SELECT coalesce(s.key, w.key) AS key, coalesce(w.value, s.value) AS
 FROM {{strings}} s FULL JOIN (SELECT key, arg_max(value, seq) AS value FROM {_WRITES} GROUP BY key) w ON s.key = w.key"""
 
 
+@query(f"SELECT key, arg_max(value, seq) AS value, (arg_max(ts_ms, seq) + 1500)::BIGINT AS deadline_ms FROM {_WRITES} GROUP BY key")
+def psetex_deadline(spark, d):
+    return strings.set_expiring(_writes(spark, d), 1_500)
+
+
+@query("SELECT key, arg_max(value, seq) AS value FROM (SELECT seq, key || ':' || kind AS key, kind AS value FROM {log} UNION ALL SELECT seq, key || ':last', kind FROM {log}) GROUP BY key")
+def mset_pairs(spark, d):
+    e = state.events(spark, d)
+    pair = lambda name, value: F.struct(F.concat("key", F.lit(":"), name).alias("key"), value.alias("value"))
+    return strings.set_last(strings.set_many(e.select("seq", F.array(pair(F.col("kind"), F.col("kind")), pair(F.lit("last"), F.col("kind"))).alias("pairs"))))
+
+
 @query(_KEEP.replace("{deadline}", "deadline_ms"))
 def set_keepttl(spark, d):
     return strings.set_keeping_ttl(_writes(spark, d), state.strings(spark, d), True)
@@ -147,6 +159,16 @@ def decrby_total(spark, d):
     return strings.increase(state.events(spark, d), -(F.col("seq") % 7))
 
 
+@query("SELECT key, (-count(*))::BIGINT AS total FROM {log} GROUP BY key")
+def decr_total(spark, d):
+    return strings.increase(state.events(spark, d), F.lit(-1))
+
+
+@query("SELECT key, sum(seq % 7)::BIGINT AS total FROM {log} GROUP BY key")
+def incrby_total(spark, d):
+    return strings.increase(state.events(spark, d), F.col("seq") % 7)
+
+
 @query("SELECT seq, key, (sum(seq % 11) OVER (PARTITION BY key ORDER BY seq))::BIGINT AS running FROM {log}")
 def incrby_running(spark, d):
     return strings.running(state.events(spark, d), F.col("seq") % 11).select("seq", "key", "running")
@@ -215,6 +237,11 @@ def expire_ttl(spark, d):
     return generic.ttl(_orders(spark, d), state.strings(spark, d), NOW_MS).select("o_orderkey", "key", "ttl_s", "ttl_ms")
 
 
+@query(f"""SELECT o_orderkey, r.key, CASE WHEN s.key IS NULL THEN -2 WHEN deadline_ms IS NULL THEN -1 ELSE deadline_ms - {{now}} END::BIGINT AS ttl_ms FROM {_ORDERS} r LEFT JOIN {{live}} s USING (key)""")
+def pttl(spark, d):
+    return generic.ttl(_orders(spark, d), state.strings(spark, d), NOW_MS).select("o_orderkey", "key", "ttl_ms")
+
+
 @query(f"""SELECT s.key, s.value, CASE WHEN a.key IS NULL THEN deadline_ms END AS deadline_ms, a.key IS NOT NULL AND deadline_ms IS NOT NULL AS persisted
 FROM {{live}} s LEFT JOIN (SELECT DISTINCT key FROM {_ORDERS}) a USING (key)""")
 def persist(spark, d):
@@ -603,28 +630,28 @@ def vadd_latest(spark, d):
 
 
 def _questions(spark, d):
-    """A stated set of queries: the first vectors of the table."""
-    return state.vectors(spark, d).where("label < 5").select(F.col("label").alias("query"), "vec")
+    """The stated set of queries: every vector whose id is divisible by 20."""
+    return state.vectors(spark, d).where("label % 20 = 0").select(F.col("label").alias("query"), "vec")
 
 
 _NEAREST = """SELECT query, rank, label, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, label) AS rank FROM (
-SELECT q.label AS query, v.label, round({m}, 6) AS score FROM {vectors} v, {vectors} q WHERE q.label < 5 {and})) WHERE rank <= 10"""
+SELECT q.label AS query, v.label, round({m}, 6) AS score FROM {vectors} v, {vectors} q WHERE q.label % 20 = 0 {and})) WHERE rank <= 10"""
 
 
 @query(_NEAREST.replace("{m}", "list_cosine_similarity(v.vec::DOUBLE[], q.vec::DOUBLE[])").replace("{and}", ""))
 def vsim_cosine(spark, d):
-    return vectors.search(state.vectors(spark, d), _questions(spark, d), 10)
+    return vectors.search_in_blocks(state.vectors(spark, d), _questions(spark, d), 10)
 
 
 @query(_NEAREST.replace("{m}", "-list_distance(v.vec::DOUBLE[], q.vec::DOUBLE[])").replace("{and}", ""))
 def vsim_l2(spark, d):
-    return vectors.search(state.vectors(spark, d), _questions(spark, d), 10, "l2")
+    return vectors.search_in_blocks(state.vectors(spark, d), _questions(spark, d), 10, "l2")
 
 
 @query(_NEAREST.replace("{m}", "list_cosine_similarity(v.vec::DOUBLE[], q.vec::DOUBLE[])").replace("{and}", "AND v.key <> 'emb:3'"))
 def vrem_topk(spark, d):
     v = state.vectors(spark, d)
-    return vectors.search(vectors.remove(v, v.where("key = 'emb:3'").select("key", "label")), _questions(spark, d), 10)
+    return vectors.search_in_blocks(vectors.remove(v, v.where("key = 'emb:3'").select("key", "label")), _questions(spark, d), 10)
 
 
 # ---- metrics and introspection

@@ -20,6 +20,10 @@ def rows(df, *columns):
     return sorted(tuple(r[c] for c in (columns or df.columns)) for r in df.collect())
 
 
+def rows_of(df, *columns):
+    return [tuple(r[c] for c in (columns or df.columns)) for r in df.collect()]
+
+
 def test_live_and_ttl(spark):
     state = spark.createDataFrame([(f"k{i}", "v", 500) for i in range(50)] + [("survivor", "v", None), ("later", "v", 6000), ("zero", "v", 0)], "key string, value string, deadline_ms long")
     assert rows(live(state, 1000), "key") == [("later",), ("survivor",)]
@@ -149,3 +153,61 @@ def test_streams(spark):
     assert windows.agg(F.sum("n_ops")).first()[0] == batch.count()
     kept = jobs.drain(jobs.expiring_counters(stream(), "3650 days"), "update", "expiring", f"{folder}/c3")
     assert kept.where("not expired").groupBy("user_id").agg(F.max("n_ops").alias("n")).agg(F.sum("n")).first()[0] == batch.count()
+
+
+def test_order_within_slices(spark, monkeypatch):
+    from keyloom.functions import ordered
+
+    monkeypatch.setattr(ordered, "SLICES", 5)
+    monkeypatch.setattr(ordered, "CUTS", 3)
+    log = spark.range(200).select((F.col("id") * F.col("id") - 50).alias("seq"), F.when(F.col("id") % 3 == 0, "cold").otherwise("hot").alias("key"),
+                                  F.when(F.col("id") % 4 > 0, F.col("id")).alias("value"))
+    plain = {}
+    for seq, key, value in sorted((r["seq"], r["key"], r["value"]) for r in log.collect()):
+        plain.setdefault(key, []).append((seq, value))
+    sums, before, places, left = set(), set(), set(), set()
+    for key, own in plain.items():
+        for i, (seq, value) in enumerate(own):
+            heard = [v for _, v in own[: i + 1] if v is not None]
+            sums.add((key, seq, sum(heard) if heard else None))
+            before.add((key, seq, own[i - 1][1] if i else None))
+            places.add((key, i, value))
+            left.add((key, len(own) - 1 - i, value))
+    assert set(rows_of(strings.running(log, F.col("value")), "key", "seq", "running")) == sums
+    assert set(rows_of(strings.get_set(log), "key", "seq", "previous")) == before
+    assert set(rows_of(lists.push(log), "key", "pos", "value")) == places
+    assert set(rows_of(lists.push(log, left=True), "key", "pos", "value")) == left
+    state = log.select("key", F.col("seq").cast("string").alias("member"), (F.abs(F.col("seq")) % 7).cast("double").alias("score"))
+    ranks = {}
+    for key, member, score in rows_of(state, "key", "member", "score"):
+        ranks.setdefault(key, []).append((score, member))
+    assert set(rows_of(zsets.rank(state))) == {(k, m, i) for k, own in ranks.items() for i, (_, m) in enumerate(sorted(own))}
+
+
+def test_order_of_empty_tables(spark):
+    log = spark.createDataFrame([], "seq long, key string, value long")
+    assert strings.running(log, F.col("value")).count() == strings.get_set(log).count() == lists.push(log).count() == 0
+    assert zsets.rank(spark.createDataFrame([], "key string, member string, score double")).count() == 0
+
+
+def test_slices_from_the_back(spark):
+    state = spark.createDataFrame([("a", i, f"v{i}") for i in range(5)] + [("b", 7, "w")], "key string, pos long, value string")
+    assert rows(lists.slices(state, -2, -1)) == [("a", 3, "v3"), ("a", 4, "v4"), ("b", 0, "w")]
+    assert rows(lists.slices(state, -9, -4)) == [("a", 0, "v0"), ("a", 1, "v1")]
+    assert rows(lists.slices(state, -1, -2)) == []
+    assert rows(lists.element(state, -2)) == [("a", "v3"), ("b", None)]
+    popped, rest = lists.pop(state, 4)
+    assert (popped.count(), rows(rest)) == (5, [("a", 4, "v4")])
+    scored = state.select("key", F.col("value").alias("member"), F.col("pos").cast("double").alias("score"))
+    assert rows(zsets.by_rank(scored, -2, -1), "key", "rank", "member") == [("a", 3, "v3"), ("a", 4, "v4"), ("b", 0, "w")]
+    assert rows(zsets.by_rank(scored, -2, -2, reverse=True), "key", "rank", "member") == [("a", 3, "v1")]
+    assert rows(zsets.by_rank(scored, -1, -2)) == []
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    state = spark.createDataFrame([("k", i, rng.standard_normal(4).tolist()) for i in range(60)], "key string, label long, vec array<double>")
+    asked = state.where("label % 2 = 0").select(F.col("label").alias("query"), "vec")
+    whole = rows(vectors.search(state, asked, 3))
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 10)
+    assert rows(vectors.search_in_blocks(state, asked, 3)) == whole and len(whole) == 90
