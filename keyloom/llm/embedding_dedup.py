@@ -281,7 +281,9 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     roots = connected_components(found.where("b is not null").select("a", "b"))
     named = reps.select("gid", "h", "g", "low", "n").join(sums, "gid", "left").join(roots.withColumnRenamed("node", "gid"), "gid", "left")
     named = named.select("h", "g", "low", (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "gid").alias("root"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    # as tables of known size both sides are dealt for the join alone, so that Spark can split a large component
+    named = written(named, "named")
+    lows = written(named.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
     of = named.join(lows, "root").select("h", "g", "n_links", "component_id")
     joined = rows.where("h is not null").select("id", "h", "g").join(of, ["h", "g"]).select("id", "n_links", "component_id")
     alone = rows.where("h is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
