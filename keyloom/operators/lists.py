@@ -17,7 +17,7 @@ def push(log: DataFrame, left: bool = False) -> DataFrame:
     """RPUSH or LPUSH of a log (seq, key, value): lists with places from 0."""
     part = even_slices(log, "seq")
     order = F.col("seq").desc() if left else F.col("seq")
-    return numbered(log.select("key", "seq", "value"), -part if left else part, [order], "pos").select("key", "pos", "value")
+    return numbered(log.select("key", "seq", "value"), -part if left and part is not None else part, [order], "pos").select("key", "pos", "value")
 
 
 def length(state: DataFrame) -> DataFrame:

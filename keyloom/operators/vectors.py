@@ -50,13 +50,23 @@ def l2(a: Column, b: Column) -> Column:
 
 
 def _best(pairs: DataFrame, k: int, metric: str) -> DataFrame:
-    """The ``k`` best labels of each query among (query, qvec, label, vec)."""
-    value = cosine(F.col("vec"), F.col("qvec")) if metric == "cosine" else -l2(F.col("vec"), F.col("qvec"))
+    """The ``k`` best labels of each query among (query, qvec, qsize, label, vec, size)."""
+    size = F.col("size") * F.col("qsize")
+    value = F.when(size > 0, dot(F.col("vec"), F.col("qvec")) / size).otherwise(F.lit(0.0)) if metric == "cosine" else -l2(F.col("vec"), F.col("qvec"))
     rn = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "label"))
     scored = pairs.select("query", "label", F.round(value, 6).alias("score")).withColumn("rn", rn)
     return scored.where(F.col("rn") <= k).select("query", F.col("rn").cast("bigint").alias("rank"), "label", "score")
 
 
+def _sized(rows: DataFrame, *columns: str) -> DataFrame:
+    """(columns..., vec, size): each vector's norm is taken once, not once a pair."""
+    return rows.select(*columns, "vec", norm(F.col("vec")).alias("size"))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return _sized(queries, "query").withColumnsRenamed({"vec": "qvec", "size": "qsize"})
+
+
 def _same_size() -> Column:
     return F.size("vec") == F.size("qvec")
 
@@ -72,8 +82,7 @@ def search(state: DataFrame, queries: DataFrame, k: int, metric: str = "cosine")
     n = queries.limit(MAX_QUERIES + 1).count()
     if n > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries: search in blocks")
-    asked = F.broadcast(queries.select("query", F.col("vec").alias("qvec")))
-    return _best(state.select("label", "vec").join(asked, _same_size()), k, metric)
+    return _best(_sized(state, "label").join(F.broadcast(_asked(queries)), _same_size()), k, metric)
 
 
 def search_in_blocks(state: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
@@ -85,6 +94,6 @@ def search_in_blocks(state: DataFrame, queries: DataFrame, k: int, metric: str =
     blocks = -(-2 * n // MAX_QUERIES)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    rows = state.select("label", "vec", own("label", PARTS).alias("part"), every(blocks).alias("block"))
-    asked = queries.select("query", F.col("vec").alias("qvec"), own("query", blocks).alias("block"), every(PARTS).alias("part"))
+    rows = _sized(state, "label").select("*", own("label", PARTS).alias("part"), every(blocks).alias("block"))
+    asked = _asked(queries).select("*", own("query", blocks).alias("block"), every(PARTS).alias("part"))
     return _best(rows.join(asked, ["part", "block"]).where(_same_size()), k, metric)

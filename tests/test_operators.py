@@ -155,9 +155,11 @@ def test_streams(spark):
     assert kept.where("not expired").groupBy("user_id").agg(F.max("n_ops").alias("n")).agg(F.sum("n")).first()[0] == batch.count()
 
 
-def test_order_within_slices(spark, monkeypatch):
+@pytest.mark.parametrize("whole_rows", [0, 1000])
+def test_order_within_slices(spark, monkeypatch, whole_rows):
     from keyloom.functions import ordered
 
+    monkeypatch.setattr(ordered, "WHOLE_ROWS", whole_rows)
     monkeypatch.setattr(ordered, "SLICES", 5)
     monkeypatch.setattr(ordered, "CUTS", 3)
     log = spark.range(200).select((F.col("id") * F.col("id") - 50).alias("seq"), F.when(F.col("id") % 3 == 0, "cold").otherwise("hot").alias("key"),
