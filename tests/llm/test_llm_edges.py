@@ -58,6 +58,24 @@ def test_clean_documents_stay(spark):
     assert good.where("not kept").count() <= 0.01 * good.count()
 
 
+def drawn(lang, n, rng):
+    """``n`` words by the shares of a language's common words, all others made up; only made-up ones without a language."""
+    shares = quality_rules.WORD_SHARES.get(lang, {})
+    common = rng.choice([*shares, ""], n, p=[*shares.values(), 1 - sum(shares.values())])
+    return " ".join(w or "".join(rng.choice(list("bcfghkmprt"), 6)) for w in common)
+
+
+@pytest.mark.parametrize("n", [60, 300, 5000])
+def test_long_texts_without_common_words_fail(spark, n):
+    rng = np.random.default_rng(n)
+    made = [drawn(None, n, rng) for _ in range(4)]
+    clean = [drawn(lang, n, rng) for lang in quality_rules.WORD_SHARES for _ in range(5)]
+    short = [drawn(None, 59, rng)]
+    got = quality_rules.with_quality(frame(spark, list(enumerate(made + clean + short))), prefix="q_").collect()
+    assert not any(r.q_base_failed for r in got)
+    assert [r.q_kept for r in sorted(got, key=lambda r: r.doc_id)] == [False] * 4 + [True] * 21
+
+
 def test_simhash(spark, odd, none):
     got = simhash.simhash_components(odd).collect()
     assert len(got) == odd.count()
