@@ -2,8 +2,13 @@
 
 The corpus is reduced to cells (source, language, topic) with their tokens. Raking scales the
 cells' weights in turn so that the marginals of source, language and topic meet their targets.
-Each document is then kept with its cell's calibrated probability, decided by a hash of its id
-and text, so the sample is the same each time and needs no shuffle.
+The tokens to keep are then raked with each cell bounded by the tokens it has, so that what a
+small cell can't give comes from cells of the same categories. Each document is kept with its cell's
+probability, decided by a hash of its id and text, so the sample is the same each time and needs no shuffle.
+
+Where the budget asks more of a category than there is, the budget is kept and the sum of the marginals'
+absolute deviations made small (a factor of a category ends at ``FACTOR``); ``with_mix`` logs what is missed and
+``marginals`` shows it.
 
 Up to ``MAX_LOCAL_CELLS`` cells (counted first) are raked on the driver and broadcast; more are
 raked by the same steps as grouped sums and joins on the cluster.
@@ -11,6 +16,7 @@ raked by the same steps as grouped sums and joins on the cluster.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -21,7 +27,13 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import written
 
+log = logging.getLogger(__name__)
+
 MAX_LOCAL_CELLS = 100_000
+#: Log of the greatest factor of a category in the bounded raking, and of the one for all cells.
+FACTOR, ALL_FACTOR = 7.0, 50.0
+#: Share of the tokens kept that may lie in other categories than the targets' without notice.
+MISSED = 1e-4
 #: What stands for a null category.
 NONE = "\x00none"
 
@@ -84,7 +96,33 @@ def rake(cells: list[tuple], dims: Sequence[str], targets: Targets) -> tuple[np.
             weights = weights * factor[codes]
         if off < targets.tolerance:
             break
-    return weights, probabilities(weights, tokens, targets.budget * tokens.sum())
+    budget = targets.budget * tokens.sum()
+    return weights, probabilities(_bounded(weights * budget, tokens, coded, budget, targets), tokens, budget)
+
+
+def _bounded(wish: np.ndarray, tokens: np.ndarray, coded: list[tuple[np.ndarray, np.ndarray]], budget: float, targets: Targets) -> np.ndarray:
+    """Tokens to keep whose part within ``tokens`` meets the marginals; ``wish`` times a factor by category."""
+    parts = [*((codes, wanted, FACTOR) for codes, wanted in coded), (np.zeros(len(tokens), int), np.ones(1), ALL_FACTOR)]
+    factors = [np.zeros(len(wanted)) for _, wanted, _ in parts]
+    for _ in range(2 * targets.rounds):
+        off = 0.0
+        for k, (codes, wanted, most) in enumerate(parts):
+            now = np.bincount(codes, np.minimum(wish, tokens), len(wanted))
+            step = np.log(np.divide(wanted * budget, now, out=np.ones_like(now), where=(now > 0) & (wanted > 0)))
+            moved = np.clip(factors[k] + step, -most, most) - factors[k]
+            factors[k] = factors[k] + moved
+            off = max(off, float(np.abs(moved).max()))
+            wish = wish * np.exp(moved)[codes]
+        if off < targets.tolerance:
+            break
+    return wish
+
+
+def _tell(missed: Mapping[str, float], targets: Targets) -> None:
+    """Log the dimensions whose targets the budget doesn't let the sample meet."""
+    for dim, share in missed.items():
+        if share > MISSED:
+            log.warning("mixing: with a budget of %g, %.4f of the expected tokens lie in other categories of %s than the targets'", targets.budget, share, dim)
 
 
 def _rake_on_cluster(cells: DataFrame, dims: Sequence[str], targets: Targets) -> DataFrame:
@@ -110,10 +148,12 @@ def _rake_on_cluster(cells: DataFrame, dims: Sequence[str], targets: Targets) ->
         now = written(now, "cells")
         if off < targets.tolerance:
             break
+    budget = targets.budget * float(total)
+    now = _bounded_on_cluster(now, dims, wanted, budget, targets)
     # bisection for the scale: each step is one sum
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
+    ratio = F.when(F.col("tokens") > 0, F.col("wish") / F.col("tokens")).otherwise(0.0)
     kept = lambda c: now.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(c) * ratio))).first()[0]
-    low, high, budget = 0.0, float(total), targets.budget * float(total)
+    low, high = 0.0, 2.0
     while kept(high) < budget * (1 - 1e-12) and high < 1e300:
         low, high = high, high * 1024
     for _ in range(60):
@@ -122,6 +162,59 @@ def _rake_on_cluster(cells: DataFrame, dims: Sequence[str], targets: Targets) ->
     return now.withColumn("probability", F.least(F.lit(1.0), F.lit(high) * ratio))
 
 
+def _bounded_on_cluster(cells: DataFrame, dims: Sequence[str], wanted: Mapping[str, DataFrame], budget: float, targets: Targets) -> DataFrame:
+    """``cells`` with ``wish``: ``_bounded`` by grouped sums; the logs of the factors stand beside the cells."""
+    logs = {d: f"__keyloom_log_{k}" for k, d in enumerate(dims)}
+    out = cells.select(*dims, "tokens", "weight", *[F.lit(0.0).alias(v) for v in logs.values()])
+    whole = 0.0
+    for _ in range(2 * targets.rounds):
+        off = 0.0
+        for dim, own in logs.items():
+            kept = F.least(F.col("tokens"), _wish(budget, logs, whole))
+            step = F.when((F.col("now") > 0) & (F.col("wanted") > 0), F.log(F.col("wanted") * F.lit(budget) / F.col("now"))).otherwise(0.0)
+            bounded = F.greatest(F.lit(-FACTOR), F.least(F.lit(FACTOR), F.col("old") + step))
+            sums = out.groupBy(dim).agg(F.sum(kept).alias("now"), F.max(own).alias("old")).join(wanted[dim], dim)
+            sums = written(sums.select(dim, "old", bounded.alias("new")), "sums")
+            off = max(off, sums.agg(F.max(F.abs(F.col("new") - F.col("old")))).first()[0] or 0.0)
+            out = out.join(sums, dim).select(*dims, "tokens", "weight", *[F.col("new").alias(v) if v == own else F.col(v) for v in logs.values()])
+        out = written(out, "cells")
+        sum_kept = out.agg(F.sum(F.least(F.col("tokens"), _wish(budget, logs, whole)))).first()[0]
+        if sum_kept > 0:
+            moved = float(np.clip(whole + np.log(budget / sum_kept), -ALL_FACTOR, ALL_FACTOR)) - whole
+            whole, off = whole + moved, max(off, abs(moved))
+        if off < targets.tolerance:
+            break
+    return written(out.select(*dims, "tokens", "weight", _wish(budget, logs, whole).alias("wish")), "cells")
+
+
+def _wish(budget: float, logs: Mapping[str, str], whole: float) -> Column:
+    return F.col("weight") * F.lit(budget) * F.exp(sum((F.col(v) for v in logs.values()), F.lit(whole)))
+
+
+def _misplaced(names: list[str], weights: np.ndarray, kept: np.ndarray) -> float:
+    """Half the sum of the absolute deviations of a dimension's expected shares from its targets."""
+    codes = np.unique(names, return_inverse=True)[1]
+    return float(np.abs(np.bincount(codes, weights) - np.bincount(codes, kept) / max(kept.sum(), 1e-300)).sum() / 2) if kept.sum() > 0 else 0.0
+
+
+def _misplaced_on_cluster(raked: DataFrame, dim: str) -> float:
+    sums = raked.groupBy(dim).agg(F.sum("weight").alias("w"), F.sum(F.col("tokens") * F.col("probability")).alias("kept"))
+    total = sums.agg(F.sum("kept")).first()[0]
+    return sums.agg(F.sum(F.abs(F.col("w") - F.col("kept") / F.lit(total)))).first()[0] / 2 if total else 0.0
+
+
+def marginals(mixed: DataFrame, dims: Mapping[str, Column], tokens: Column) -> DataFrame:
+    """(dimension, category, target, expected) of a table that ``with_mix`` made: the shares of the
+    tokens kept by the targets and by the probabilities."""
+    inner = {n: f"__keyloom_{i}" for i, n in enumerate(dims)}
+    marked = mixed.select(*[F.coalesce(dims[n].cast("string"), F.lit(NONE)).alias(i) for n, i in inner.items()], F.coalesce(tokens, F.lit(0)).cast("double").alias("tokens"), "mix_weight", "mix_probability")
+    cells = marked.groupBy(*inner.values()).agg(F.first("mix_weight").alias("w"), F.sum(F.col("tokens") * F.col("mix_probability")).alias("kept"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(i).alias("category")) for n, i in inner.items()]))
+    sums = cells.select(each.alias("d"), "w", "kept").groupBy("d").agg(F.sum("w").alias("target"), F.sum("kept").alias("kept"))
+    total = sums.groupBy("d.dimension").agg(F.sum("kept").alias("all"))
+    return sums.select("d.dimension", "d.category", "target", "kept").join(total, "dimension").select("dimension", "category", "target", (F.col("kept") / F.col("all")).alias("expected"))
+
+
 def uniform(*columns: Column) -> Column:
     """A number in [0, 1) by md5 of the columns; nulls count as empty."""
     text = F.concat_ws("\x01", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
@@ -150,12 +243,15 @@ def with_mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, target
         if sum(r[-1] for r in rows) > 0:
             weights, chances = rake(rows, inner, own)
             made = [(*r[:-1], float(w), float(p)) for r, w, p in zip(rows, weights, chances, strict=True)]
+            _tell({d: _misplaced([r[k] for r in rows], weights, chances * np.array([r[-1] for r in rows])) for k, d in enumerate(names)}, targets)
         else:
             made = [(*r[:-1], 0.0, 0.0) for r in rows]
         # at most max_local_cells rows
         cells = F.broadcast(docs.sparkSession.createDataFrame(made, schema))
     else:
-        cells = _rake_on_cluster(counted, inner, own).select(*inner, F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"))
+        raked = written(_rake_on_cluster(counted, inner, own), "cells")
+        _tell({d: _misplaced_on_cluster(raked, i) for i, d in zip(inner, names, strict=True)}, targets)
+        cells = raked.select(*inner, F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"))
     chance = uniform(F.lit(seed), F.col(id_col), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     out = marked.drop("mix_weight", "mix_probability", "mix_kept").join(cells, inner)
     return out.select(*[F.col(f"`{c}`") for c in columns], "mix_weight", "mix_probability", (chance < F.col("mix_probability")).alias("mix_kept"))

@@ -8,6 +8,7 @@ import public_tokenizers as P
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from keyloom.llm import embedding_dedup, mixing, packing, simhash
@@ -98,6 +99,33 @@ def test_mixing_meets_its_targets(spark):
     assert 0.4 < kept < 0.6
 
 
+@pytest.mark.parametrize(("budget", "cells"), [(0.2, 100_000), (0.5, 100_000), (0.5, 0)])
+def test_mixing_keeps_the_marginals(spark, budget, cells):
+    """Where a cell's tokens run out, others of its categories stand in; only topics without enough tokens fall short."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet" if cells else f"{SF}/documents.parquet")
+    shares, flatten = mixing.PRODUCTION.shares, mixing.PRODUCTION.flatten
+    # on the cluster, two languages of plenty and one source that runs out
+    dims = mixing.dimensions() if cells else {"lang": F.col("lang"), "form": F.when(F.col("doc_id") % 5 == 0, "few").otherwise("many")}
+    targets = mixing.Targets(shares if cells else {"lang": {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}, "form": {"few": 0.6, "many": 0.4}}, flatten, budget, 50 if cells else 5)
+    mixed = mixing.with_mix(docs, dims, mixing.approximate_tokens(docs.text), targets, max_local_cells=cells)
+    got = mixing.marginals(mixed, dims, mixing.approximate_tokens(docs.text)).toPandas()
+    off = (got.target - got.expected).abs().groupby(got.dimension).sum()
+    if not cells:
+        local = mixing.with_mix(docs, dims, mixing.approximate_tokens(docs.text), targets).toPandas().sort_values("doc_id")
+        assert np.allclose(local.mix_probability, mixed.toPandas().sort_values("doc_id").mix_probability, rtol=1e-6)
+        return
+    assert off["source"] < 1e-6 and off["lang"] < 1e-6
+    if budget == 0.2:
+        assert off["topic"] < 1e-6
+    else:
+        # short and contact texts are taken whole and still too few
+        tokens = mixed.groupBy(mixing.text_form(docs.text).alias("t")).agg(F.sum(mixing.approximate_tokens(docs.text)).alias("n")).toPandas().set_index("t").n
+        topic = got[got.dimension == "topic"].set_index("category")
+        lacking = [t for t in topic.index if tokens[t] < topic.target[t] * budget * tokens.sum()]
+        assert {"short", "contact"} <= set(lacking)
+        assert off["topic"] == pytest.approx(2 * sum(topic.target[t] - tokens[t] / (budget * tokens.sum()) for t in lacking), abs=1e-3)
+
+
 def test_mixing_on_the_cluster_is_the_same(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     few = mixing.Targets(mixing.PRODUCTION.shares, mixing.PRODUCTION.flatten, 0.5, 4, 0.0)
