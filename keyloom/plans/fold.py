@@ -1,18 +1,17 @@
 """State from an ordered log: snapshot and log to state.
 
 A log row is (seq, ts_ms, key, op, arg). Commutative and last-writer operations are grouped
-aggregates (``fold_counters``); histories whose result hangs on the order of mixed operations
-are replayed key by key (``replay``), a key's rows streaming through in order.
+aggregates (``fold_counters``); lists after mixed pushes and pops are running sums within slices
+of a key (``replay_lists``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.functions import ordered
+
 
 def barrier(log: DataFrame) -> DataFrame:
     """The rows after the last FLUSH of the log and the last DEL of their key."""
@@ -46,42 +45,42 @@ def snapshot_and_log(snapshot: DataFrame, log: DataFrame) -> DataFrame:
     return fold_counters(base.unionByName(tail.select("seq", "key", "op", F.col("arg").cast("bigint").alias("arg"))))
 
 
-def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from collections import deque
-
-    key, items, out = None, deque(), []
-
-    def close() -> None:
-        if key is not None:
-            out.extend((key, i, v) for i, v in enumerate(items))
-
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())], ["key", "pos", "value"])
-
-    for rows in batches:
-        for k, op, arg in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
-            if k != key:
-                close()
-                key, items = k, deque()
-            if op == "rpush":
-                items.append(arg)
-            elif op == "lpush":
-                items.appendleft(arg)
-            elif op == "rpop" and items:
-                items.pop()
-            elif op == "lpop" and items:
-                items.popleft()
-            elif op == "del":
-                items.clear()
-        if len(out) > 10_000:
-            yield batch()
-            out.clear()
-    close()
-    if out:
-        yield batch()
-
-
 def replay_lists(log: DataFrame) -> DataFrame:
-    """Lists (key, pos, value) after mixed pushes and pops in the order of seq."""
-    ordered = log.select("key", "op", "arg", "seq").repartition("key").sortWithinPartitions("key", "seq").select("key", "op", "arg")
-    return ordered.mapInArrow(_replayed, "key string, pos long, value string")
+    """Lists (key, pos, value) after mixed pushes and pops in the order of seq.
+
+    No key is held by one task. A list's size is the prefix sum of pushes and pops minus its running
+    minimum, which tells the pops that meet a value. Running sums of pushes and such pops are the places
+    of both ends; the last push to each place between the final ends is the list. All of it is done
+    in slices of a key along seq, joined with one row a slice. Rows without a key are left out.
+    """
+    rows = log.select("key", "op", "arg", "seq").where("key is not null and op in ('rpush', 'lpush', 'rpop', 'lpop', 'del')")
+    part = ordered.even_slices(rows, "seq")
+    cut = rows.withColumn("slice", F.lit(0) if part is None else part)
+    in_order = Window.partitionBy("key", "slice").orderBy("seq", "op", "arg")
+    own = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("key")
+    step = F.when(F.col("op").isin("rpush", "lpush"), 1).otherwise(-1)
+
+    # what stands after the key's last DEL
+    deleted = cut.groupBy("key", "slice").agg(F.max(F.when(F.col("op") == "del", F.col("seq"))).alias("n")).select("key", "slice", F.max("n").over(whole).alias("deleted"))
+    live = cut.join(deleted, ["key", "slice"]).where(F.col("deleted").isNull() | (F.col("seq") > F.col("deleted"))).drop("deleted")
+
+    # pops that meet a value: those that make no new minimum of the prefix sums
+    placed = live.withColumn("sum", F.sum(step).over(own)).withColumn("least", F.min("sum").over(earlier))
+    slices = placed.groupBy("key", "slice").agg(F.sum(step).alias("n"), F.min("sum").alias("low"))
+    slices = slices.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    slices = slices.select("key", "slice", "base", F.least(F.lit(0), F.min(F.col("base") + F.col("low")).over(before)).alias("floor"))
+    met = F.col("base") + F.col("sum") >= F.least("floor", F.col("base") + F.col("least"))
+    right = F.when(F.col("op") == "rpush", 1).when((F.col("op") == "rpop") & met, -1).otherwise(0)
+    left = F.when(F.col("op") == "lpush", -1).when((F.col("op") == "lpop") & met, 1).otherwise(0)
+    moved = placed.join(slices, ["key", "slice"]).select("key", "slice", "seq", "op", "arg", right.alias("right"), left.alias("left"))
+
+    # both ends after each row, and the last push to each place that is left
+    ends = moved.groupBy("key", "slice").agg(F.sum("right").alias("r"), F.sum("left").alias("l"))
+    ends = ends.select("key", "slice", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in "rl"], *[F.sum(c).over(whole).alias(f"{c}_end") for c in "rl"])
+    now = moved.withColumn("r", F.sum("right").over(own)).withColumn("l", F.sum("left").over(own)).where("op in ('rpush', 'lpush')").join(ends, ["key", "slice"])
+    place = F.when(F.col("op") == "rpush", F.col("r_before") + F.col("r") - 1).otherwise(F.col("l_before") + F.col("l"))
+    there = now.withColumn("place", place).where("place >= l_end and place < r_end")
+    return there.groupBy("key", (F.col("place") - F.col("l_end")).alias("pos")).agg(F.max_by("arg", F.struct("seq", "op", "arg")).alias("value"))

@@ -2,11 +2,13 @@
 
 import math
 import tempfile
+from collections import deque
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from keyloom.functions import ordered
 from keyloom.functions.keys import glob, glob_regex, live
 from keyloom.operators import commands, generic, hashes, lists, sets, sketches, strings, vectors, zsets
 from keyloom.plans import fold
@@ -136,6 +138,25 @@ def test_replay(spark):
     assert rows(fold.replay_lists(log)) == [("l", 0, "b"), ("l", 1, "c")]
 
 
+@pytest.mark.parametrize("whole", [1_000_000, 0])
+def test_replay_is_that_of_a_deque_and_holds_no_key(spark, monkeypatch, whole):
+    monkeypatch.setattr(ordered, "WHOLE_ROWS", whole)
+    rng = np.random.default_rng(5)
+    log = [(i, str(rng.choice(["hot", "hot", "a", "b", "c"])), str(rng.choice(["rpush", "lpush", "rpop", "lpop", "other", "del"], p=[0.27, 0.27, 0.22, 0.22, 0.015, 0.005])), None if i % 50 == 0 else str(i)) for i in range(4000)]
+    kept = {}
+    for _, k, op, arg in log:
+        items = kept.setdefault(k, deque())
+        if op in ("rpush", "lpush"):
+            (items.append if op == "rpush" else items.appendleft)(arg)
+        elif op in ("rpop", "lpop") and items:
+            (items.pop if op == "rpop" else items.popleft)()
+        elif op == "del":
+            items.clear()
+    got = fold.replay_lists(spark.createDataFrame([*log, (9, None, "rpush", "x")], "seq long, key string, op string, arg string").repartition(3))
+    assert sorted(rows_of(got), key=lambda r: r[:2]) == sorted(((k, i, v) for k, items in kept.items() for i, v in enumerate(items)), key=lambda r: r[:2])
+    assert "MapInArrow" not in got._jdf.queryExecution().toString()
+
+
 def test_fold_of_empty_log(spark):
     log = spark.createDataFrame([], "seq long, key string, op string, arg long")
     assert fold.fold_counters(log).count() == 0
