@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import ordered
 from keyloom.functions.keys import glob, glob_regex, live
-from keyloom.operators import commands, generic, hashes, lists, sets, sketches, strings, vectors, zsets
+from keyloom.operators import commands, generic, hashes, lists, metrics, sets, sketches, strings, vectors, zsets
 from keyloom.plans import fold
 from keyloom.sources import oplog
 from keyloom.streaming import jobs
@@ -157,6 +157,22 @@ def test_replay_is_that_of_a_deque_and_holds_no_key(spark, monkeypatch, whole):
     assert "MapInArrow" not in got._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("whole", [1_000_000, 0])
+def test_percentiles_hold_no_group(spark, monkeypatch, whole):
+    monkeypatch.setattr(ordered, "WHOLE_ROWS", whole)
+    rng = np.random.default_rng(6)
+    ops = [(str(k), float(v)) for k, v in zip(rng.choice(["a", "a", "a", "b"], 3000), rng.integers(0, 900, 3000) / 7, strict=True)] + [("a", 5.0)] * 500 + [("one", 3.0), (None, 1.0), (None, 2.0), ("none", None), ("a", None)]
+    df = spark.createDataFrame(ops, "kind string, micros double")
+    got = metrics.percentiles(df, "kind")
+    values = {k: [v for x, v in ops if x == k and v is not None] for k, _ in ops}
+    want = {k: (*np.percentile(v, [50, 90, 99]), np.mean(v)) if v else (None,) * 4 for k, v in values.items()}
+    for r in got.collect():
+        mine = want.pop(r.kind)
+        assert tuple(r)[1:] == (mine if None in mine else pytest.approx(mine, abs=2e-6))
+    assert not want
+    assert "percentile(" not in got._jdf.queryExecution().toString()
+
+
 def test_fold_of_empty_log(spark):
     log = spark.createDataFrame([], "seq long, key string, op string, arg long")
     assert fold.fold_counters(log).count() == 0
