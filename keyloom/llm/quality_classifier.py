@@ -25,6 +25,8 @@ SIZE = 1 << BITS
 THRESHOLD = 0.3
 #: Bound of the training sample.
 MAX_TRAINING_ROWS = 2_500
+#: Tasks that make the features of the training rows.
+FEATURE_TASKS = 32
 #: Bytes of a text that are turned into n-grams at once; blocks overlap.
 BLOCK = 1 << 20
 _OVERLAP = 256
@@ -189,22 +191,25 @@ def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [features(t.as_py(), flags).astype(np.int32) for t in part.column(1)]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists, part.column(2)], ["rank", "found", "label"])
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, part.column(2), part.column(3)], ["rank", "found", "label", "hash"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAINING_ROWS) -> Model:
     """Fit on the rows of ``labels`` that have a label of 0 or 1, ``max_rows`` of them at most.
 
     Which ones hangs on a hash of the id, so it is the same each time; ids, languages and
-    sources are no features. Labels without a document are ignored.
+    sources are no features. Labels without a document are ignored. Where ids repeat, ``max_rows``
+    of the joined rows are taken in the order of rank, label and text hash before any leaves the cluster.
     """
     rank = F.xxhash64(F.col(id_col).cast("string"), F.lit(11))
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     chosen = known.select(F.col(id_col).alias("__keyloom_id"), F.col(label_col).cast("int").alias("label"), rank.alias("rank")).orderBy("rank", "__keyloom_id", "label").limit(max_rows)
     # at most max_rows rows
     rows = docs.select(F.col(id_col).alias("__keyloom_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__keyloom_id")
-    table = rows.select("rank", "text", "label").mapInArrow(_featurer, "rank long, found array<int>, label int").toArrow()
-    order = np.lexsort((table.column("label").to_numpy(), table.column("rank").to_numpy()))[:max_rows]
+    rows = rows.withColumn("hash", F.md5(F.coalesce("text", F.lit("")))).orderBy("rank", "__keyloom_id", "label", "hash").limit(max_rows)
+    # the limit leaves one partition; features are made in many
+    table = rows.select("rank", "text", "label", "hash").repartition(FEATURE_TASKS).mapInArrow(_featurer, "rank long, found array<int>, label int, hash string").toArrow()
+    order = np.lexsort((table.column("hash").to_numpy().astype(str), table.column("label").to_numpy(), table.column("rank").to_numpy()))
     found, label = table.column("found").combine_chunks(), table.column("label").to_numpy()
     return fit([found[int(i)].values.to_numpy() for i in order], label[order])
 

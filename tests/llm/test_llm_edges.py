@@ -140,6 +140,15 @@ def test_classifier(spark, odd, none):
     assert quality_classifier.keep_good(odd, model).columns == odd.columns
 
 
+def test_training_rows_are_bounded_before_the_driver(spark, monkeypatch):
+    docs = frame(spark, [(5, f"{PROSE} {i}") for i in range(60)] + [(4, LONG[:100])] * 60)
+    labels = spark.createDataFrame([(5, 1), (4, 0)], "doc_id long, quality int")
+    sizes, whole = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: sizes.append((t := whole(df)).num_rows) or t)
+    quality_classifier.train(docs, labels, max_rows=80)
+    assert sizes == [80]
+
+
 def test_dual_coordinate_descent_is_optimal():
     rng = np.random.default_rng(0)
     y = np.where(rng.random(60) < 0.5, 1.0, -1.0)
