@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import AtomicType, LongType
 
 from .common import written
 from .components import connected_components
@@ -177,6 +177,15 @@ def fingerprint_links(fps: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataF
     return found.where("a != b").unionByName(hubs.where("a != b"))
 
 
+def _rooted(docs: DataFrame, id_col: str, text_col: str, bucket_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables of ``docs``: rows (id, fp), and fingerprints (fp, low, root) with their smallest id."""
+    rows = written(docs.select(F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")), "fingerprints")
+    fps = rows.groupBy("fp").agg(F.min("id").alias("low"))
+    parts = connected_components(fingerprint_links(fps.select("fp"), bucket_limit))
+    rooted = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return rows, written(rooted, "rooted")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Near-duplicate components: (id, fingerprint, component_id) for each row of ``docs``.
 
@@ -185,11 +194,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     as often as they went in. A row with a null id takes its component's smallest id (null if
     the component has none). An empty table gives an empty result; other columns are not read.
     """
-    rows = written(docs.select(F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")), "fingerprints")
-    fps = rows.groupBy("fp").agg(F.min("id").alias("low"))
-    parts = connected_components(fingerprint_links(fps.select("fp"), bucket_limit))
-    rooted = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "rooted")
+    rows, rooted = _rooted(docs, id_col, text_col, bucket_limit)
     # as tables of known size both sides are dealt for the join alone, so that Spark can split a large group
     lows = written(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
     of = rooted.join(lows, "root").select("fp", "component_id")
@@ -198,18 +203,29 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep one row of each component: that of its smallest id (one of them, if repeated).
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """Keep exactly one row of each component, with all columns of ``docs``.
 
-    Rows with a null id are kept only where their whole component has no id, one for each
-    component. All columns of ``docs`` are returned.
+    It is the row of the smallest id, rows without an id last; where that id stands on more rows
+    of the component, the one of the smallest fingerprint (as a signed number), then text hash,
+    then other columns in their order. Components belong to rows and not to ids: an id that
+    stands on texts of several components can stay on one row of each. Null, empty and very long
+    texts are as in ``simhash_components``; an empty table gives an empty result.
     """
-    parts = simhash_components(docs, id_col, text_col)
-    key = "__keyloom_keep"
-    ids = parts.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(key)).distinct()
-    named = docs.join(ids, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col])
-    lost = parts.where(F.col("component_id").isNull()).select(F.col("fingerprint").alias(key)).distinct()
-    fp = F.lpad(F.lower(F.hex(fingerprint_udf(F.col(text_col)))), 16, "0")
-    unnamed = docs.where(F.col(id_col).isNull()).withColumn("__keyloom_fp", fp)
-    unnamed = unnamed.join(lost, F.col("__keyloom_fp") == F.col(key), "left_semi").dropDuplicates(["__keyloom_fp"])
-    return named.unionByName(unnamed.drop("__keyloom_fp"))
+    rows, rooted = _rooted(docs, id_col, text_col, bucket_limit)
+    first = F.min(F.struct(F.col("low").isNull().alias("unnamed"), F.col("low").alias("id"), "fp")).alias("first")
+    chosen = rooted.groupBy("root").agg(first).select("root", "first.id", "first.fp")
+    often = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select("id", F.lit(True).alias("often"))
+    # an id on a single row names it; other rows are told apart by their fingerprints
+    chosen = written(chosen.join(often, chosen["id"].eqNullSafe(often["id"]), "left").select(
+        chosen["id"].alias("__keyloom_id"), F.col("fp").alias("__keyloom_fp"), F.col("root").alias("__keyloom_root"), F.coalesce("often", F.lit(False)).alias("often")), "chosen")
+    single = docs.join(chosen.where("not often").select("__keyloom_id"), F.col(id_col) == F.col("__keyloom_id"), "left_semi")
+    several = chosen.where("often").drop("often")
+    same = F.col(id_col).eqNullSafe(F.col("__keyloom_id"))
+    marked = docs.join(several.select("__keyloom_id").distinct(), same, "left_semi").withColumn("__keyloom_own", fingerprint_udf(F.col(text_col)))
+    found = marked.join(several, same & (F.col("__keyloom_own") == F.col("__keyloom_fp")))
+    others = [F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, AtomicType)]
+    # the limit of one row works within each task before anything is shuffled
+    place = F.row_number().over(Window.partitionBy("__keyloom_root").orderBy(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), *others))
+    one = found.withColumn("__keyloom_place", place).where(F.col("__keyloom_place") == 1)
+    return single.unionByName(one.select(*[F.col(f"`{c}`") for c in docs.columns]))
