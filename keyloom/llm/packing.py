@@ -11,6 +11,7 @@ its rank among those of its length: its rank within its task plus what earlier t
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -108,6 +109,11 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> tup
 _PLAIN = re.compile("[\t\n\r -~¡-©«¬®-±¿-ÿ‘’“”–—…€]*")
 #: How the tokenizer splits lower-cased text of those characters.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: The normaliser and splitter for which the two patterns above hold.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -142,7 +148,9 @@ def _tokenizer(path: str):
     tokenizer.no_padding()
     tokenizer.no_truncation()
     special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
-    return tokenizer, _Known(tokenizer.model), special
+    parts = json.loads(tokenizer.to_str())
+    by_word = parts["normalizer"] == _NORMALIZER and parts["pre_tokenizer"] == _SPLITTER and not parts["model"].get("dropout")
+    return tokenizer, _Known(tokenizer.model), special, by_word
 
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
@@ -150,15 +158,16 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
 
     The tokenizer lower-cases, drops white space and encodes each word by itself, so the ids of
     a plain text are those of its words, each encoded once. Texts with characters that its
-    normalisation may treat otherwise, or with special strings, are given to it whole.
+    normalisation may treat otherwise, or with special strings, are given to it whole, and so are
+    all texts where a tokenizer has another normaliser or splitter.
     """
-    tokenizer, known, special = _tokenizer(path)
+    tokenizer, known, special, by_word = _tokenizer(path)
     if len(known) > KEPT_WORDS:
         known.clear()
     out = []
     for text in texts:
         lower = text.lower()
-        if _PLAIN.fullmatch(text) and not any(s in text or s.lower() in lower for s in special):
+        if by_word and _PLAIN.fullmatch(text) and not any(s in text or s.lower() in lower for s in special):
             out.append(b"".join([known[w] for w in _WORD.findall(lower)]))
         else:
             out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
