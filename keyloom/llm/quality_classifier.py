@@ -27,9 +27,8 @@ THRESHOLD = 0.3
 MAX_TRAINING_ROWS = 2_500
 #: Tasks that make the features of the training rows.
 FEATURE_TASKS = 32
-#: Bytes of a text that are turned into n-grams at once; blocks overlap.
+#: Bytes of a text that are turned into n-grams at once.
 BLOCK = 1 << 20
-_OVERLAP = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -56,44 +55,100 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def _mark(data: np.ndarray, flags: np.ndarray) -> None:
-    """Set the flags of all n-grams of a block of bytes."""
-    n = len(data)
-    wide = data.astype(np.uint64)
-    if n >= 3:
-        three = wide[:-2] | (wide[1:-1] << np.uint64(8)) | (wide[2:] << np.uint64(16))
-        flags[_mixed(three, 1)] = True
-        if n >= 5:
-            flags[_mixed(three[:-2] | (three[2:] << np.uint64(24)), 2)] = True
-    classes = _CLASS[data]
-    runs = classes[np.concatenate(([0], np.flatnonzero(classes[1:] != classes[:-1]) + 1))].astype(np.uint64)
-    code = runs
-    for order in range(2, 6):
-        code = (code[:-1] << np.uint64(3)) | runs[order - 1 :]
-        flags[_mixed(code, 10 + order)] = True
-    inside = classes != 4
-    edges = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-    starts, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    if len(starts):
-        up, down = _power_tables(n + 1)
-        sums = np.concatenate(([np.uint64(0)], np.cumsum((wide + np.uint64(1)) * up[:n])))
+class _Marker:
+    """Sets the flags of all n-grams of a text that comes in blocks of bytes.
+
+    What a block begins with may belong to n-grams, runs and words of the blocks before it, so
+    their ends are kept: four bytes, four runs, the unfinished word, the last word and three
+    repeat flags. The flags are those of the text as one block.
+    """
+
+    def __init__(self, flags: np.ndarray) -> None:
+        self.flags = flags
+        self.bytes = np.zeros(0, np.uint8)
+        self.runs = np.zeros(0, np.uint64)
+        self.open, self.scale = np.uint64(0), np.uint64(1)  # the unfinished word's code, and the base to its length
+        self.inside = False
+        self.word = np.zeros(0, np.uint64)
+        self.same = np.zeros(0, np.uint64)
+
+    def add(self, data: np.ndarray) -> None:
+        wide = data.astype(np.uint64)
+        classes = _CLASS[data]
+        self._bytes(data)
+        self._runs(classes)
+        inside = classes != 4
+        edges = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
+        starts, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        up, down = _power_tables(len(data) + 1)
+        sums = np.concatenate(([np.uint64(0)], np.cumsum((wide + np.uint64(1)) * up[: len(data)])))
         words = (sums[stops] - sums[starts]) * down[starts]
-        flags[_mixed(words, 20)] = True
-        flags[_mixed(words[:-1] * _BASE + words[1:], 21)] = True
-        same = (words[1:] == words[:-1]).astype(np.uint64)
+        closed = [np.zeros(0, np.uint64)]
+        if self.inside and not inside[0]:
+            closed = [np.array([self.open])]
+        elif self.inside:
+            words[0] = self.open + self.scale * words[0]
+        scale = self.scale if self.inside and inside[0] else np.uint64(1)
+        self.inside = bool(inside[-1])
+        if self.inside:
+            length = int(stops[-1] - starts[-1])
+            self.open, self.scale = words[-1], up[length] * (scale if len(words) == 1 else np.uint64(1))
+            words = words[:-1]
+        self._words(np.concatenate([*closed, words]))
+
+    def end(self) -> None:
+        if self.inside:
+            self._words(np.array([self.open]))
+
+    def _bytes(self, data: np.ndarray) -> None:
+        data = np.concatenate((self.bytes, data))
+        self.bytes = data[-4:]
+        wide = data.astype(np.uint64)
+        if len(data) >= 3:
+            three = wide[:-2] | (wide[1:-1] << np.uint64(8)) | (wide[2:] << np.uint64(16))
+            self.flags[_mixed(three, 1)] = True
+            if len(data) >= 5:
+                self.flags[_mixed(three[:-2] | (three[2:] << np.uint64(24)), 2)] = True
+
+    def _runs(self, classes: np.ndarray) -> None:
+        runs = classes[np.concatenate(([0], np.flatnonzero(classes[1:] != classes[:-1]) + 1))].astype(np.uint64)
+        if len(self.runs) and self.runs[-1] == runs[0]:
+            runs = runs[1:]
+        runs = np.concatenate((self.runs, runs))
+        self.runs = runs[-4:]
+        code = runs
+        for order in range(2, 6):
+            code = (code[:-1] << np.uint64(3)) | runs[order - 1 :]
+            self.flags[_mixed(code, 10 + order)] = True
+
+    def _words(self, words: np.ndarray) -> None:
+        if not len(words):
+            return
+        self.flags[_mixed(words, 20)] = True
+        words = np.concatenate((self.word, words))
+        self.word = words[-1:]
+        self.flags[_mixed(words[:-1] * _BASE + words[1:], 21)] = True
+        same = np.concatenate((self.same, (words[1:] == words[:-1]).astype(np.uint64)))
+        self.same = same[-3:]
         code = same
         for order in range(2, 5):
             code = (code[:-1] << np.uint64(1)) | same[order - 1 :]
-            flags[_mixed(code, 30 + order)] = True
+            self.flags[_mixed(code, 30 + order)] = True
+
 
+def features(text: str | None, flags: np.ndarray | None = None, block: int = BLOCK) -> np.ndarray:
+    """Distinct feature numbers of a whole text, ascending; none for null or empty.
 
-def features(text: str | None, flags: np.ndarray | None = None) -> np.ndarray:
-    """Distinct feature numbers of a whole text, ascending; none for null or empty."""
+    They don't depend on ``block``, how many bytes are worked on at once.
+    """
     flags = np.zeros(SIZE, bool) if flags is None else flags
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(data), BLOCK):
-            _mark(data[max(0, at - _OVERLAP) : at + BLOCK], flags)
+    if len(data):
+        marker = _Marker(flags)
+        with np.errstate(over="ignore"):
+            for at in range(0, len(data), block):
+                marker.add(data[at : at + block])
+            marker.end()
     found = np.flatnonzero(flags)
     flags[found] = False
     return found
@@ -164,10 +219,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, smoothing
         share = (labels.sum() + 1) / (len(labels) + 2)
         zero = np.zeros(SIZE, np.float32)
         return Model(zero, zero, 0.0, 1.0, float(np.log(share / (1 - share))))
+    # the rows that calibrate the scores are in neither the ratios nor the fit
+    use = np.flatnonzero(~held)
     counts = np.full((2, SIZE), smoothing)
-    for found, label in zip(rows, labels, strict=True):
-        if len(found):
-            counts[label][found] += 1
+    for i in use:
+        if len(rows[i]):
+            counts[labels[i]][rows[i]] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     values = []
     for found in rows:
@@ -175,8 +232,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, smoothing
         n = np.sqrt(v @ v)
         values.append(v / n if n > 0 else v)
     y = np.where(labels == 1, 1.0, -1.0)
-    weight = cost * len(labels) / (2 * np.where(labels == 1, labels.sum(), len(labels) - labels.sum()))
-    use = np.flatnonzero(~held)
+    n, ones = len(use), labels[use].sum()
+    weight = cost * n / (2 * np.where(labels == 1, ones, n - ones))
     w, bias = dual_coordinate_descent([rows[i] for i in use], [values[i] for i in use], y[use], weight[use], SIZE)
     margins = np.array([float(w[rows[i]] @ values[i]) + bias for i in np.flatnonzero(held)])
     slope, shift = _logistic(margins, labels[held])
@@ -227,8 +284,9 @@ def _scorer(model: Model):
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with each text's probability of label 1.
 
-    Null and empty texts have no features and get the bias's score. Texts are read whole;
-    equal texts get equal scores; an empty table stays empty; other columns pass through.
+    Null and empty texts have no features and get the bias's score. Texts are read whole, in
+    blocks that change nothing; equal texts and repeated rows get equal scores; an empty table
+    stays empty. A column of ``docs`` that is named ``score_col`` is replaced, others pass through.
     """
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -249,6 +307,6 @@ def trained_model(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows with a score of at least ``threshold``, with the columns of ``docs``."""
+    """The rows with a score of at least ``threshold``, with the columns of ``docs``, whatever their names."""
     score = "__keyloom_kept"
     return with_scores(docs, model, text_col, score).where(F.col(score) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
