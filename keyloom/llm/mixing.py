@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-The corpus is reduced to cells (source, language, topic) with their tokens. Raking scales the
-cells' weights in turn so that the marginals of source, language and topic meet their targets.
+The corpus is reduced to cells (source, language, topic) with their tokens, which a tokenizer
+counts. Raking scales the cells' weights in turn so that the marginals of source, language and topic meet their targets.
 The tokens to keep are then raked with each cell bounded by the tokens it has, so that what a
 small cell can't give comes from cells of the same categories. Each document is kept with its cell's
 probability, decided by a hash of its id and text, so the sample is the same each time and needs no shuffle.
@@ -17,15 +17,18 @@ raked by the same steps as grouped sums and joins on the cluster.
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from .common import written
+from .packing import encode_texts
+from .token_counts import vocabulary_path
 
 log = logging.getLogger(__name__)
 
@@ -128,6 +131,8 @@ def _tell(missed: Mapping[str, float], targets: Targets) -> None:
 def _rake_on_cluster(cells: DataFrame, dims: Sequence[str], targets: Targets) -> DataFrame:
     """``rake`` for more cells than the driver should hold."""
     total = cells.agg(F.sum("tokens")).first()[0]
+    if not total:
+        return cells.select(*dims, "tokens", F.lit(0.0).alias("weight"), F.lit(0.0).alias("probability"))
     now = written(cells.withColumn("weight", F.col("tokens") / F.lit(float(total))), "cells")
     wanted = {}
     for dim in dims:
@@ -221,14 +226,21 @@ def uniform(*columns: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def with_mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Targets, id_col: str = "doc_id", text_col: str = "text", seed: str = "mix", max_local_cells: int = MAX_LOCAL_CELLS) -> DataFrame:
+def text_digest(text: Column) -> Column:
+    """What of a text the draw depends on."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def with_mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Targets, id_col: str = "doc_id", text_col: str = "text", seed: str = "mix", max_local_cells: int = MAX_LOCAL_CELLS, digest: Column | None = None) -> DataFrame:
     """``docs`` with ``mix_weight`` (target share of the document's cell), ``mix_probability``
     and ``mix_kept``.
 
     ``dims``: the dimensions by name; a null category is a category of its own. ``tokens``: a
-    document's tokens; null counts as 0. Null ids and texts hash as empty, so repeated rows are
-    kept or dropped together. A cell without tokens has probability 0. An empty table stays
-    empty. Other columns pass through, those named mix_* are replaced.
+    document's tokens; null counts as 0; they are read once, for the cells alone. ``digest``: the
+    text's md5 where the caller has it already. Null ids and texts hash as empty, so repeated rows
+    are kept or dropped together. A cell without tokens has probability 0, and where no document
+    has any, nothing is kept. Very long texts are used whole. An empty table stays empty. Other
+    columns pass through, those named mix_* are replaced.
     """
     names = list(dims)
     inner = [f"__keyloom_{i}" for i in range(len(names))]
@@ -252,7 +264,7 @@ def with_mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, target
         raked = written(_rake_on_cluster(counted, inner, own), "cells")
         _tell({d: _misplaced_on_cluster(raked, i) for i, d in zip(inner, names, strict=True)}, targets)
         cells = raked.select(*inner, F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"))
-    chance = uniform(F.lit(seed), F.col(id_col), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    chance = uniform(F.lit(seed), F.col(id_col), text_digest(F.col(text_col)) if digest is None else digest)
     out = marked.drop("mix_weight", "mix_probability", "mix_kept").join(cells, inner)
     return out.select(*[F.col(f"`{c}`") for c in columns], "mix_weight", "mix_probability", (chance < F.col("mix_probability")).alias("mix_kept"))
 
@@ -262,16 +274,25 @@ def sample_mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targ
     return with_mix(docs, dims, tokens, targets, **more).where("mix_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+#: An address: what stands around the sign is enough, so the pattern takes time in proportion to the text.
+_ADDRESS = r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[a-z]{2}"
+
+
 def text_form(text: Column) -> Column:
     """The topic of the registered query: what form a text has, as a proxy for its subject."""
     whole = F.coalesce(text.cast("string"), F.lit(""))
-    return (F.when(whole.contains(" | "), "table").when(whole.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]{2}"), "contact")
+    return (F.when(whole.contains(" | "), "table").when(whole.contains("@") & whole.rlike(_ADDRESS), "contact")
             .when(F.length(whole) > 6000, "long").when(F.length(whole) < 800, "short").otherwise("prose"))
 
 
-def approximate_tokens(text: Column) -> Column:
-    """A quarter of the bytes, at least one: a token measure that needs no tokenizer."""
-    return F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce(text.cast("string"), F.lit(""))) / 4)).cast("long")
+def token_counts(path: str) -> Callable[[Column], Column]:
+    """A function of a text column: how many tokens the tokenizer at ``path`` gives; 0 for null."""
+
+    @F.pandas_udf(LongType())
+    def counted(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(encode_texts(path, [t])[0]) // 4 if t else 0 for t in texts], dtype="int64")
+
+    return lambda text: counted(text.cast("string"))
 
 
 #: Production targets: languages by share, sources evened out, topics as a mixture.
@@ -283,3 +304,8 @@ PRODUCTION = Targets(
 
 def dimensions() -> dict[str, Column]:
     return {"source": F.col("source"), "lang": F.col("lang"), "topic": text_form(F.col("text"))}
+
+
+def production_tokens() -> Callable[[Column], Column]:
+    """Token counts by the tokenizer that sequences are packed with."""
+    return token_counts(vocabulary_path("word_bpe_49k.json"))

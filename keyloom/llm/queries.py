@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, embedding_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_counts, url_filter, warc
-from .common import table
+from .common import table, written
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight and probability in the production mixture, and the draw."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    mixed = mixing.with_mix(docs, mixing.dimensions(), mixing.approximate_tokens(F.col("text")), mixing.PRODUCTION)
-    return mixed.select("doc_id", "source", "lang", mixing.text_form(F.col("text")).alias("topic"), mixing.approximate_tokens(F.col("text")).alias("n_tokens"), "mix_weight", "mix_probability", "mix_kept")
+    text = F.col("text")
+    # texts are read once: what the mixture needs of them is a few bytes a document
+    known = written(docs.select("doc_id", "source", "lang", mixing.text_form(text).alias("topic"), mixing.production_tokens()(text).alias("n_tokens"), mixing.text_digest(text).alias("digest")), "documents")
+    dims = {c: F.col(c) for c in ("source", "lang", "topic")}
+    mixed = mixing.with_mix(known, dims, F.col("n_tokens"), mixing.PRODUCTION, digest=F.col("digest"))
+    return mixed.drop("digest")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
