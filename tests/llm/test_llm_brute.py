@@ -1,5 +1,8 @@
 """Queries that SQL can't express against plain versions of them."""
 
+import hashlib
+import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -11,12 +14,17 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keyloom.llm import embedding_dedup, mixing, packing, simhash
+from keyloom.llm import embedding_dedup, mixing, packing, quality_classifier, simhash
 from keyloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
 
+def TOKENS(text):  # noqa: N802
+    """A stand-in for a tokenizer: a quarter of the bytes."""
+    return F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / 4)).cast("long")
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet").toPandas()
@@ -61,7 +69,8 @@ def test_simhash_links_at_every_distance(spark, limit):
     u = np.array(prints, dtype=np.uint64)
     links = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in prints], "fp long"), limit).collect()
     at = {p: i for i, p in enumerate(prints)}
-    assert all(bin(r.a ^ r.b).count("1") <= 4 for r in links if limit == 4096)
+    # links over a hub of the linear way stand for two short ones: within four bits all the same
+    assert links and all(bin((r.a ^ r.b) & M64).count("1") <= 4 for r in links)
     near = defaultdict(list)
     for r in links:
         near[at[r.a]].append(at[r.b])
@@ -69,6 +78,26 @@ def test_simhash_links_at_every_distance(spark, limit):
     assert groups(len(prints), lambda j: near[j]) == groups(len(prints), lambda j: np.flatnonzero(np.bitwise_count(u ^ u[j]) <= 4).tolist())
 
 
+@pytest.mark.parametrize("limit", [2, 4096])
+def test_one_row_of_each_component_stays(spark, limit):
+    """Repeated ids with other texts, copies under other ids, rows without an id: nothing unique goes, nothing twice stays."""
+    rng = np.random.default_rng(limit)
+    texts = [" ".join(rng.choice(["red", "oak", "sun", "sea", "cat", "ice", "fox", "gem"], 40)) for _ in range(25)]
+    rows = [(3, "A a a b"), (5, "A a a b"), (5, "B q r s t"), (9, "C x"), (9, "D y z"), (9, "C x"), (None, "E only here"), (None, "E only here"), (None, "C x"), (None, None), (11, ""), (12, None)]
+    rows += [(int(rng.choice([20, 21, 22, 23, 24, 25])) if rng.random() < 0.8 else None, str(rng.choice(texts))) for _ in range(120)]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, __keyloom_n long").repartition(3)
+    kept = simhash.drop_near_duplicates(df, bucket_limit=limit)
+    assert kept.columns == df.columns
+    prints = np.array([plain_fingerprint(t) for _, t in rows], dtype=np.uint64)
+    component = groups(len(rows), lambda j: np.flatnonzero(np.bitwise_count(prints ^ prints[j]) <= 4).tolist())
+    want = {}
+    for n, c in enumerate(component):
+        i, text = rows[n]
+        rank = (i is None, i or 0, int(prints[n].view(np.int64)), hashlib.md5((text or "").encode()).hexdigest(), text is not None, text or "", n)
+        want[c] = min(want.get(c, rank), rank)
+    assert sorted(r["__keyloom_n"] for r in kept.collect()) == sorted(r[-1] for r in want.values())
+
+
 def test_token_counts(spark, docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     got = QUERIES["op5_token_counts"](spark, SF).toPandas().set_index("doc_id")
@@ -95,8 +124,32 @@ def test_mixing_meets_its_targets(spark):
             grid = grid * (w / w.sum() / grid.sum(others)).reshape(shape)
     assert np.allclose(grid[s[1], l[1], t[1]], cells.w, rtol=1e-6)
     assert (cells.p * cells.t).sum() == pytest.approx(0.5 * cells.t.sum(), rel=1e-6)
-    kept = got[got.mix_kept].n_tokens.sum() / got.n_tokens.sum()
-    assert 0.4 < kept < 0.6
+    # tokens, topics and the draw of every document, one by one
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas().set_index("doc_id").text
+    for r in got.itertuples():
+        text = texts[r.doc_id] or ""
+        draw = int(hashlib.md5(f"mix\x01{r.doc_id}\x01{hashlib.md5(text.encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        assert (r.n_tokens, r.topic, r.mix_kept) == (len(tokenizer.encode(text, add_special_tokens=False).ids), plain_form(text), draw < r.mix_probability)
+
+
+def plain_form(text):
+    if " | " in text:
+        return "table"
+    if re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]{2}", text):
+        return "contact"
+    return "long" if len(text) > 6000 else "short" if len(text) < 800 else "prose"
+
+
+def test_text_form_is_linear(spark):
+    run = "x" * 1_000_000
+    texts = [run, run + "@", run + "@a.de", "@" + run, run + "@" + run + ".c", "a@b..de", "é@b.de", "a @b.de", "_@-.zz", "@" * 200_000, "a@b.d e@f.gh"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").cache()
+    df.count()
+    began = time.perf_counter()
+    got = [r[0] for r in df.select(mixing.text_form(F.col("t"))).collect()]
+    assert time.perf_counter() - began < 5
+    assert got == ["long", "long", "contact", "long", "long", "contact", "short", "short", "contact", "long", "contact"]
 
 
 @pytest.mark.parametrize(("budget", "cells"), [(0.2, 100_000), (0.5, 100_000), (0.5, 0)])
@@ -107,11 +160,11 @@ def test_mixing_keeps_the_marginals(spark, budget, cells):
     # on the cluster, two languages of plenty and one source that runs out
     dims = mixing.dimensions() if cells else {"lang": F.col("lang"), "form": F.when(F.col("doc_id") % 5 == 0, "few").otherwise("many")}
     targets = mixing.Targets(shares if cells else {"lang": {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}, "form": {"few": 0.6, "many": 0.4}}, flatten, budget, 50 if cells else 5)
-    mixed = mixing.with_mix(docs, dims, mixing.approximate_tokens(docs.text), targets, max_local_cells=cells)
-    got = mixing.marginals(mixed, dims, mixing.approximate_tokens(docs.text)).toPandas()
+    mixed = mixing.with_mix(docs, dims, TOKENS(docs.text), targets, max_local_cells=cells)
+    got = mixing.marginals(mixed, dims, TOKENS(docs.text)).toPandas()
     off = (got.target - got.expected).abs().groupby(got.dimension).sum()
     if not cells:
-        local = mixing.with_mix(docs, dims, mixing.approximate_tokens(docs.text), targets).toPandas().sort_values("doc_id")
+        local = mixing.with_mix(docs, dims, TOKENS(docs.text), targets).toPandas().sort_values("doc_id")
         assert np.allclose(local.mix_probability, mixed.toPandas().sort_values("doc_id").mix_probability, rtol=1e-6)
         return
     assert off["source"] < 1e-6 and off["lang"] < 1e-6
@@ -119,7 +172,7 @@ def test_mixing_keeps_the_marginals(spark, budget, cells):
         assert off["topic"] < 1e-6
     else:
         # short and contact texts are taken whole and still too few
-        tokens = mixed.groupBy(mixing.text_form(docs.text).alias("t")).agg(F.sum(mixing.approximate_tokens(docs.text)).alias("n")).toPandas().set_index("t").n
+        tokens = mixed.groupBy(mixing.text_form(docs.text).alias("t")).agg(F.sum(TOKENS(docs.text)).alias("n")).toPandas().set_index("t").n
         topic = got[got.dimension == "topic"].set_index("category")
         lacking = [t for t in topic.index if tokens[t] < topic.target[t] * budget * tokens.sum()]
         assert {"short", "contact"} <= set(lacking)
@@ -129,7 +182,7 @@ def test_mixing_keeps_the_marginals(spark, budget, cells):
 def test_mixing_on_the_cluster_is_the_same(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     few = mixing.Targets(mixing.PRODUCTION.shares, mixing.PRODUCTION.flatten, 0.5, 4, 0.0)
-    local, wide = (mixing.with_mix(docs, mixing.dimensions(), mixing.approximate_tokens(docs.text), few, max_local_cells=n).toPandas().sort_values("doc_id") for n in (100_000, 0))
+    local, wide = (mixing.with_mix(docs, mixing.dimensions(), TOKENS(docs.text), few, max_local_cells=n).toPandas().sort_values("doc_id") for n in (100_000, 0))
     assert np.allclose(local.mix_weight, wide.mix_weight, rtol=1e-9)
     assert np.allclose(local.mix_probability, wide.mix_probability, rtol=1e-6)
 
@@ -146,6 +199,81 @@ def test_classifier_on_held_out_labels(spark):
     assert (got.predicted == (got.score >= 0.3)).all() and got.score.between(0, 1).all()
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_features(text):
+    """The classifier's features, n-gram by n-gram."""
+    base, data = int(quality_classifier._BASE), (text or "").encode()
+
+    def number(code, kind):
+        x = (code + kind * 0xD6E8FEB86659FD93) & M64
+        return (((x ^ (x >> 32)) * 0xBF58476D1CE4E5B9) & M64) >> (64 - quality_classifier.BITS)
+
+    def kind_of(b):
+        c = chr(b)
+        return 7 if b > 127 else 1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4 if c in " \t\n\v\f\r" else 5 if c in "!?" else 6
+
+    three = [int.from_bytes(data[i : i + 3], "little") for i in range(len(data) - 2)]
+    out = {number(c, 1) for c in three} | {number(a | b << 24, 2) for a, b in zip(three, three[2:], strict=False)}
+    runs = [k for i, k in enumerate(map(kind_of, data)) if not i or kind_of(data[i - 1]) != k]
+    words = [sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(w)) & M64 for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+    out |= {number(w, 20) for w in words} | {number((a * base + b) & M64, 21) for a, b in zip(words, words[1:], strict=False)}
+    same = [int(a == b) for a, b in zip(words, words[1:], strict=False)]
+    for items, bits, orders, kind in ((runs, 3, range(2, 6), 10), (same, 1, range(2, 5), 30)):
+        for n in orders:
+            for i in range(len(items) - n + 1):
+                code = 0
+                for x in items[i : i + n]:
+                    code = (code << bits) | x
+                out.add(number(code, kind + n))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [1, 2, 5, 64, 1 << 20])
+def test_features_are_those_of_the_whole_text(block, docs):
+    rng = np.random.default_rng(block)
+    texts = [None, "", " ", "a", "ab cd", "w" * 700 + " " + "w" * 700, *["".join(rng.choice(list(a), 300)) for a in ("ab ", "aB1! é?\n", "x", "a  ")]]
+    texts += [t[:3000] for t in docs.text[:5] if t]
+    for t in texts:
+        assert quality_classifier.features(t, block=block).tolist() == plain_features(t)
+
+
+def test_features_of_a_very_long_text():
+    rng = np.random.default_rng(2)
+    text = " ".join("".join(rng.choice(list("abcdeé1!"), 9)) for _ in range(120_000)) + "y" * 2_200_000 + " z"
+    assert len(text.encode()) > 3 << 20
+    assert (quality_classifier.features(text) == quality_classifier.features(text, block=1 << 30)).all()
+
+
+def test_classifier_query_is_that_of_a_plain_version(spark):
+    """Training rows, ratios, fit and scores, without blocks, batches or hashing in numpy."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    ranked = labels.where("quality in (0, 1)").select("doc_id", "quality", F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)).alias("rank")).toPandas()
+    texts = docs.toPandas().set_index("doc_id").text
+    chosen = [(r.doc_id, int(r.quality)) for r in ranked.sort_values("rank").itertuples() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in texts.index]
+    rows, y = [plain_features(texts[i]) for i, _ in chosen], [q for _, q in chosen]
+    counts = [defaultdict(lambda: 1.0), defaultdict(lambda: 1.0)]
+    for k, (row, label) in enumerate(zip(rows, y, strict=True)):
+        if k % 5 != 4:
+            for f in row:
+                counts[label][f] += 1
+    total = [quality_classifier.SIZE + sum(v - 1 for v in c.values()) for c in counts]
+    ratio = lambda f: np.log(counts[1][f] / total[1]) - np.log(counts[0][f] / total[0])
+    unit = lambda row: (v := np.array([ratio(f) for f in row])) / max(np.sqrt(v @ v), 1e-300)
+    fit = [k for k in range(len(rows)) if k % 5 != 4]
+    ones = sum(y[k] for k in fit)
+    cost = np.array([len(fit) / (2 * (ones if y[k] else len(fit) - ones)) for k in fit])
+    w, bias = quality_classifier.dual_coordinate_descent([np.array(rows[k]) for k in fit], [unit(rows[k]) for k in fit], np.array([1.0 if y[k] else -1.0 for k in fit]), cost, quality_classifier.SIZE)
+    margin = lambda row: float(w[row] @ unit(row)) + bias if row else bias
+    held = [k for k in range(len(rows)) if k % 5 == 4]
+    slope, shift = quality_classifier._logistic(np.array([margin(rows[k]) for k in held]), np.array([y[k] for k in held]))
+    got = QUERIES["op7_quality_classifier"](spark, sf).toPandas().set_index("doc_id")
+    some = texts.index[:60]
+    assert np.allclose([got.score[i] for i in some], [1 / (1 + np.exp(-(slope * margin(plain_features(texts[i])) + shift))) for i in some], atol=1e-4)
+
+
 def plain_packing(lengths, capacity):
     bins = []
     for n in sorted(lengths, reverse=True):

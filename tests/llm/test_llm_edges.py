@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import json
 import tempfile
 
 import numpy as np
@@ -113,10 +114,11 @@ def test_splicing(alphabet):
 
 
 def test_mixing(spark, odd, none):
-    got = mixing.with_mix(odd, {"source": F.col("source"), "lang": F.col("lang")}, mixing.approximate_tokens(F.col("text")), mixing.PRODUCTION)
+    got = mixing.with_mix(odd, {"source": F.col("source"), "lang": F.col("lang")}, mixing.production_tokens()(F.col("text")), mixing.PRODUCTION)
     assert got.columns == [*odd.columns, "mix_weight", "mix_probability", "mix_kept"] and got.count() == odd.count()
     assert mixing.with_mix(none, {"lang": F.col("lang")}, F.lit(1), mixing.PRODUCTION).count() == 0
     assert mixing.with_mix(odd, {"lang": F.col("lang")}, F.lit(None).cast("long"), mixing.PRODUCTION).where("mix_kept").count() == 0
+    assert mixing.with_mix(odd, {"lang": F.col("lang")}, F.lit(None).cast("long"), mixing.PRODUCTION, max_local_cells=0).where("mix_kept or mix_weight > 0").count() == 0
     everything = mixing.Targets(budget=1.0)
     assert mixing.sample_mix(odd, {"lang": F.col("lang")}, F.lit(1), everything).count() == odd.count()
 
@@ -138,6 +140,10 @@ def test_classifier(spark, odd, none):
     assert all(0 <= r.own <= 1 for r in got.collect())
     assert quality_classifier.with_scores(none, quality_classifier.train(none, labels)).count() == 0
     assert quality_classifier.keep_good(odd, model).columns == odd.columns
+    replaced = quality_classifier.with_scores(odd, model)
+    assert sorted(replaced.columns) == sorted(odd.columns) and replaced.where("score = 0.5").count() == 0
+    repeated = [r.own for r in got.where("doc_id = 5").collect()]
+    assert len(repeated) == 2 and len(set(repeated)) == 1
 
 
 def test_training_rows_are_bounded_before_the_driver(spark, monkeypatch):
@@ -171,6 +177,22 @@ def test_packing(spark, odd, none):
         filled[r.sequence_id] = r.offset + r.length
 
 
+def test_packing_with_another_tokenizer():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    path = vocabulary_path("word_bpe_49k.json")
+    other = tempfile.mkdtemp() + "/cased.json"
+    parts = json.loads(Tokenizer.from_file(path).to_str())
+    parts["normalizer"] = {"type": "NFC"}
+    with open(other, "w") as f:
+        json.dump(parts, f)
+    text = "The  End's\nOF it"
+    for p in (other, public_tokenizers.path("word_bpe_49k.json")):
+        assert np.frombuffer(packing.encode_texts(p, [text])[0], "<u4").tolist() == Tokenizer.from_file(p).encode(text, add_special_tokens=False).ids
+
+
 def test_chat_language():
     render = lambda t, **names: "".join(s for s, _ in chat.compile_template(t)(**names))
     assert render("a{{ 'b' ~ 'c' | upper }}{% if 1 == 2 %}x{% elif true and not false %}y{% else %}z{% endif %}") == "abCy"
