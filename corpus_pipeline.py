@@ -32,7 +32,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled to the production mixture of sources, languages and topics."""
-    return mixing.sample_mix(docs, mixing.dimensions(), mixing.approximate_tokens(F.col("text")), mixing.PRODUCTION)
+    return mixing.sample_mix(docs, mixing.dimensions(), mixing.production_tokens()(F.col("text")), mixing.PRODUCTION)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
