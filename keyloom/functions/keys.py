@@ -7,6 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The very end of a text; ``$`` would also stand before a last line feed.
+END = r"(?![\s\S])"
+WHOLE_NUMBER = "^-?[0-9]+" + END
+
 
 def live(state: DataFrame, now_ms: int) -> DataFrame:
     """Rows that have no deadline or one after ``now_ms``. The time is always a parameter."""
@@ -34,7 +38,7 @@ def glob_regex(pattern: str) -> str:
         else:
             out.append(re.escape(c))
         i += 1
-    return "(?s)^" + "".join(out) + "$"
+    return "(?s)^" + "".join(out) + END
 
 
 def glob(column: Column, pattern: str) -> Column:
@@ -60,14 +64,14 @@ def slice_bounds(start: int, stop: int, size: Column) -> tuple[Column, Column]:
 
 def parse_int(column: Column) -> Column:
     """A whole 64-bit number without plus sign or blanks; null otherwise."""
-    return F.when(column.rlike(r"^-?[0-9]+$"), column.try_cast("bigint"))
+    return F.when(column.rlike(WHOLE_NUMBER), column.try_cast("bigint"))
 
 
 def parse_double(column: Column) -> Column:
     """A number, or inf with a sign; null otherwise. Hexadecimal floats aren't supported."""
     word = F.lower(column)
     return (F.when(word.isin("inf", "+inf", "infinity"), F.lit(float("inf"))).when(word.isin("-inf", "-infinity"), F.lit(float("-inf")))
-            .when(column.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), column.try_cast("double")))
+            .when(column.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?" + END), column.try_cast("double")))
 
 
 def shard_of(key: Column, shards: int) -> Column:

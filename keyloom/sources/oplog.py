@@ -2,93 +2,138 @@
 
 Framing: ``*N`` and a word count, then for each word ``$L``, its length and its bytes, lines
 ending in CR LF; or one command a line with words apart by blanks. A half-written tail ends a file.
+A line ``@seq N`` numbers the command after it, so that order holds across files.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.functions.files import ordered_pieces
+from keyloom.functions.keys import live
+
 MAX_WORDS = 1 << 20
 MAX_INLINE = 64 << 10
+_END = b"\r\n"
+_NUMBER = b"@seq"
+#: Commands in one batch.
+BATCH = 10_000
 
 
 class FramingError(ValueError):
     """Bytes that can't be a command."""
 
 
-def parse(data: bytes) -> Iterator[list[bytes]]:
-    """Commands of a log; stops before an unfinished one."""
-    at = 0
-    while at < len(data):
-        line = data.find(b"\r\n", at)
-        if line < 0:
-            if len(data) - at > MAX_INLINE:
+def _size(line: bytes, what: str) -> int:
+    try:
+        return int(line[1:])
+    except ValueError:
+        raise FramingError(f"{what} expected") from None
+
+
+def parse_lines(lines: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Commands of the lines of a log; a word may hold line ends. Stops before an unfinished command."""
+    source = iter(lines)
+    for line in source:
+        if line[:1] != b"*":
+            if len(line) > MAX_INLINE:
                 raise FramingError("a line is too long")
-            return
-        if data[at : at + 1] != b"*":
-            words = data[at:line].split()
-            at = line + 2
-            if words:
+            if words := line.split():
                 yield words
             continue
-        try:
-            count = int(data[at + 1 : line])
-        except ValueError:
-            raise FramingError("word count expected") from None
+        count = _size(line, "word count")
         if count > MAX_WORDS:
             raise FramingError("too many words")
-        words, at = [], line + 2
+        words = []
         for _ in range(count):
-            line = data.find(b"\r\n", at)
-            if line < 0:
+            head = next(source, None)
+            if head is None:
                 return
-            if data[at : at + 1] != b"$":
+            if head[:1] != b"$":
                 raise FramingError("a word's length is expected")
-            size = int(data[at + 1 : line])
-            if len(data) < line + 4 + size:
-                return
-            words.append(data[line + 2 : line + 2 + size])
-            at = line + 4 + size
+            size, parts = _size(head, "word's length"), []
+            held = -len(_END)
+            while held < size:
+                part = next(source, None)
+                if part is None:
+                    return
+                parts.append(part)
+                held += len(part) + len(_END)
+            word = _END.join(parts)
+            if len(word) != size:
+                raise FramingError("a word is longer than its length")
+            words.append(word)
         if words:
             yield words
 
 
+def parse(data: bytes) -> Iterator[list[bytes]]:
+    """Commands of a log in memory; the last line counts only if it is closed."""
+    lines = data.split(_END)
+    if len(lines[-1]) > MAX_INLINE:
+        raise FramingError("a line is too long")
+    return parse_lines(lines[:-1])
+
+
 def framed(argv: Column) -> Column:
-    """A command's framing, of its words, without the last line end."""
-    words = F.transform(argv, lambda w: F.concat(F.lit("$"), F.octet_length(w), F.lit("\r\n"), w))
-    return F.concat(F.lit("*"), F.size(argv), F.lit("\r\n"), F.array_join(words, "\r\n"))
+    """A command's framing, of its words as bytes, without the last line end."""
+    end = F.lit(_END)
+    words = F.transform(argv, lambda w: F.concat(end, F.encode(F.concat(F.lit("$"), F.octet_length(w).cast("string")), "utf-8"), end, w.cast("binary")))
+    head = F.encode(F.concat(F.lit("*"), F.size(argv).cast("string")), "utf-8")
+    return F.aggregate(words, head, lambda a, w: F.concat(a, w))
 
 
 def write_log(log: DataFrame, path: str) -> None:
-    """Write (seq, argv) as framed files, in order within each file."""
-    log.sortWithinPartitions("seq").select(framed(F.col("argv")).alias("value")).write.option("lineSep", "\r\n").text(path)
-
+    """Write (seq, argv) as framed, numbered files; each file holds a range of seq, in order.
 
-def _commands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows: list[list[str]] = []
-            start = 0
-            for argv in parse(content.as_py()):
-                rows.append([w.decode("utf-8", "replace") for w in argv])
-                if len(rows) == 10_000:
-                    yield _rows(name, start, rows)
-                    start, rows = start + len(rows), []
-            if rows:
-                yield _rows(name, start, rows)
+    Words are strings or bytes and are kept as they are.
+    """
+    number = F.encode(F.concat(F.lit(_NUMBER.decode() + " "), F.col("seq").cast("string")), "utf-8")
+    lines = log.repartitionByRange("seq").sortWithinPartitions("seq").select(F.concat(number, F.lit(_END), framed(F.col("argv"))).cast("string").alias("value"))
+    lines.write.option("lineSep", _END.decode()).text(path)
 
 
-def _rows(name: str, start: int, rows: list[list[str]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(range(start, start + len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], ["file", "line", "argv"])
+def _commands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces() -> Iterator[tuple[str, bytes]]:
+        for batch in batches:
+            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+
+    def of_files() -> Iterator[tuple]:
+        from itertools import groupby
+
+        for name, own in groupby(pieces(), key=lambda p: p[0]):
+            line, number = 0, None
+            for argv in parse_lines(piece for _, piece in own):
+                if argv[0] == _NUMBER and len(argv) == 2:
+                    number = int(argv[1])
+                else:
+                    yield name, line, number, argv
+                    line, number = line + 1, None
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "line", "seq", "argv"])
+
+    rows: list[tuple] = []
+    for row in of_files():
+        rows.append(row)
+        if len(rows) == BATCH:
+            yield made(rows)
+            rows = []
+    if rows:
+        yield made(rows)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, argv) of framed files below ``path``."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_commands, "file string, line long, argv array<string>")
+    """(file, line, seq, argv) of the framed files below ``path``; words are bytes, ``seq`` is null where a log isn't numbered.
+
+    Files are read in pieces by many tasks and parsed by one task each, command by command.
+    """
+    return ordered_pieces(spark, path, _END.decode()).mapInArrow(_commands, "file string, line long, seq long, argv array<binary>")
 
 
 def write_snapshot(state: DataFrame, path: str) -> None:
@@ -98,7 +143,5 @@ def write_snapshot(state: DataFrame, path: str) -> None:
 
 def read_snapshot(spark: SparkSession, path: str, now_ms: int | None = None) -> DataFrame:
     """A snapshot's rows; those that are live at ``now_ms``, if given."""
-    from keyloom.functions.keys import live
-
     state = spark.read.parquet(path)
     return state if now_ms is None else live(state, now_ms)
