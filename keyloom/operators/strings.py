@@ -31,14 +31,14 @@ def set_many(log: DataFrame) -> DataFrame:
     return each.groupBy("seq", "key").agg(F.max_by("value", "at").alias("value"))
 
 
-def set_absent(log: DataFrame, state: DataFrame, now_ms: int) -> DataFrame:
-    """SETNX: the first write of each key that has no live value."""
-    return log.join(live(state, now_ms).select("key"), "key", "left_anti").groupBy("key").agg(F.min_by("value", "seq").alias("value"))
+def set_absent(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """SETNX: the first write of each key that isn't among ``keys``, the live keys of all types."""
+    return log.join(keys.select("key"), "key", "left_anti").groupBy("key").agg(F.min_by("value", "seq").alias("value"))
 
 
-def set_present(log: DataFrame, state: DataFrame, now_ms: int) -> DataFrame:
-    """SET XX: the last write of each key that has a live value."""
-    return log.join(live(state, now_ms).select("key"), "key", "left_semi").groupBy("key").agg(F.max_by("value", "seq").alias("value"))
+def set_present(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """SET XX: the last write of each key that is among ``keys``, the live keys of all types."""
+    return log.join(keys.select("key"), "key", "left_semi").groupBy("key").agg(F.max_by("value", "seq").alias("value"))
 
 
 def set_expiring(log: DataFrame, ttl_ms: int) -> DataFrame:
@@ -47,14 +47,39 @@ def set_expiring(log: DataFrame, ttl_ms: int) -> DataFrame:
     return log.groupBy("key").agg(last.alias("w")).select("key", "w.value", "w.deadline_ms")
 
 
-def set_keeping_ttl(log: DataFrame, state: DataFrame, keep: bool) -> DataFrame:
-    """SET with or without KEEPTTL over ``state``: untouched keys stay as they are."""
+def set_keeping_ttl(log: DataFrame, state: DataFrame, keep: bool, now_ms: int) -> DataFrame:
+    """SET with or without KEEPTTL over the live ``state``: untouched keys stay as they are."""
     last = set_last(log).withColumnRenamed("value", "new")
-    joined = state.join(last, "key", "full")
+    joined = live(state, now_ms).join(last, "key", "full")
     deadline = F.col("deadline_ms") if keep else F.when(F.col("new").isNull(), F.col("deadline_ms"))
     return joined.select("key", F.coalesce("new", "value").alias("value"), deadline.alias("deadline_ms"))
 
 
+def set_with_options(log: DataFrame, state: DataFrame, now_ms: int) -> DataFrame:
+    """SET with any options: the live ``state`` after a log (seq, key, value, only, keep, in_ms, at_ms).
+
+    only: nx, xx or null. keep: KEEPTTL. in_ms: EX or PX as milliseconds from ``now_ms``; at_ms: EXAT
+    or PXAT as milliseconds; a deadline comes before KEEPTTL, and one that isn't above 0 makes the
+    write an error, which changes nothing. The log is one moment, so no deadline passes within it.
+
+    A missing key's first write that isn't XX makes it; before it XX, after it NX does nothing.
+    """
+    sound = (F.coalesce("in_ms", F.lit(1)) > 0) & (F.coalesce("at_ms", F.lit(1)) > 0)
+    held = live(state, now_ms).select("key", F.col("value").alias("old"), F.col("deadline_ms").alias("old_deadline"), F.lit(True).alias("held"))
+    writes = log.where(sound)
+    made = writes.where("only is null or only <> 'xx'").groupBy("key").agg(F.min("seq").alias("made"))
+    joined = writes.join(held.select("key", "held"), "key", "left").join(made, "key", "left")
+    only, seq = F.coalesce("only", F.lit("")), F.col("seq")
+    done = F.when(F.col("held"), only != "nx").otherwise((seq == F.col("made")) | ((seq > F.col("made")) & (only != "nx")))
+    own = F.coalesce(F.col("at_ms"), F.lit(now_ms) + F.col("in_ms"))
+    resets = own.isNotNull() | ~F.coalesce("keep", F.lit(False))
+    folded = joined.where(done).groupBy("key").agg(
+        F.max_by("value", "seq").alias("new"), F.max_by(F.struct(own.alias("deadline")), F.when(resets, seq)).alias("reset"), F.lit(True).alias("written"))
+    out = held.join(folded, "key", "full")
+    deadline = F.when(F.col("reset").isNotNull(), F.col("reset.deadline")).otherwise(F.col("old_deadline"))
+    return out.select("key", F.when(F.col("written"), F.col("new")).otherwise(F.col("old")).alias("value"), deadline.alias("deadline_ms"))
+
+
 def get_set(log: DataFrame) -> DataFrame:
     """GETSET and SET GET: every write with the value before it."""
     return previous(log, even_slices(log, "seq"), "seq", "value", "previous")
