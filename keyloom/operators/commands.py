@@ -34,9 +34,8 @@ COMMANDS = (
     ("pfadd", -2, "sketch", True, 1, 1, 1), ("pfcount", -2, "sketch", False, 1, -1, 1), ("pfmerge", -2, "sketch", True, 1, -1, 1),
     ("vadd", -4, "vector", True, 1, 1, 1), ("vsim", -4, "vector", False, 1, 1, 1), ("vcard", 2, "vector", False, 1, 1, 1),
     ("vrem", 3, "vector", True, 1, 1, 1),
-    ("ping", -1, "server", False, 0, 0, 0), ("echo", 2, "server", False, 0, 0, 0), ("select", 2, "server", False, 0, 0, 0),
     ("command", -1, "server", False, 0, 0, 0), ("info", -1, "server", False, 0, 0, 0), ("dbsize", 1, "server", False, 0, 0, 0),
-    ("flushall", -1, "server", True, 0, 0, 0), ("flushdb", -1, "server", True, 0, 0, 0), ("config", -2, "server", False, 0, 0, 0),
+    ("flushall", -1, "server", True, 0, 0, 0), ("flushdb", -1, "server", True, 0, 0, 0),
 )
 
 

@@ -27,17 +27,38 @@ def delete_fields(state: DataFrame, requests: DataFrame) -> DataFrame:
     return state.join(requests.select("key", "field"), ["key", "field"], "left_anti")
 
 
+def added(log: DataFrame, state: DataFrame) -> DataFrame:
+    """HSET's reply: how many new fields each key gains."""
+    return log.select("key", "field").distinct().join(state, ["key", "field"], "left_anti").groupBy("key").agg(F.count("*").alias("n_added"))
+
+
+def deleted(state: DataFrame, requests: DataFrame) -> DataFrame:
+    """HDEL's reply: how many fields each key loses."""
+    return state.join(requests.select("key", "field"), ["key", "field"], "left_semi").groupBy("key").agg(F.count("*").alias("n_removed"))
+
+
 def _sorted(column: Column) -> Column:
     return F.array_sort(F.collect_list(column))
 
 
 def get_all(state: DataFrame) -> DataFrame:
-    """HGETALL, HKEYS, HVALS and HLEN of every hash, fields in order."""
+    """HGETALL and HLEN of every hash, fields in order. A hash is one value, so it has to fit in memory;
+    the rows of ``state`` are the same answer for those that don't."""
     entries = _sorted(F.struct("field", "value"))
     return state.groupBy("key").agg(entries.alias("e")).select(
         "key", F.transform("e", lambda x: x["field"]).alias("fields"), F.transform("e", lambda x: x["value"]).alias("values"), F.size("e").cast("bigint").alias("n_fields"))
 
 
+def keys(state: DataFrame) -> DataFrame:
+    """HKEYS of every hash, in order; values aren't read."""
+    return state.groupBy("key").agg(_sorted(F.col("field")).alias("fields"))
+
+
+def values(state: DataFrame) -> DataFrame:
+    """HVALS of every hash, in the order of the fields."""
+    return get_all(state).select("key", "values")
+
+
 def as_map(state: DataFrame) -> DataFrame:
     """Each hash as a map column."""
     return state.groupBy("key").agg(F.map_from_entries(_sorted(F.struct("field", "value"))).alias("hash"))

@@ -25,13 +25,13 @@ def bucket(micros: Column) -> Column:
 def histogram(ops: DataFrame, *by: str) -> DataFrame:
     """(by..., bucket, n, cumulative): counts of latency buckets and their running sum."""
     counts = ops.groupBy(*by, bucket(F.col("micros")).alias("bucket")).agg(F.count("*").alias("n"))
-    running = F.sum("n").over(Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum("n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     return counts.withColumn("cumulative", running)
 
 
 def bucket_percentile(ops: DataFrame, q: float, *by: str) -> DataFrame:
     """(by..., bucket): the first bucket whose running sum reaches the share ``q``."""
-    h = histogram(ops, *by).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
+    h = histogram(ops, *by).withColumn("total", F.sum("n").over(Window.partitionBy(*(by or [F.lit(0)]))))
     return h.where(F.col("cumulative") >= F.ceil(F.col("total") * F.lit(q))).groupBy(*by).agg(F.min("bucket").alias("bucket"))
 
 
@@ -93,30 +93,69 @@ def read_ratio(ops: DataFrame, is_read: Column, *by: str) -> DataFrame:
 
 
 def info(keys: DataFrame, state: DataFrame, ops: DataFrame, now_ms: int) -> DataFrame:
-    """(section, field, value): INFO as a roll-up."""
-    row = lambda section, field: (F.lit(section).alias("section"), F.lit(field).alias("field"))
-    value = lambda df, agg: df.agg(agg.cast("bigint").alias("value"))
-    out = value(keys, F.count("*")).select(*row("keyspace", "keys"), "value")
-    for section, field, df, agg in (
-        ("keyspace", "expires", state, F.count("deadline_ms")),
-        ("keyspace", "expired", state, F.count_if(F.coalesce(F.col("deadline_ms") <= now_ms, F.lit(False)))),
-        ("memory", "used", state, F.sum(F.octet_length("key") + F.octet_length("value") + 48)),
-        ("stats", "commands", ops, F.count("*")),
-    ):
-        out = out.unionByName(value(df, agg).select(*row(section, field), "value"))
+    """(section, field, value): INFO as a roll-up; each table is read once."""
+    dead = F.coalesce(F.col("deadline_ms") <= now_ms, F.lit(False))
+    size = F.octet_length("key") + F.octet_length("value") + 48
+    parts = (
+        (keys, {("keyspace", "keys"): F.count("*")}),
+        (state, {("keyspace", "expires"): F.count_if(F.col("deadline_ms") > now_ms), ("keyspace", "expired"): F.count_if(dead), ("memory", "used"): F.coalesce(F.sum(F.when(~dead, size)), F.lit(0))}),
+        (ops, {("stats", "commands"): F.count("*")}),
+    )
+    out = None
+    for df, fields in parts:
+        values = df.agg(*[v.cast("bigint").alias(f"v{i}") for i, v in enumerate(fields.values())])
+        rows = values.select(F.inline(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(f).alias("field"), F.col(f"v{i}").alias("value")) for i, (s, f) in enumerate(fields)])))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def exposition(ops: DataFrame, shard: Column) -> DataFrame:
-    """(shard, line): a text exposition of each shard's counters and 64 cumulative buckets."""
-    marked = ops.withColumn("shard", shard)
-    counts = marked.groupBy("shard", F.least(F.lit(63), F.floor(bucket(F.col("micros")) / 8)).cast("int").alias("le")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("shard").orderBy("le").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select("shard", F.format_string('latency_bucket{shard="%d",le="%d"} %d', "shard", "le", total).alias("line"))
-
-
-def dashboard(ops: DataFrame, shard: Column) -> DataFrame:
-    """One row (json): totals and an array of shards."""
-    each = shard_balance(ops, shard)
-    shards = F.array_sort(F.collect_list(F.struct("shard", "n_ops")))
-    return each.agg(F.to_json(F.struct(F.sum("n_ops").alias("total"), shards.alias("shards"))).alias("json"))
+#: Buckets of the exposition: so many of the histogram's in one.
+COARSE = 8
+
+
+def bound_seconds(coarse: Column) -> Column:
+    """The upper bound, in seconds, of a bucket of the exposition."""
+    return F.exp(F.lit(_STEP) * F.least((coarse + 1) * COARSE, F.lit(BUCKETS))) / F.lit(1e6)
+
+
+def by_shard(ops: DataFrame, keys: DataFrame, shard: Column, is_read: Column) -> DataFrame:
+    """(shard, commands, reads, writes, keys, memory) of operations and live keys (key, bytes), both sharded by ``shard`` of their key."""
+    done = ops.groupBy(shard.alias("shard")).agg(F.count("*").alias("commands"), F.count_if(is_read).alias("reads"), F.count_if(~is_read).alias("writes"))
+    held = keys.groupBy(shard.alias("shard")).agg(F.count("*").alias("keys"), F.sum("bytes").cast("bigint").alias("memory"))
+    return done.join(held, "shard", "full").select("shard", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("commands", "reads", "writes", "keys", "memory")])
+
+
+def exposition(ops: DataFrame, keys: DataFrame, shard: Column, is_read: Column) -> DataFrame:
+    """(name, label, value): a text exposition's samples: counters and gauges by shard, and the latency
+    histogram of all shards, its buckets cumulative and none of them left out. ``exposition_line`` is their text."""
+    each = by_shard(ops, keys, shard, is_read)
+    sample = lambda name, label, value: F.struct(F.lit(name).alias("name"), label.alias("label"), value.cast("double").alias("value"))
+    label = F.format_string('shard="%d"', "shard")
+    counters = each.select(F.inline(F.array(*[sample(n, label, F.col(c)) for n, c in (("commands_total", "commands"), ("reads_total", "reads"), ("writes_total", "writes"), ("keys", "keys"), ("memory_bytes", "memory"))])))
+    counts = ops.groupBy(F.floor(bucket(F.col("micros")) / COARSE).cast("int").alias("coarse")).agg(F.count("*").alias("n"))
+    every = ops.sparkSession.range(BUCKETS // COARSE).select(F.col("id").cast("int").alias("coarse")).join(counts, "coarse", "left")
+    # a row for each bucket
+    upto = every.select("coarse", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("coarse")), F.lit(0)).alias("upto"))
+    buckets = upto.select(F.lit("latency_seconds_bucket").alias("name"), F.format_string('le="%.9f"', bound_seconds(F.col("coarse"))).alias("label"), F.col("upto").cast("double").alias("value"))
+    total = upto.agg(F.sum("n").alias("n"), F.sum(F.col("n") * bound_seconds(F.col("coarse"))).alias("s"))
+    ends = total.select(F.inline(F.array(sample("latency_seconds_bucket", F.lit('le="+Inf"'), F.col("n")), sample("latency_seconds_count", F.lit(""), F.col("n")), sample("latency_seconds_sum", F.lit(""), F.col("s")))))
+    return counters.unionByName(buckets).unionByName(ends)
+
+
+def exposition_line(samples: DataFrame) -> DataFrame:
+    """(line): samples as text; whole numbers without a fraction, others with six decimals."""
+    value = F.when(F.col("value") == F.floor("value"), F.floor("value").cast("string")).otherwise(F.format_string("%.6f", "value"))
+    label = F.when(F.col("label") != "", F.concat(F.lit("{"), "label", F.lit("}"))).otherwise(F.lit(""))
+    return samples.select(F.concat("name", label, F.lit(" "), value).alias("line"))
+
+
+def dashboard(ops: DataFrame, keys: DataFrame, shard: Column, is_read: Column) -> DataFrame:
+    """One row (json): totals, latency percentiles by bucket, and an array of shards."""
+    each = by_shard(ops, keys, shard, is_read)
+    shards = F.array_sort(F.collect_list(F.struct("shard", "commands", "keys", "memory", "reads", "writes")))
+    totals = each.agg(F.count("*").alias("shard_count"), *[F.sum(c).alias(c) for c in ("commands", "keys", "memory")], shards.alias("shards"))
+    # one row each
+    for q in (50, 99):
+        totals = totals.crossJoin(bucket_percentile(ops, q / 100).select(F.col("bucket").alias(f"p{q}_bucket")))
+    columns = ["shard_count", "commands", "keys", "memory", "p50_bucket", "p99_bucket", "shards"]
+    return totals.select(F.to_json(F.struct(*columns)).alias("json"))

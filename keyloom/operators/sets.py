@@ -22,6 +22,11 @@ def remove(state: DataFrame, requests: DataFrame) -> DataFrame:
     return state.join(requests.select("key", "member"), ["key", "member"], "left_anti")
 
 
+def removed(state: DataFrame, requests: DataFrame) -> DataFrame:
+    """SREM's reply: how many members each key loses."""
+    return state.join(requests.select("key", "member"), ["key", "member"], "left_semi").groupBy("key").agg(F.count("*").alias("n_removed"))
+
+
 def is_member(requests: DataFrame, state: DataFrame) -> DataFrame:
     """SISMEMBER: requests with ``found``."""
     held = state.select("key", "member", F.lit(True).alias("held"))
@@ -42,3 +47,8 @@ def pop(state: DataFrame, count: int) -> DataFrame:
     """SPOP: ``count`` members of every set, chosen by hash, the same each time."""
     rn = F.row_number().over(Window.partitionBy("key").orderBy(F.md5("member"), "member"))
     return state.withColumn("rn", rn).where(F.col("rn") <= count).drop("rn")
+
+
+def left_after_pop(state: DataFrame, count: int) -> DataFrame:
+    """What SPOP leaves of every set; sets without members are gone."""
+    return state.join(pop(state, count).select("key", "member"), ["key", "member"], "left_anti")

@@ -25,6 +25,13 @@ def add(elements: DataFrame) -> DataFrame:
     return elements.select("key", h.bitwiseAND(REGISTERS - 1).cast("int").alias("idx"), rank.cast("int").alias("rank")).groupBy("key", "idx").agg(F.max("rank").alias("reg"))
 
 
+def changed(registers: DataFrame, added: DataFrame) -> DataFrame:
+    """PFADD's reply: (key, reply) of each key of ``added``, registers that ``add`` made: 1 if it is new or one of its registers rose."""
+    old = registers.select("key", "idx", F.col("reg").alias("old"))
+    rose = F.coalesce(F.col("reg") > F.col("old"), F.lit(True))
+    return added.join(old, ["key", "idx"], "left").groupBy("key").agg(F.max(rose.cast("int")).alias("reply"))
+
+
 def merge(registers: DataFrame, into: str) -> DataFrame:
     """PFMERGE of all keys into one."""
     return registers.groupBy("idx").agg(F.max("reg").alias("reg")).select(F.lit(into).alias("key"), "idx", "reg")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from keyloom.functions.keys import slice_bounds
-from keyloom.functions.ordered import numbered, uneven_slices
+from keyloom.functions.ordered import even_slices, numbered, running_sum, uneven_slices
 
 
 def _by_key() -> WindowSpec:
@@ -36,6 +36,45 @@ def add(log: DataFrame, rule: str = "last", state: DataFrame | None = None) -> D
     return rows.groupBy("key", "member").agg(best[rule].alias("score"))
 
 
+def update(log: DataFrame, state: DataFrame, only: str | None = None, toward: str | None = None, incr: bool = False) -> DataFrame:
+    """ZADD with any options: (key, member, score) after a log (seq, key, member, score).
+
+    only: new (NX) or old (XX) members. toward: up (GT) or down (LT), which rules members that are
+    there; new ones are added all the same. incr: scores are added to the one before. Contradictory
+    options, which NX with GT or LT is too, are refused.
+    """
+    if only not in (None, "new", "old") or toward not in (None, "up", "down") or (only == "new" and toward):
+        raise ValueError(f"no such options: {only}, {toward}")
+    first = F.min_by("score", "seq")
+    if incr:
+        step = F.col("score") if toward is None else F.greatest("score", F.lit(0.0)) if toward == "up" else F.least("score", F.lit(0.0))
+        rest = F.sum(step) - F.min_by(step, F.col("seq"))
+        # a new member's first score counts whatever its direction; those of the old ones all have to point it
+        made, moved = first + rest, F.col("score") + F.col("step")
+    else:
+        step = None
+        best = {None: F.max_by("score", "seq"), "up": F.max("score"), "down": F.min("score")}[toward]
+        made, moved = best, {None: F.col("step"), "up": F.greatest("score", "step"), "down": F.least("score", "step")}[toward]
+    if only == "new":
+        made = first
+    folded = log.groupBy("key", "member").agg(made.alias("made"), (F.sum(step) if incr else best).alias("step"))
+    joined = state.withColumn("held", F.lit(True)).join(folded, ["key", "member"], "left" if only == "old" else "full")
+    after = F.when(F.col("held").isNull(), F.col("made")).when(F.col("step").isNull() | F.lit(only == "new"), F.col("score")).otherwise(moved)
+    return joined.select("key", "member", after.alias("score"))
+
+
+def added(log: DataFrame, state: DataFrame) -> DataFrame:
+    """ZADD's reply: how many new members each key gains."""
+    return log.select("key", "member").distinct().join(state, ["key", "member"], "left_anti").groupBy("key").agg(F.count("*").alias("n_added"))
+
+
+def increments(log: DataFrame, state: DataFrame) -> DataFrame:
+    """The reply of every ZINCRBY and ZADD INCR: (seq, key, member, reply), the member's score after it."""
+    each = log.select("seq", F.struct("key", "member").alias("key"), "score")
+    sums = running_sum(each, even_slices(each, "seq"), "seq", F.col("score"), "sum").select("seq", "key.key", "key.member", "sum")
+    return sums.join(state, ["key", "member"], "left").select("seq", "key", "member", (F.coalesce("score", F.lit(0.0)) + F.col("sum")).alias("reply"))
+
+
 def changed(log: DataFrame, state: DataFrame) -> DataFrame:
     """ZADD CH: how many members of each key are new or get another score."""
     new = add(log).withColumnRenamed("score", "new")
@@ -48,6 +87,11 @@ def remove(state: DataFrame, requests: DataFrame) -> DataFrame:
     return state.join(requests.select("key", "member"), ["key", "member"], "left_anti")
 
 
+def removed(state: DataFrame, requests: DataFrame) -> DataFrame:
+    """ZREM's reply: how many members each key loses."""
+    return state.join(requests.select("key", "member"), ["key", "member"], "left_semi").groupBy("key").agg(F.count("*").alias("n_removed"))
+
+
 def score(requests: DataFrame, state: DataFrame) -> DataFrame:
     """ZSCORE: requests with the score or null."""
     return requests.join(state, ["key", "member"], "left")
@@ -73,15 +117,17 @@ def by_rank(state: DataFrame, start: int, stop: int, reverse: bool = False) -> D
     if start < 0 and stop < 0:
         back = by_rank(state, -1 - stop, -1 - start, not reverse) if start <= stop else state.where(F.lit(False)).select("key", F.lit(0).cast("bigint").alias("rank"), "member", "score")
         return back.join(cardinality(state), "key").select("key", (F.col("n_members") - 1 - F.col("rank")).alias("rank"), "member", "score")
-    order = [F.col("score").desc(), F.col("member").desc()] if reverse else [F.col("score"), F.col("member")]
-    placed = state.withColumn("rn", F.row_number().over(_by_key().orderBy(*order)))
     if start >= 0 and stop >= 0:
+        order = [F.col("score").desc(), F.col("member").desc()] if reverse else [F.col("score"), F.col("member")]
+        placed = state.withColumn("rn", F.row_number().over(_by_key().orderBy(*order)))
         found = placed.where(F.col("rn") <= stop + 1).where(F.col("rn") > start)
-    else:
-        placed = placed.withColumn("n", F.count("*").over(_by_key()).cast("int"))
-        first, last = slice_bounds(start, stop, F.col("n"))
-        found = placed.where((F.col("rn") - 1 >= first) & (F.col("rn") - 1 <= last))
-    return found.select("key", (F.col("rn") - 1).cast("bigint").alias("rank"), "member", "score")
+        return found.select("key", (F.col("rn") - 1).cast("bigint").alias("rank"), "member", "score")
+    # one end from each side: a large set is numbered in slices, by many tasks
+    rows = state.select("key", "member", "score")
+    placed = numbered(rows, uneven_slices(rows, "score"), ["score", "member"], "rank").join(cardinality(state), "key")
+    place = F.col("n_members") - 1 - F.col("rank") if reverse else F.col("rank")
+    first, last = slice_bounds(start, stop, F.col("n_members"))
+    return placed.where((place >= first) & (place <= last)).select("key", place.alias("rank"), "member", "score")
 
 
 def _bound(text: str) -> tuple[float, bool]:
