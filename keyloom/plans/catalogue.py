@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.functions.keys import parse_double, parse_int, shard_of
+from keyloom.functions.keys import live, parse_double, parse_int, shard_of
 from keyloom.operators import commands, generic, hashes, lists, metrics, sets, sketches, strings, vectors, zsets
 from keyloom.plans import fold
-from keyloom.sources import state
+from keyloom.sources import oplog, state
+from keyloom.sources.scratch import scratch
 from keyloom.sources.state import NOW_MS, table
+from keyloom.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,6 +46,14 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 _ORDERS = "(SELECT o_orderkey, 'customer:' || (o_custkey * 2 - 50) AS key FROM orders)"
 
 
+def _keys(spark, d):
+    """The live keys of all types."""
+    return generic.keys_of(NOW_MS, string=state.strings(spark, d), hash=state.hashes(spark, d), list=state.lists(spark, d), set=state.sets(spark, d), zset=state.zsets(spark, d))
+
+
+_KEYS = "(" + " UNION ALL ".join(f"SELECT DISTINCT key, '{t}' AS type FROM {{{n}}}" for t, n in (("string", "live"), ("hash", "hashes"), ("list", "lists"), ("set", "sets"), ("zset", "zsets"))) + ")"
+
+
 # ---- strings
 
 @query(f"SELECT o_orderkey, r.key, s.value FROM {_ORDERS} r LEFT JOIN {{live}} s USING (key)")
@@ -69,6 +79,8 @@ def set_lww(spark, d):
 
 
 _WRITES = "(SELECT seq, ts_ms, 'customer:' || (seq % 2000) AS key, props AS value FROM {log})"
+#: Writes to keys that are strings, hashes, or not there.
+_MIXED = "(SELECT seq, CASE seq % 3 WHEN 0 THEN 'user:' || (seq % 500) ELSE 'customer:' || (seq % 2000) END AS key, props AS value FROM {log})"
 
 
 def _writes(spark, d):
@@ -76,14 +88,37 @@ def _writes(spark, d):
     return e.select("seq", "ts_ms", F.concat(F.lit("customer:"), F.col("seq") % 2000).alias("key"), F.col("props").alias("value"))
 
 
-@query(f"SELECT key, arg_min(value, seq) AS value FROM {_WRITES} WHERE key NOT IN (SELECT key FROM {{live}}) GROUP BY key")
+def _mixed(spark, d):
+    seq = F.col("seq")
+    key = F.when(seq % 3 == 0, F.concat(F.lit("user:"), seq % 500)).otherwise(F.concat(F.lit("customer:"), seq % 2000))
+    return state.events(spark, d).select("seq", key.alias("key"), F.col("props").alias("value"))
+
+
+@query(f"SELECT key, arg_min(value, seq) AS value FROM {_MIXED} WHERE key NOT IN (SELECT key FROM {_KEYS}) GROUP BY key")
 def setnx_first(spark, d):
-    return strings.set_absent(_writes(spark, d), state.strings(spark, d), NOW_MS)
+    return strings.set_absent(_mixed(spark, d), _keys(spark, d))
 
 
-@query(f"SELECT key, arg_max(value, seq) AS value FROM {_WRITES} WHERE key IN (SELECT key FROM {{live}}) GROUP BY key")
+@query(f"SELECT key, arg_max(value, seq) AS value FROM {_MIXED} WHERE key IN (SELECT key FROM {_KEYS}) GROUP BY key")
 def set_xx(spark, d):
-    return strings.set_present(_writes(spark, d), state.strings(spark, d), NOW_MS)
+    return strings.set_present(_mixed(spark, d), _keys(spark, d))
+
+
+@query(f"""WITH w AS (SELECT seq, key, value, CASE seq % 5 WHEN 0 THEN 'nx' WHEN 1 THEN 'xx' END AS condition, seq % 4 = 0 AS keep,
+  CASE WHEN seq % 7 = 0 THEN seq % 3 * 1000 END AS in_ms, CASE WHEN seq % 11 = 0 THEN {{now}} + seq END AS at_ms FROM {_WRITES}),
+sound AS (SELECT *, coalesce(at_ms, {{now}} + in_ms) AS own FROM w WHERE coalesce(in_ms, 1) > 0 AND coalesce(at_ms, 1) > 0),
+made AS (SELECT key, min(seq) FILTER (condition IS NULL OR condition <> 'xx') AS made FROM sound GROUP BY key),
+done AS (SELECT sound.* FROM sound JOIN made USING (key) LEFT JOIN {{live}} s USING (key)
+  WHERE CASE WHEN s.key IS NOT NULL THEN coalesce(condition, '') <> 'nx' ELSE seq = made OR (seq > made AND coalesce(condition, '') <> 'nx') END),
+last AS (SELECT key, arg_max(value, seq) AS value, max(seq) FILTER (own IS NOT NULL OR NOT keep) AS reset FROM done GROUP BY key),
+ended AS (SELECT last.*, d.own FROM last LEFT JOIN done d ON d.key = last.key AND d.seq = last.reset)
+SELECT coalesce(s.key, e.key) AS key, coalesce(e.value, s.value) AS value, (CASE WHEN e.reset IS NOT NULL THEN e.own ELSE s.deadline_ms END)::BIGINT AS deadline_ms FROM {{live}} s FULL JOIN ended e ON s.key = e.key""")
+def set_options(spark, d):
+    seq = F.col("seq")
+    log = _writes(spark, d).withColumns({
+        "only": F.when(seq % 5 == 0, "nx").when(seq % 5 == 1, "xx"), "keep": seq % 4 == 0,
+        "in_ms": F.when(seq % 7 == 0, seq % 3 * 1000), "at_ms": F.when(seq % 11 == 0, seq + NOW_MS)})
+    return strings.set_with_options(log, state.strings(spark, d), NOW_MS)
 
 
 @query(f"SELECT key, arg_max(value, seq) AS value, (arg_max(ts_ms, seq) + 90000)::BIGINT AS deadline_ms FROM {_WRITES} GROUP BY key")
@@ -92,7 +127,7 @@ def setex_deadline(spark, d):
 
 
 _KEEP = f"""SELECT coalesce(s.key, w.key) AS key, coalesce(w.value, s.value) AS value, {{deadline}} AS deadline_ms
-FROM {{strings}} s FULL JOIN (SELECT key, arg_max(value, seq) AS value FROM {_WRITES} GROUP BY key) w ON s.key = w.key"""
+FROM {{live}} s FULL JOIN (SELECT key, arg_max(value, seq) AS value FROM {_WRITES} GROUP BY key) w ON s.key = w.key"""
 
 
 @query(f"SELECT key, arg_max(value, seq) AS value, (arg_max(ts_ms, seq) + 1500)::BIGINT AS deadline_ms FROM {_WRITES} GROUP BY key")
@@ -109,12 +144,12 @@ def mset_pairs(spark, d):
 
 @query(_KEEP.replace("{deadline}", "deadline_ms"))
 def set_keepttl(spark, d):
-    return strings.set_keeping_ttl(_writes(spark, d), state.strings(spark, d), True)
+    return strings.set_keeping_ttl(_writes(spark, d), state.strings(spark, d), True, NOW_MS)
 
 
 @query(_KEEP.replace("{deadline}", "CASE WHEN w.value IS NULL THEN deadline_ms END"))
 def set_clears_ttl(spark, d):
-    return strings.set_keeping_ttl(_writes(spark, d), state.strings(spark, d), False)
+    return strings.set_keeping_ttl(_writes(spark, d), state.strings(spark, d), False, NOW_MS)
 
 
 @query("SELECT seq, key, props AS value, lag(props) OVER (PARTITION BY key ORDER BY seq) AS previous FROM {log}")
@@ -216,18 +251,37 @@ def touch(spark, d):
     return generic.exists(_orders(spark, d), state.strings(spark, d), NOW_MS).select("o_orderkey", "key")
 
 
-_TTL = "(SELECT 'customer:' || o_custkey AS key, max(o_orderkey % 5000 - 500) AS ttl_ms FROM orders GROUP BY ALL)"
+_EXPIRES = "(SELECT o_orderkey AS seq, 'customer:' || o_custkey AS key, o_orderkey % 50000 - 500 AS ttl_ms FROM orders)"
+_TTL = f"(SELECT key, CASE WHEN min(ttl_ms) <= 0 THEN 0 ELSE arg_max(ttl_ms, seq) END AS ttl_ms FROM {_EXPIRES} GROUP BY key)"
+_NEW_TTL = "SELECT s.key, s.value, CASE WHEN t.ttl_ms IS NOT NULL THEN {{now}} + t.ttl_ms ELSE deadline_ms END::BIGINT AS deadline_ms FROM {{live}} s LEFT JOIN {ttl} t USING (key)"
+
 
+def _expires(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("customer:"), "o_custkey").alias("key"), (F.col("o_orderkey") % 50_000 - 500).alias("ttl_ms"))
 
-@query(f"SELECT s.key, s.value, CASE WHEN t.ttl_ms IS NOT NULL THEN {{now}} + greatest(t.ttl_ms, 0) ELSE deadline_ms END::BIGINT AS deadline_ms FROM {{live}} s LEFT JOIN {_TTL} t USING (key)")
+
+@query(_NEW_TTL.format(ttl=_TTL))
 def pexpire(spark, d):
-    asked = table(spark, d, "orders").select(F.concat(F.lit("customer:"), "o_custkey").alias("key"), (F.col("o_orderkey") % 5000 - 500).alias("ttl_ms"))
+    return generic.expire(state.strings(spark, d), _expires(spark, d), NOW_MS)
+
+
+@query(_NEW_TTL.format(ttl="(SELECT key, CASE WHEN min(ttl_ms) <= 0 THEN 0 ELSE arg_max(ttl_ms, seq) END AS ttl_ms FROM (SELECT o_orderkey AS seq, 'customer:' || o_custkey AS key, (o_orderkey % 997 - 3) * 1000 AS ttl_ms FROM orders) GROUP BY key)"))
+def expire(spark, d):
+    asked = _expires(spark, d).withColumn("ttl_ms", (F.col("seq") % 997 - 3) * 1000)
     return generic.expire(state.strings(spark, d), asked, NOW_MS)
 
 
-@query("SELECT s.key, s.value, coalesce(greatest(t.at_s, 0) * 1000, deadline_ms)::BIGINT AS deadline_ms FROM {live} s LEFT JOIN (SELECT 'customer:' || o_custkey AS key, max(epoch_us(o_orderdate) // 1000000) AS at_s FROM orders GROUP BY ALL) t USING (key)")
+@query(f"""SELECT r.seq, r.key, r.ttl_ms, (s.key IS NOT NULL AND (k.killed IS NULL OR r.seq <= k.killed))::INTEGER AS reply FROM {_EXPIRES} r LEFT JOIN {{live}} s USING (key)
+LEFT JOIN (SELECT key, min(seq) FILTER (ttl_ms <= 0) AS killed FROM {_EXPIRES} GROUP BY key) k USING (key)""")
+def expire_replies(spark, d):
+    return generic.expire_replies(state.strings(spark, d), _expires(spark, d), NOW_MS)
+
+
+@query("""SELECT s.key, s.value, coalesce(CASE WHEN t.low <= {now} THEN {now} ELSE t.last END, deadline_ms)::BIGINT AS deadline_ms FROM {live} s LEFT JOIN (
+SELECT key, min(at_s * 1000) AS low, arg_max(at_s * 1000, seq) AS last FROM (SELECT o_orderkey AS seq, 'customer:' || o_custkey AS key, epoch_us(o_orderdate) // 1000000 + 900000000 AS at_s FROM orders) GROUP BY key) t USING (key)""")
 def expireat(spark, d):
-    asked = table(spark, d, "orders").select(F.concat(F.lit("customer:"), "o_custkey").alias("key"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("at_s"))
+    at = F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + 900_000_000
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("customer:"), "o_custkey").alias("key"), at.alias("at_s"))
     return generic.expire_at(state.strings(spark, d), asked, NOW_MS)
 
 
@@ -250,8 +304,6 @@ def persist(spark, d):
 
 @query("SELECT key, value, deadline_ms FROM {live}")
 def live_keys(spark, d):
-    from keyloom.functions.keys import live
-
     return live(state.strings(spark, d), NOW_MS)
 
 
@@ -260,13 +312,6 @@ def expire_cycle(spark, d):
     return generic.active_expire(state.strings(spark, d), NOW_MS)
 
 
-def _keys(spark, d):
-    return generic.keys_of(string=state.strings(spark, d), hash=state.hashes(spark, d), list=state.lists(spark, d), set=state.sets(spark, d), zset=state.zsets(spark, d))
-
-
-_KEYS = "(" + " UNION ALL ".join(f"SELECT DISTINCT key, '{t}' AS type FROM {{{n}}}" for t, n in (("string", "strings"), ("hash", "hashes"), ("list", "lists"), ("set", "sets"), ("zset", "zsets"))) + ")"
-
-
 @query(f"SELECT type, count(*)::BIGINT AS n FROM {_KEYS} GROUP BY type")
 def type_census(spark, d):
     return _keys(spark, d).groupBy("type").agg(F.count("*").alias("n"))
@@ -279,7 +324,7 @@ def type_lookup(spark, d):
 
 @query(f"SELECT key, CASE type WHEN 'string' THEN 'embstr' WHEN 'list' THEN 'quicklist' WHEN 'zset' THEN 'skiplist' ELSE 'hashtable' END AS encoding FROM {_KEYS}")
 def object_encoding(spark, d):
-    keyed = _keys(spark, d).join(state.strings(spark, d).select("key", "value"), "key", "left")
+    keyed = _keys(spark, d).join(live(state.strings(spark, d), NOW_MS).select("key", "value"), "key", "left")
     return keyed.select("key", generic.encoding(F.col("type"), F.col("value")).alias("encoding"))
 
 
@@ -308,11 +353,36 @@ def randomkey(spark, d):
     return generic.random_key(_keys(spark, d))
 
 
-@query("""WITH moved AS (SELECT 'customer:' || (substr(key, 10)::BIGINT + 500) AS key, value, deadline_ms FROM {strings} WHERE substr(key, 10)::BIGINT % 10 = 0)
-SELECT key, value, deadline_ms FROM moved UNION ALL SELECT key, value, deadline_ms FROM {strings} WHERE substr(key, 10)::BIGINT % 10 <> 0 AND key NOT IN (SELECT key FROM moved)""")
+_RENAMES = "(SELECT o_orderkey AS seq, 'customer:' || (o_custkey + o_orderkey % 2 * 700) AS key, 'customer:' || (o_orderkey % 900 + 500) AS new FROM orders)"
+
+
+def _renames(spark, d):
+    order, customer = F.col("o_orderkey"), F.col("o_custkey")
+    name = lambda n: F.concat(F.lit("customer:"), n)
+    return table(spark, d, "orders").select(order.alias("seq"), name(customer + order % 2 * 700).alias("key"), name(order % 900 + 500).alias("new"))
+
+
+@query(f"""WITH first AS (SELECT key, arg_min(new, seq) AS new, min(seq) AS seq FROM {_RENAMES} GROUP BY key),
+moved AS (SELECT new AS key, arg_max(value, seq) AS value, max(seq) AS seq FROM first JOIN {{live}} s USING (key) GROUP BY new)
+SELECT m.key, m.value, s.deadline_ms FROM moved m JOIN first f ON f.seq = m.seq JOIN {{live}} s ON s.key = f.key
+UNION ALL SELECT key, value, deadline_ms FROM {{live}} WHERE key NOT IN (SELECT key FROM first) AND key NOT IN (SELECT key FROM moved)""")
 def rename(spark, d):
-    number = F.substring("key", 10, 20).cast("bigint")
-    return generic.rename(state.strings(spark, d), number % 10 == 0, F.concat(F.lit("customer:"), number + 500))
+    return generic.rename(state.strings(spark, d), _renames(spark, d), NOW_MS)
+
+
+@query(f"SELECT r.seq, r.key, r.new, CASE WHEN s.key IS NULL OR r.seq > min(r.seq) OVER (PARTITION BY r.key) THEN 'no such key' END AS error FROM {_RENAMES} r LEFT JOIN {{live}} s USING (key)")
+def rename_replies(spark, d):
+    return generic.rename_replies(state.strings(spark, d), _renames(spark, d), NOW_MS)
+
+
+@query(f"SELECT o_orderkey, r.key, CASE WHEN k.key IS NOT NULL THEN 1 END::INTEGER AS refcount, CASE WHEN k.key IS NOT NULL THEN 0 END::INTEGER AS idletime, CASE WHEN k.key IS NOT NULL THEN 0 END::INTEGER AS freq FROM {_ORDERS} r LEFT JOIN {_KEYS} k USING (key)")
+def object_info(spark, d):
+    return generic.object_info(_orders(spark, d), _keys(spark, d)).select("o_orderkey", "key", "refcount", "idletime", "freq")
+
+
+@query(f"SELECT r.seq, r.key, CASE WHEN k.type <> 'string' THEN 'WRONGTYPE Operation against a key holding the wrong kind of value' END AS error FROM {_MIXED} r LEFT JOIN {_KEYS} k USING (key)")
+def wrong_type(spark, d):
+    return generic.wrong_type(_mixed(spark, d).select("seq", "key"), _keys(spark, d), "string")
 
 
 # ---- hashes
@@ -354,12 +424,12 @@ def hgetall(spark, d):
 
 @query("SELECT key, list(field ORDER BY field) AS fields FROM {hashes} GROUP BY key")
 def hkeys(spark, d):
-    return hashes.get_all(state.hashes(spark, d)).select("key", "fields")
+    return hashes.keys(state.hashes(spark, d))
 
 
 @query("SELECT key, list(value ORDER BY field) AS values FROM {hashes} GROUP BY key")
 def hvals(spark, d):
-    return hashes.get_all(state.hashes(spark, d)).select("key", "values")
+    return hashes.values(state.hashes(spark, d))
 
 
 @query("SELECT key, count(*)::BIGINT AS n_fields FROM {hashes} GROUP BY key")
@@ -378,6 +448,30 @@ def hincrby(spark, d):
     return hashes.increase(state.events(spark, d).withColumnRenamed("kind", "field"), F.col("seq") % 13)
 
 
+_HSETS = "(SELECT seq, 'user:' || (seq % 700) AS key, CASE seq % 3 WHEN 0 THEN 'new' ELSE kind END AS field, kind AS value FROM {log})"
+
+
+def _hsets(spark, d):
+    seq = F.col("seq")
+    return state.events(spark, d).select("seq", F.concat(F.lit("user:"), seq % 700).alias("key"), F.when(seq % 3 == 0, "new").otherwise(F.col("kind")).alias("field"), F.col("kind").alias("value"))
+
+
+@query(f"SELECT key, count(*)::BIGINT AS n_added FROM (SELECT DISTINCT key, field FROM {_HSETS}) w ANTI JOIN {{hashes}} h USING (key, field) GROUP BY key")
+def hset_count(spark, d):
+    return hashes.added(_hsets(spark, d), state.hashes(spark, d))
+
+
+@query(f"SELECT key, field, arg_max(value, seq) AS value FROM (SELECT -1 AS seq, key, field, value FROM {{hashes}} UNION ALL SELECT seq, key, field, value FROM {_HSETS}) GROUP BY ALL")
+def hmset(spark, d):
+    before = state.hashes(spark, d).select(F.lit(-1).cast("bigint").alias("seq"), "key", "field", "value")
+    return hashes.set_fields(before.unionByName(_hsets(spark, d)))
+
+
+@query(f"SELECT key, count(*)::BIGINT AS n_removed FROM {{hashes}} h SEMI JOIN {_HSETS} w USING (key, field) GROUP BY key")
+def hdel_count(spark, d):
+    return hashes.deleted(state.hashes(spark, d), _hsets(spark, d))
+
+
 # ---- lists
 
 @query("SELECT key, (row_number() OVER (PARTITION BY key ORDER BY seq) - 1)::BIGINT AS pos, kind AS value FROM {log}")
@@ -398,6 +492,34 @@ def llen(spark, d):
     return lists.length(state.lists(spark, d))
 
 
+_PUSHES = "(SELECT seq, 'conv:' || (seq % 300) AS key, kind AS value FROM {log})"
+
+
+def _pushes(spark, d):
+    return state.events(spark, d).select("seq", F.concat(F.lit("conv:"), F.col("seq") % 300).alias("key"), F.col("kind").alias("value"))
+
+
+@query(f"SELECT seq, p.key, (row_number() OVER (PARTITION BY p.key ORDER BY seq) + coalesce(l.n, 0))::BIGINT AS length FROM {_PUSHES} p LEFT JOIN (SELECT key, count(*) AS n FROM {{lists}} GROUP BY key) l USING (key)")
+def push_lengths(spark, d):
+    return lists.push_lengths(_pushes(spark, d), state.lists(spark, d))
+
+
+@query(f"SELECT key, place, value FROM {_PLACED}")
+def lrange_all(spark, d):
+    return lists.slices(state.lists(spark, d), 0, -1)
+
+
+@query(f"SELECT key, place, value FROM {_PLACED} WHERE place >= 1 AND place <= n - 2")
+def lrange_inner(spark, d):
+    return lists.slices(state.lists(spark, d), 1, -2)
+
+
+@query(f"SELECT seq, p.key, (seq % 9 - 4)::BIGINT AS index, CASE WHEN n IS NULL THEN 'no such key' WHEN seq % 9 - 4 >= n OR seq % 9 - 4 < -n THEN 'index out of range' END AS error FROM {_PUSHES} p LEFT JOIN (SELECT key, count(*) AS n FROM {{lists}} GROUP BY key) l USING (key)")
+def lset_replies(spark, d):
+    asked = _pushes(spark, d).select("seq", "key", (F.col("seq") % 9 - 4).alias("index"))
+    return lists.set_replies(asked, state.lists(spark, d)).select("seq", "key", "index", "error")
+
+
 @query(f"SELECT key, place, value FROM {_PLACED} WHERE place BETWEEN 1 AND 3")
 def lrange_front(spark, d):
     return lists.slices(state.lists(spark, d), 1, 3)
@@ -483,6 +605,16 @@ def spop_n(spark, d):
     return sets.pop(state.sets(spark, d), 2)
 
 
+@query(f"SELECT key, count(*)::BIGINT AS n_removed FROM {{sets}} s SEMI JOIN {_MEMBERS} r USING (key, member) GROUP BY key")
+def srem_count(spark, d):
+    return sets.removed(state.sets(spark, d), _members(spark, d))
+
+
+@query("SELECT key, member FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(member), member) AS rn FROM {sets}) WHERE rn > 2")
+def spop_rest(spark, d):
+    return sets.left_after_pop(state.sets(spark, d), 2)
+
+
 # ---- scored sets
 
 @query("SELECT c_mktsegment AS key, CAST(rn - 1 AS BIGINT) AS rank, c_name AS member, c_acctbal AS score FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_name) AS rn FROM customer) WHERE rn <= 10")
@@ -503,6 +635,16 @@ def zrange_last(spark, d):
     return zsets.by_rank(state.zsets(spark, d), -3, -1)
 
 
+@query(f"SELECT key, place AS rank, member, score FROM {_RANKED}")
+def zrange_all(spark, d):
+    return zsets.by_rank(state.zsets(spark, d), 0, -1)
+
+
+@query(f"SELECT key, back AS rank, member, score FROM {_RANKED} WHERE back >= 3 AND place >= 2")
+def zrange_rev_inner(spark, d):
+    return zsets.by_rank(state.zsets(spark, d), 3, -3, reverse=True)
+
+
 @query(f"SELECT key, member, place AS rank FROM {_RANKED}")
 def zrank(spark, d):
     return zsets.rank(state.zsets(spark, d))
@@ -583,6 +725,54 @@ def zincrby(spark, d):
     return zsets.add(_scores(spark, d), "incr").withColumn("score", F.round("score", 4))
 
 
+_LATER = f"(SELECT * FROM {_SCORES} WHERE seq % 2 = 1)"
+_FOLDED = f"(SELECT key, member, arg_min(score, seq) AS first, max(score) AS high, min(score) AS low, sum(score) AS total, sum(greatest(score, 0)) AS up, sum(greatest(score, 0)) - greatest(arg_min(score, seq), 0) AS later_up FROM {_LATER} GROUP BY ALL)"
+
+
+def _later(spark, d):
+    return _scores(spark, d).where("seq % 2 = 1")
+
+
+@query(f"SELECT h.key, h.member, greatest(h.score, f.high) AS score FROM {_HALF} h LEFT JOIN {_FOLDED} f USING (key, member)")
+def zadd_xx_gt(spark, d):
+    return zsets.update(_later(spark, d), _board(spark, d), "old", "up")
+
+
+@query(f"SELECT h.key, h.member, least(h.score, f.low) AS score FROM {_HALF} h LEFT JOIN {_FOLDED} f USING (key, member)")
+def zadd_xx_lt(spark, d):
+    return zsets.update(_later(spark, d), _board(spark, d), "old", "down")
+
+
+@query(f"SELECT coalesce(h.key, f.key) AS key, coalesce(h.member, f.member) AS member, round(CASE WHEN h.key IS NULL THEN f.first + f.later_up ELSE h.score + coalesce(f.up, 0) END, 4) AS score FROM {_HALF} h FULL JOIN {_FOLDED} f ON h.key = f.key AND h.member = f.member")
+def zadd_gt_incr(spark, d):
+    return zsets.update(_later(spark, d), _board(spark, d), toward="up", incr=True).withColumn("score", F.round("score", 4))
+
+
+@query(f"SELECT h.key, h.member, round(h.score + coalesce(f.total, 0), 4) AS score FROM {_HALF} h LEFT JOIN {_FOLDED} f USING (key, member)")
+def zadd_xx_incr(spark, d):
+    return zsets.update(_later(spark, d), _board(spark, d), "old", incr=True).withColumn("score", F.round("score", 4))
+
+
+@query(f"SELECT coalesce(h.key, f.key) AS key, coalesce(h.member, f.member) AS member, coalesce(h.score, f.first) AS score FROM {_HALF} h FULL JOIN {_FOLDED} f ON h.key = f.key AND h.member = f.member")
+def zadd_nx_incr(spark, d):
+    return zsets.update(_later(spark, d), _board(spark, d), "new", incr=True)
+
+
+@query(f"SELECT key, count(*)::BIGINT AS n_added FROM (SELECT DISTINCT key, member FROM {_LATER}) ANTI JOIN {_HALF} h USING (key, member) GROUP BY key")
+def zadd_count(spark, d):
+    return zsets.added(_later(spark, d), _board(spark, d))
+
+
+@query(f"SELECT seq, l.key, l.member, round(coalesce(h.score, 0) + sum(l.score) OVER (PARTITION BY l.key, l.member ORDER BY seq), 4) AS reply FROM {_LATER} l LEFT JOIN {_HALF} h USING (key, member)")
+def zincrby_replies(spark, d):
+    return zsets.increments(_later(spark, d), _board(spark, d)).withColumn("reply", F.round("reply", 4))
+
+
+@query(f"SELECT key, count(*)::BIGINT AS n_removed FROM {_HALF} h SEMI JOIN {_LATER} l USING (key, member) GROUP BY key")
+def zrem_count(spark, d):
+    return zsets.removed(_board(spark, d), _later(spark, d))
+
+
 # ---- sketches
 
 _REGISTERS = """(SELECT key, (h & 16383)::INTEGER AS idx, max(CASE WHEN h >> 14 = 0 THEN 47 ELSE length(bin(h >> 14)) - length(rtrim(bin(h >> 14), '0')) + 1 END)::INTEGER AS reg
@@ -600,6 +790,14 @@ def pfadd_registers(spark, d):
     return _registers(spark, d)
 
 
+@query(f"""SELECT n.key, max((o.reg IS NULL OR n.reg > o.reg)::INTEGER) AS reply FROM (SELECT CASE key WHEN 'view' THEN 'view' ELSE 'click' END AS key, idx, max(reg) AS reg FROM {_REGISTERS} GROUP BY ALL) n
+LEFT JOIN {_REGISTERS} o ON o.key = n.key AND o.idx = n.idx GROUP BY n.key""")
+def pfadd_replies(spark, d):
+    key = F.when(F.col("event_type") == "view", "view").otherwise("click")
+    more = sketches.add(table(spark, d, "events").select(key.alias("key"), F.col("user_id").alias("element")))
+    return sketches.changed(_registers(spark, d), more)
+
+
 @query(_COUNT.replace("{r}", _REGISTERS))
 def pfcount(spark, d):
     return sketches.count(_registers(spark, d))
@@ -622,36 +820,53 @@ def vcard(spark, d):
     return vectors.cardinality(state.vectors(spark, d))
 
 
-@query("SELECT label % 100 AS label, arg_max(label, label)::BIGINT AS source FROM {vectors} GROUP BY ALL")
+@query("SELECT key, label % 100 AS label, arg_max(vec, label) AS vec FROM {vectors} GROUP BY ALL")
 def vadd_latest(spark, d):
     v = state.vectors(spark, d)
-    log = v.select(F.lit("all").alias("key"), F.col("label").alias("seq"), (F.col("label") % 100).alias("label"), F.array(F.col("label")).alias("vec"))
-    return vectors.add_last(log).select("label", F.col("vec")[0].alias("source"))
+    return vectors.add_last(v.select("key", F.col("label").alias("seq"), (F.col("label") % 100).alias("label"), "vec"))
+
+
+@query("SELECT key, label, CASE WHEN label % 7 = 0 AND arg_min(label, label) OVER (PARTITION BY key) % 7 <> 0 THEN 'vector dimension mismatch' WHEN label % 7 <> 0 AND arg_min(label, label) OVER (PARTITION BY key) % 7 = 0 THEN 'vector dimension mismatch' END AS error FROM {vectors}")
+def vadd_replies(spark, d):
+    vec = F.when(F.col("label") % 7 == 0, F.slice("vec", 1, 3)).otherwise(F.col("vec"))
+    log = state.vectors(spark, d).select("key", F.col("label").alias("seq"), "label", vec.alias("vec"))
+    return vectors.add_checked(log).select("key", "label", "error")
 
 
 def _questions(spark, d):
-    """The stated set of queries: every vector whose id is divisible by 20."""
-    return state.vectors(spark, d).where("label % 20 = 0").select(F.col("label").alias("query"), "vec")
+    """The stated set of queries: every vector whose id is divisible by 20, asked of its own key."""
+    return state.vectors(spark, d).where("label % 20 = 0").select(F.col("label").alias("query"), "key", "vec")
 
 
-_NEAREST = """SELECT query, rank, label, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, label) AS rank FROM (
-SELECT q.label AS query, v.label, round({m}, 6) AS score FROM {vectors} v, {vectors} q WHERE q.label % 20 = 0 {and})) WHERE rank <= 10"""
+_NEAREST = """SELECT query, rank, label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, label) AS rank FROM (
+SELECT q.label AS query, v.label, {m} AS score FROM {vectors} v JOIN {vectors} q ON v.key = q.key WHERE q.label % 20 = 0 {and})) WHERE rank <= 10"""
 
 
 @query(_NEAREST.replace("{m}", "list_cosine_similarity(v.vec::DOUBLE[], q.vec::DOUBLE[])").replace("{and}", ""))
 def vsim_cosine(spark, d):
-    return vectors.search_in_blocks(state.vectors(spark, d), _questions(spark, d), 10)
+    return vectors.search(state.vectors(spark, d), _questions(spark, d), 10)
 
 
 @query(_NEAREST.replace("{m}", "-list_distance(v.vec::DOUBLE[], q.vec::DOUBLE[])").replace("{and}", ""))
 def vsim_l2(spark, d):
-    return vectors.search_in_blocks(state.vectors(spark, d), _questions(spark, d), 10, "l2")
+    return vectors.search(state.vectors(spark, d), _questions(spark, d), 10, "l2")
 
 
-@query(_NEAREST.replace("{m}", "list_cosine_similarity(v.vec::DOUBLE[], q.vec::DOUBLE[])").replace("{and}", "AND v.key <> 'emb:3'"))
+@query(_NEAREST.replace("{m}", "list_cosine_similarity(v.vec::DOUBLE[], q.vec::DOUBLE[])").replace("{and}", "AND v.label % 3 <> 0"))
 def vrem_topk(spark, d):
     v = state.vectors(spark, d)
-    return vectors.search_in_blocks(vectors.remove(v, v.where("key = 'emb:3'").select("key", "label")), _questions(spark, d), 10)
+    return vectors.search(vectors.remove(v, v.where("label % 3 = 0").select("key", "label")), _questions(spark, d), 10)
+
+
+@query()
+def vsim_indexed(spark, d):
+    return vectors.search_indexed(state.vectors(spark, d), _questions(spark, d), 10)
+
+
+@query("SELECT r.key, r.label, (v.label IS NOT NULL)::INTEGER AS reply FROM (SELECT key, label * 2 AS label FROM {vectors}) r LEFT JOIN {vectors} v USING (key, label)")
+def vrem_replies(spark, d):
+    v = state.vectors(spark, d)
+    return vectors.removed(v.select("key", (F.col("label") * 2).alias("label")), v)
 
 
 # ---- metrics and introspection
@@ -711,21 +926,43 @@ def read_ratio(spark, d):
     return metrics.read_ratio(_ops(spark, d), F.col("kind") == "view", "key")
 
 
-@query(f"""SELECT 'keyspace' AS section, 'keys' AS field, count(*)::BIGINT AS value FROM {_KEYS} UNION ALL SELECT 'keyspace', 'expires', count(deadline_ms) FROM {{strings}}
-UNION ALL SELECT 'keyspace', 'expired', count(*) FROM {{strings}} WHERE deadline_ms <= {{now}} UNION ALL SELECT 'memory', 'used', sum(strlen(key) + strlen(value) + 48)::BIGINT FROM {{strings}}
+@query(f"""SELECT 'keyspace' AS section, 'keys' AS field, count(*)::BIGINT AS value FROM {_KEYS} UNION ALL SELECT 'keyspace', 'expires', count(deadline_ms) FROM {{live}}
+UNION ALL SELECT 'keyspace', 'expired', count(*) FROM {{strings}} WHERE deadline_ms <= {{now}} UNION ALL SELECT 'memory', 'used', sum(strlen(key) + strlen(value) + 48)::BIGINT FROM {{live}}
 UNION ALL SELECT 'stats', 'commands', count(*) FROM events""")
 def info_stats(spark, d):
     return metrics.info(_keys(spark, d), state.strings(spark, d), _ops(spark, d), NOW_MS)
 
 
-@query()
+def _number_shard():
+    """The shard by a key's number: what DuckDB can confirm."""
+    return (F.substring_index("key", ":", -1).cast("bigint") % 4).cast("int")
+
+
+def _held(spark, d):
+    return live(state.strings(spark, d), NOW_MS).select("key", (F.octet_length("key") + F.octet_length("value") + 48).alias("bytes"))
+
+
+_SHARD = "(split_part(key, ':', 2)::BIGINT % 4)::INTEGER"
+_BY_SHARD = f"""(SELECT coalesce(o.shard, k.shard) AS shard, coalesce(commands, 0) AS commands, coalesce(reads, 0) AS reads, coalesce(writes, 0) AS writes, coalesce(keys, 0) AS keys, coalesce(memory, 0)::BIGINT AS memory
+FROM (SELECT {_SHARD} AS shard, count(*) AS commands, count(*) FILTER (kind = 'view') AS reads, count(*) FILTER (kind <> 'view') AS writes FROM {{log}} GROUP BY ALL) o
+FULL JOIN (SELECT {_SHARD} AS shard, count(*) AS keys, sum(strlen(key) + strlen(value) + 48) AS memory FROM {{live}} GROUP BY ALL) k ON o.shard = k.shard)"""
+
+
+@query(f"""WITH coarse AS (SELECT b AS coarse, exp(ln(6e7) / 512 * least((b + 1) * 8, 512)) / 1e6 AS bound, (SELECT count(*) FROM {_OPS} WHERE {_BUCKET} // 8 = b) AS n FROM range(64) t(b))
+SELECT name || '{{shard="' || shard || '"}} ' || v AS line FROM (SELECT shard, unnest(['commands_total', 'reads_total', 'writes_total', 'keys', 'memory_bytes']) AS name, unnest([commands, reads, writes, keys, memory]) AS v FROM {_BY_SHARD})
+UNION ALL SELECT 'latency_seconds_bucket{{le="' || printf('%.9f', bound) || '"}} ' || (sum(n) OVER (ORDER BY coarse))::BIGINT FROM coarse
+UNION ALL SELECT 'latency_seconds_bucket{{le="+Inf"}} ' || sum(n)::BIGINT FROM coarse UNION ALL SELECT 'latency_seconds_count ' || sum(n)::BIGINT FROM coarse
+UNION ALL SELECT 'latency_seconds_sum ' || printf('%.6f', sum(n * bound)) FROM coarse""")
 def exposition_lines(spark, d):
-    return metrics.exposition(_ops(spark, d), shard_of(F.col("key"), 4))
+    return metrics.exposition_line(metrics.exposition(_ops(spark, d), _held(spark, d), _number_shard(), F.col("kind") == "view"))
 
 
-@query()
+@query(f"""WITH each AS (SELECT * FROM {_BY_SHARD}), h AS (SELECT bucket, sum(n) OVER (ORDER BY bucket) AS c, sum(n) OVER () AS t FROM (SELECT {_BUCKET} AS bucket, count(*) AS n FROM {_OPS} GROUP BY ALL))
+SELECT '{{"shard_count":' || count(*) || ',"commands":' || sum(commands) || ',"keys":' || sum(keys) || ',"memory":' || sum(memory) || ',"p50_bucket":' || (SELECT min(bucket) FROM h WHERE c >= ceil(t * 0.5::DOUBLE))
+  || ',"p99_bucket":' || (SELECT min(bucket) FROM h WHERE c >= ceil(t * 0.99::DOUBLE)) || ',"shards":['
+  || string_agg('{{"shard":' || shard || ',"commands":' || commands || ',"keys":' || keys || ',"memory":' || memory || ',"reads":' || reads || ',"writes":' || writes || '}}', ',' ORDER BY shard) || ']}}' AS json FROM each""")
 def dashboard_json(spark, d):
-    return metrics.dashboard(_ops(spark, d), shard_of(F.col("key"), 4))
+    return metrics.dashboard(_ops(spark, d), _held(spark, d), _number_shard(), F.col("kind") == "view")
 
 
 @query()
@@ -774,7 +1011,74 @@ def flush_barrier(spark, d):
     return fold.barrier(state.events(spark, d).select("seq", "key", op.alias("op"))).select("seq", "key")
 
 
+_FOLD_ALL = """WITH raw AS (SELECT seq, key, CASE WHEN seq = 100 THEN 'flush' WHEN seq % 61 = 0 THEN 'del' WHEN seq % 17 = 0 THEN 'set' ELSE 'incrby' END AS op, seq % 23 AS arg FROM {log}),
+log AS (SELECT raw.* FROM raw LEFT JOIN (SELECT key, max(seq) AS cut FROM raw WHERE op = 'del' GROUP BY key) c USING (key) WHERE op IN ('set', 'incrby') AND seq > 100 AND (cut IS NULL OR seq > cut)),
+base AS (SELECT key, max(seq) AS set_seq, arg_max(arg, seq) AS base FROM log WHERE op = 'set' GROUP BY key)
+SELECT log.key, (coalesce(max(base), 0) + sum(CASE WHEN op = 'incrby' AND (set_seq IS NULL OR seq > set_seq) THEN arg ELSE 0 END))::BIGINT AS value, max(seq) AS max_seq FROM log LEFT JOIN base USING (key) GROUP BY log.key"""
+
+
+def _whole_log(spark, d):
+    seq = F.col("seq")
+    op = F.when(seq == 100, "flush").when(seq % 61 == 0, "del").when(seq % 17 == 0, "set").otherwise("incrby")
+    return state.events(spark, d).select("seq", "key", op.alias("op"), (seq % 23).alias("arg"))
+
+
+def _framed(log):
+    """The commands of a log."""
+    arg = F.col("arg").cast("string")
+    return log.select("seq", F.when(F.col("op") == "flush", F.array(F.lit("FLUSHALL"))).when(F.col("op") == "del", F.array(F.lit("DEL"), "key")).otherwise(F.array(F.upper("op"), "key", arg)).alias("argv"))
+
+
+@query(_FOLD_ALL)
+def fold_with_barriers(spark, d):
+    return fold.fold_log(_whole_log(spark, d))
+
+
+@query(_FOLD_ALL)
+def replay_from_files(spark, d):
+    """A log in framed files, some of it in a snapshot on disk: both read and folded."""
+    log, folder = _whole_log(spark, d), scratch(spark, "replay")
+    oplog.write_log(_framed(log), f"{folder}/log")
+    oplog.write_snapshot(fold.fold_log(log.where("seq < 400")), f"{folder}/snapshot")
+    return fold.snapshot_and_log(oplog.read_snapshot(spark, f"{folder}/snapshot"), fold.commands_to_log(oplog.read_log(spark, f"{folder}/log")))
+
+
+@query("SELECT event_id AS seq, 'SET' AS name, 'user:' || user_id AS key, props || chr(13) || chr(10) || event_type AS value FROM events")
+def log_round_trip(spark, d):
+    """Every event as a command whose value holds line ends, written to framed files and read back."""
+    folder = scratch(spark, "log")
+    e = state.events(spark, d)
+    oplog.write_log(e.select("seq", F.array(F.lit("SET"), "key", F.concat("props", F.lit("\r\n"), "kind")).alias("argv")), folder)
+    word = lambda i: F.col("argv")[i].cast("string")
+    return oplog.read_log(spark, folder).select("seq", word(0).alias("name"), word(1).alias("key"), word(2).alias("value"))
+
+
+@query("SELECT key, value, deadline_ms FROM {live}")
+def snapshot_round_trip(spark, d):
+    """The state written to a snapshot and read back; expired keys stay behind."""
+    folder = scratch(spark, "snapshot")
+    oplog.write_snapshot(state.strings(spark, d), folder)
+    return oplog.read_snapshot(spark, folder, NOW_MS)
+
+
 @query()
 def replay_lists(spark, d):
     op = F.when(F.col("seq") % 5 == 0, "lpush").when(F.col("seq") % 5 == 1, "lpop").when(F.col("seq") % 5 == 2, "rpop").otherwise("rpush")
     return fold.replay_lists(state.events(spark, d).select("seq", "key", op.alias("op"), F.col("seq").cast("string").alias("arg")))
+
+
+# ---- streams
+
+def _stream(spark, d):
+    path = f"{d}/events.parquet"
+    return jobs.read_events(spark, path, spark.read.parquet(path).schema)
+
+
+@query("SELECT user_id, count(*)::BIGINT AS n_ops, arg_max(props, event_id) AS last FROM events GROUP BY user_id")
+def stream_counters(spark, d):
+    return jobs.settled(jobs.counters(_stream(spark, d)), ["user_id"], scratch(spark, "counters"))
+
+
+@query("SELECT to_timestamp((epoch_us(ts) // 86400000000) * 86400)::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n_ops FROM events GROUP BY ALL")
+def stream_rates(spark, d):
+    return jobs.settled(jobs.windowed_rates(_stream(spark, d)), ["start", "event_type"], scratch(spark, "rates")).withColumn("start", F.col("start").cast("timestamp_ntz"))

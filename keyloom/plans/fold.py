@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import ordered
+from keyloom.functions.keys import parse_int
 
 
 def barrier(log: DataFrame) -> DataFrame:
@@ -34,15 +35,37 @@ def fold_counters(log: DataFrame) -> DataFrame:
     return joined.groupBy("key").agg((F.coalesce(F.max("base"), F.lit(0)) + F.sum(delta)).cast("bigint").alias("value"), F.max("seq").alias("max_seq"))
 
 
+def fold_log(log: DataFrame) -> DataFrame:
+    """``fold_counters`` of what stands after the last FLUSH and each key's last DEL."""
+    return fold_counters(barrier(log))
+
+
 def snapshot_and_log(snapshot: DataFrame, log: DataFrame) -> DataFrame:
-    """``fold_counters`` over a snapshot (key, value, max_seq) and the rows that are newer than it.
+    """``fold_log`` over a snapshot (key, value, max_seq) and the rows that are newer than it.
 
-    Rows that the snapshot already holds are left out, so nothing is applied twice.
+    Rows that the snapshot already holds are left out, so nothing is applied twice; a DEL or FLUSH
+    after it takes its keys too. A FLUSH counts for every key.
     """
     mark = snapshot.select("key", F.col("max_seq").alias("held"))
-    tail = log.join(mark, "key", "left").where(F.col("held").isNull() | (F.col("seq") > F.col("held"))).select("seq", "key", "op", "arg")
+    tail = log.join(mark, "key", "left").where((F.col("op") == "flush") | F.col("held").isNull() | (F.col("seq") > F.col("held")))
     base = snapshot.select(F.col("max_seq").alias("seq"), "key", F.lit("set").alias("op"), F.col("value").alias("arg"))
-    return fold_counters(base.unionByName(tail.select("seq", "key", "op", F.col("arg").cast("bigint").alias("arg"))))
+    return fold_log(base.unionByName(tail.select("seq", "key", "op", F.col("arg").cast("bigint").alias("arg"))))
+
+
+def commands_to_log(commands: DataFrame) -> DataFrame:
+    """(seq, key, op, arg) of framed commands (seq, argv): SET, INCR, INCRBY, DECR, DECRBY, DEL, UNLINK and FLUSH.
+
+    Other commands, those with a wrong number of words and amounts that aren't whole numbers are left out.
+    """
+    word = lambda i: F.try_element_at(F.col("argv"), F.lit(i + 1)).cast("string")
+    name, n = F.lower(word(0)), F.size("argv")
+    one = F.when(name == "incr", F.lit("1")).when(name == "decr", F.lit("-1")).when(name == "decrby", F.concat(F.lit("-"), word(2))).otherwise(word(2))
+    amount = parse_int(F.regexp_replace(one, "^--", ""))
+    op = (F.when((name == "set") & (n == 3), "set").when(name.isin("incrby", "decrby") & (n == 3), "incrby").when(name.isin("incr", "decr") & (n == 2), "incrby")
+          .when(name.isin("flushall", "flushdb"), "flush").when(name.isin("del", "unlink") & (n > 1), "del"))
+    keys = F.when(op == "del", F.slice("argv", 2, F.greatest(n - 1, F.lit(1)))).when(op == "flush", F.array(F.lit(None).cast("binary"))).otherwise(F.slice("argv", 2, 1))
+    each = commands.select("seq", op.alias("op"), amount.alias("arg"), F.explode(keys).alias("key")).where("op is not null")
+    return each.where("op in ('del', 'flush') or arg is not null").select("seq", F.col("key").cast("string").alias("key"), "op", "arg")
 
 
 def replay_lists(log: DataFrame) -> DataFrame:

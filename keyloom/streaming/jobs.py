@@ -7,11 +7,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A stream of event files with ``at`` as a timestamp."""
-    return spark.readStream.schema(schema).parquet(path).withColumn("at", F.col("ts").cast("timestamp"))
+    """A stream of event files, those of a folder or a single one, with ``at`` as a timestamp."""
+    reader = spark.readStream.schema(schema)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        # streams read folders
+        reader, path = reader.option("pathGlobFilter", at.getName()), str(at.getParent().toString())
+    return reader.parquet(path).withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def counters(stream: DataFrame) -> DataFrame:
@@ -53,6 +59,23 @@ def expiring_counters(stream: DataFrame, ttl: str = "1 day") -> DataFrame:
             .applyInPandasWithState(step, "user_id long, n_ops long, expired boolean", "n_ops long", "update", "EventTimeTimeout"))
 
 
+def settled(updates: DataFrame, by: list[str], path: str) -> DataFrame:
+    """Run a stream of updates over all that is there and return the last row of each ``by``.
+
+    Each batch's updates are a folder of Parquet, replaced if the batch runs again after a failure;
+    nothing is held by the driver. ``path``: a fresh folder that executors share.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/updates/{number}")
+
+    query = updates.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rest = [c for c in updates.columns if c not in by]
+    rows = updates.sparkSession.read.option("recursiveFileLookup", "true").schema(StructType([*updates.schema.fields, StructField("batch", IntegerType())])).parquet(f"{path}/updates")
+    return rows.groupBy(*by).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("row")).select(*by, *[F.col("row")[c].alias(c) for c in rest])
+
+
 def drain(query_df: DataFrame, mode: str, name: str, checkpoint: str) -> DataFrame:
     """Run a stream over all that is there and return what its memory sink holds."""
     query = query_df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
