@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom.functions import ordered
-from keyloom.functions.keys import glob, glob_regex, live
+from keyloom.functions.keys import glob, glob_regex, live, parse_double, parse_int
 from keyloom.operators import commands, generic, hashes, lists, metrics, sets, sketches, strings, vectors, zsets
 from keyloom.plans import fold
 from keyloom.sources import oplog
@@ -97,42 +97,164 @@ def test_hll_error(spark, n, bound):
 
 
 def test_vectors(spark):
-    state = spark.createDataFrame([("e", "x", [1.0, 0.0, 0.0]), ("e", "y", [0.0, 1.0, 0.0]), ("e", "o", [0.0, 0.0, 0.0])], "key string, label string, vec array<float>")
-    asked = spark.createDataFrame([(1, [0.9, 0.1, 0.0])], "query int, vec array<float>")
-    assert rows(vectors.search(state, asked, 1), "label") == [("x",)]
+    state = spark.createDataFrame([("e", "x", [1.0, 0.0, 0.0]), ("e", "y", [0.0, 1.0, 0.0]), ("e", "o", [0.0, 0.0, 0.0]), ("f", "z", [0.9, 0.1, 0.0]), ("e", "n", None)], "key string, label string, vec array<float>")
+    asked = spark.createDataFrame([(1, "e", [0.9, 0.1, 0.0]), (2, "g", [0.9, 0.1, 0.0]), (3, "e", [1.0])], "query int, key string, vec array<float>")
+    assert rows(vectors.search(state, asked, 1), "query", "label") == [(1, "x")]
+    assert rows(vectors.search(state, asked, 9), "rank", "label") == [(1, "x"), (2, "y"), (3, "o")]
+    assert vectors.search(state.limit(0), asked, 9).count() == vectors.search(state, asked.limit(0), 9).count() == 0
+    # closer than six decimals tell
+    near = spark.createDataFrame([("e", 1, [1.0, 1e-4]), ("e", 2, [1.0, 0.0]), ("e", 3, [1.0, 0.0])], "key string, label int, vec array<double>")
+    own = spark.createDataFrame([(7, "e", [1.0, 0.0])], "query int, key string, vec array<double>")
+    assert rows(vectors.search(near, own, 3), "rank", "label", "score") == [(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0)]
     rng = np.random.default_rng(123)
     many = spark.createDataFrame([("e", str(i), v.tolist()) for i, v in enumerate(rng.standard_normal((500, 32)))], "key string, label string, vec array<double>")
-    own = many.limit(50).select(F.col("label").alias("query"), "vec")
+    own = many.limit(50).select(F.col("label").alias("query"), "key", "vec")
     assert vectors.search(many, own, 1, "l2").where("query = label").count() == 50
-    with pytest.raises(ValueError, match="queries"):
-        vectors.search(many, spark.range(1001).select(F.col("id").alias("query"), F.array(F.lit(1.0)).alias("vec")), 1)
+    with pytest.raises(ValueError, match="metric"):
+        vectors.search(many, own, 1, "dot")
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_indexed_search_finds_neighbours(spark, monkeypatch, metric):
+    monkeypatch.setattr(vectors, "PER_CELL", 50)
+    rng = np.random.default_rng(123)
+    x = rng.standard_normal((2000, 32))
+    state = spark.createDataFrame([("e", i, v.tolist()) for i, v in enumerate(x)], "key string, label long, vec array<double>")
+    asked = state.where("label % 20 = 0").select(F.col("label").alias("query"), "key", "vec")
+    found = vectors.search_indexed(state, asked, 1, metric)
+    assert found.where("query = label").count() >= 95
+    exact, every = (rows(df, "query", "rank", "label") for df in (vectors.search(state, asked, 5, metric), vectors.search_indexed(state, asked, 5, metric, probes=1000)))
+    assert exact == every
 
 
 def test_command_table(spark):
     table = commands.table(spark)
-    log = spark.createDataFrame([(1, ["GET", "a"]), (2, ["get"]), (3, ["MSET", "a", "1", "b", "2"]), (4, ["mset", "a", "1", "b"]), (5, ["nope"]), (6, ["PING"])], "seq long, argv array<string>")
+    log = spark.createDataFrame([(1, ["GET", "a"]), (2, ["get"]), (3, ["MSET", "a", "1", "b", "2"]), (4, ["mset", "a", "1", "b"]), (5, ["nope"]), (6, ["DBSIZE"]), (7, ["PING"])], "seq long, argv array<string>")
     got = {r["seq"]: (r["keys"], r["error"]) for r in commands.checked(log, table).collect()}
-    assert got == {1: (["a"], None), 2: (None, "wrong number of arguments"), 3: (["a", "b"], None), 4: (None, "wrong number of arguments"), 5: (None, "unknown command"), 6: ([], None)}
+    assert got == {1: (["a"], None), 2: (None, "wrong number of arguments"), 3: (["a", "b"], None), 4: (None, "wrong number of arguments"), 5: (None, "unknown command"), 6: ([], None), 7: (None, "unknown command")}
 
 
 def test_framing():
     assert list(oplog.parse(b"*3\r\n$3\r\nSET\r\n$3\r\nfoo\r\n$3\r\nbar\r\n")) == [[b"SET", b"foo", b"bar"]]
     assert list(oplog.parse(b"PING\r\n*1\r\n$4\r\nPING\r\n")) == [[b"PING"], [b"PING"]]
     assert list(oplog.parse(b"*2\r\n$3\r\nGET\r\n$3\r\nfo")) == []
-    with pytest.raises(oplog.FramingError):
-        list(oplog.parse(b"*2\r\nGET\r\n"))
+    assert list(oplog.parse(b"*2\r\n$6\r\na\r\n\r\nb\r\n$0\r\n\r\n")) == [[b"a\r\n\r\nb", b""]]
+    for bad in (b"*2\r\nGET\r\n", b"*x\r\n", b"*1\r\n$2\r\nabc\r\n", b"*9999999\r\n", b"x" * 70_000):
+        with pytest.raises(oplog.FramingError):
+            list(oplog.parse(bad))
 
 
 def test_log_and_snapshot_round_trip(spark):
     path = tempfile.mkdtemp(prefix="spark-log-")
-    log = spark.createDataFrame([(1, ["SET", "k", "é\r\nx"]), (2, ["DEL", "k"]), (3, ["APPEND", "k", ""])], "seq long, argv array<string>").coalesce(1)
+    binary = bytes(range(256)) + b"\r\n*1\r\n"
+    words = [[b"SET", b"k", "é\r\nx".encode()], [b"DEL", b"k"], [b"APPEND", b"k", b""], [b"SET", b"raw", binary]]
+    log = spark.createDataFrame([(10 * i, w) for i, w in enumerate(words)], "seq long, argv array<binary>").repartition(3)
     oplog.write_log(log, f"{path}/log")
-    assert [r["argv"] for r in oplog.read_log(spark, f"{path}/log").orderBy("line").collect()] == [["SET", "k", "é\r\nx"], ["DEL", "k"], ["APPEND", "k", ""]]
+    assert [(r["seq"], [bytes(w) for w in r["argv"]]) for r in oplog.read_log(spark, f"{path}/log").orderBy("seq").collect()] == [(10 * i, w) for i, w in enumerate(words)]
     state = spark.createDataFrame([("a", "1", None), ("b", "2", 5)], "key string, value string, deadline_ms long")
     oplog.write_snapshot(state, f"{path}/snapshot")
     assert rows(oplog.read_snapshot(spark, f"{path}/snapshot", 10), "key") == [("a",)]
 
 
+def test_a_large_log_file_is_read_in_pieces(spark):
+    """One file of many splits: its commands come in order and whole."""
+    path = tempfile.mkdtemp(prefix="spark-log-")
+    rng = np.random.default_rng(3)
+    values = [bytes(rng.integers(0, 14, int(n), dtype=np.uint8)) for n in rng.integers(0, 4000, 300)]
+    with open(f"{path}/log", "wb") as f:
+        for i, v in enumerate(values):
+            f.write(b"*3\r\n$3\r\nSET\r\n$%d\r\n%d\r\n$%d\r\n%s\r\n" % (len(str(i)), i, len(v), v))
+        f.write(b"*2\r\n$3\r\nDEL\r\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 50_000)
+    try:
+        got = {r["line"]: [bytes(w) for w in r["argv"]] for r in oplog.read_log(spark, path).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {i: [b"SET", str(i).encode(), v] for i, v in enumerate(values)}
+
+
+def test_commands_to_log(spark):
+    log = spark.createDataFrame([(1, ["SET", "a", "5"]), (2, ["incr", "a"]), (3, ["DECRBY", "a", "3"]), (4, ["DECRBY", "a", "-4"]), (5, ["SET", "b", "x"]), (6, ["DEL", "c", "d"]), (7, ["FLUSHDB"]), (8, ["GET", "a"]), (9, ["INCRBY", "a"])], "seq long, argv array<string>")
+    got = rows(fold.commands_to_log(log), "seq", "op", "key", "arg")
+    assert got == [(1, "set", "a", 5), (2, "incrby", "a", 1), (3, "incrby", "a", -3), (4, "incrby", "a", 4), (6, "del", "c", None), (6, "del", "d", None), (7, "flush", None, None)]
+
+
+def test_del_and_flush_after_a_snapshot(spark):
+    log = spark.createDataFrame([(1, "a", "set", 5), (2, "b", "incrby", 2), (3, "c", "set", 1), (4, "a", "incrby", 1), (5, "b", "del", None), (6, "b", "incrby", 7)], "seq long, key string, op string, arg long")
+    held = fold.fold_log(log.where("seq <= 3"))
+    assert rows(fold.snapshot_and_log(held, log), "key", "value") == rows(fold.fold_log(log), "key", "value") == [("a", 6), ("b", 7), ("c", 1)]
+    flushed = log.unionByName(spark.createDataFrame([(7, None, "flush", None), (8, "c", "incrby", 4)], log.schema))
+    assert rows(fold.snapshot_and_log(held, flushed), "key", "value") == rows(fold.fold_log(flushed), "key", "value") == [("c", 4)]
+
+
+def test_expiry_in_order(spark):
+    """A later request counts, a time of nothing ends a key, an expired key isn't there."""
+    state = spark.createDataFrame([("a", "v", None), ("b", "v", 5000), ("gone", "v", 10), ("k", "v", None)], "key string, value string, deadline_ms long")
+    asked = spark.createDataFrame([(1, "a", 100_000), (2, "a", 1000), (3, "b", 0), (4, "b", 9000), (5, "gone", 9000), (6, "none", 5)], "seq long, key string, ttl_ms long")
+    got = {r["key"]: r["deadline_ms"] for r in generic.expire(state, asked, 1000).collect()}
+    assert got == {"a": 2000, "b": 1000, "k": None}
+    assert {r["seq"]: r["reply"] for r in generic.expire_replies(state, asked, 1000).collect()} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0}
+    log = spark.createDataFrame([(1, "gone", "new"), (2, "b", "new")], "seq long, key string, value string")
+    kept = {r["key"]: (r["value"], r["deadline_ms"]) for r in strings.set_keeping_ttl(log, state, True, 1000).collect()}
+    assert kept == {"a": ("v", None), "b": ("new", 5000), "gone": ("new", None), "k": ("v", None)}
+    assert rows(generic.keys_of(1000, string=state), "key") == [("a",), ("b",), ("k",)]
+
+
+def plain_set(log, state, now):
+    held = {k: (v, d) for k, v, d in state if d is None or d > now}
+    for _, key, value, only, keep, in_ms, at_ms in sorted(log, key=lambda r: r[0]):
+        if (in_ms is not None and in_ms <= 0) or (at_ms is not None and at_ms <= 0):
+            continue
+        if (only == "nx" and key in held) or (only == "xx" and key not in held):
+            continue
+        deadline = at_ms if at_ms is not None else now + in_ms if in_ms is not None else held.get(key, (None, None))[1] if keep else None
+        held[key] = (value, deadline)
+    return held
+
+
+def test_set_with_all_options(spark):
+    rng = np.random.default_rng(11)
+    keys = [f"k{i}" for i in range(12)]
+    state = [(k, "old", None if i % 3 else 500 + i * 300) for i, k in enumerate(keys[:8])]
+    pick = lambda *xs: xs[rng.integers(len(xs))]
+    log = [(n, pick(*keys), f"v{n}", pick(None, None, "nx", "xx"), pick(True, False, None), pick(None, None, 5000, 0), pick(None, None, None, 90_000)) for n in range(60)]
+    df = spark.createDataFrame(log, "seq long, key string, value string, only string, keep boolean, in_ms long, at_ms long")
+    got = strings.set_with_options(df, spark.createDataFrame(state, "key string, value string, deadline_ms long"), 1000)
+    assert {r["key"]: (r["value"], r["deadline_ms"]) for r in got.collect()} == plain_set(log, state, 1000)
+
+
+@pytest.mark.parametrize("only", [None, "new", "old"])
+@pytest.mark.parametrize("toward", [None, "up", "down"])
+@pytest.mark.parametrize("incr", [False, True])
+def test_zadd_options_one_by_one(spark, only, toward, incr):
+    rng = np.random.default_rng(12)
+    state = {("z", f"m{i}"): float(i) for i in range(4)}
+    log = [(n, "z", f"m{rng.integers(7)}", float(rng.integers(-5, 6))) for n in range(40)]
+    df = spark.createDataFrame(log, "seq long, key string, member string, score double")
+    held = spark.createDataFrame([(*k, v) for k, v in state.items()], "key string, member string, score double")
+    if only == "new" and toward:
+        with pytest.raises(ValueError, match="options"):
+            zsets.update(df, held, only, toward, incr)
+        return
+    for _, key, member, score in log:
+        now = state.get((key, member))
+        new = score + (now or 0.0) if incr else score
+        if now is None:
+            if only != "old":
+                state[key, member] = new
+        elif only != "new" and not (toward == "up" and new <= now) and not (toward == "down" and new >= now):
+            state[key, member] = new
+    assert {(r["key"], r["member"]): r["score"] for r in zsets.update(df, held, only, toward, incr).collect()} == state
+
+
+def test_a_line_feed_at_the_end_counts(spark):
+    df = spark.createDataFrame([("12\n",), ("abc\n",), ("12",), ("1.5\n",)], "t string")
+    assert df.where(glob(F.col("t"), "a*c")).count() == 0 and df.where(glob(F.col("t"), "a*c?")).count() == 1
+    assert [r[0] for r in df.select(parse_int(F.col("t"))).collect()] == [None, None, 12, None]
+    assert [r[0] for r in df.select(parse_double(F.col("t"))).collect()] == [None, None, 12.0, None]
+
+
 def test_replay(spark):
     log = spark.createDataFrame([(1, "l", "rpush", "a"), (2, "l", "lpush", "b"), (3, "l", "rpop", None), (4, "l", "rpush", "c"), (5, "m", "lpop", None), (6, "m", "rpush", "d"), (7, "m", "del", None)], "seq long, key string, op string, arg string")
     assert rows(fold.replay_lists(log)) == [("l", 0, "b"), ("l", 1, "c")]
@@ -245,8 +367,37 @@ def test_slices_from_the_back(spark):
 
 def test_search_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(1)
-    state = spark.createDataFrame([("k", i, rng.standard_normal(4).tolist()) for i in range(60)], "key string, label long, vec array<double>")
-    asked = state.where("label % 2 = 0").select(F.col("label").alias("query"), "vec")
+    state = spark.createDataFrame([("k" if i % 5 else "l", i, rng.standard_normal(4).tolist()) for i in range(300)], "key string, label long, vec array<double>")
+    asked = state.where("label % 2 = 0").select(F.col("label").alias("query"), "key", "vec")
     whole = rows(vectors.search(state, asked, 3))
-    monkeypatch.setattr(vectors, "MAX_QUERIES", 10)
-    assert rows(vectors.search_in_blocks(state, asked, 3)) == whole and len(whole) == 90
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(vectors, "VECTOR_BLOCK", 40)
+    monkeypatch.setattr(vectors, "VECTOR_SLICE", 7)
+    assert rows(vectors.search(state, asked, 3)) == whole and len(whole) == 450
+
+
+@pytest.mark.parametrize("whole_rows", [0, 1_000_000])
+def test_slices_and_ranks_from_both_ends(spark, monkeypatch, whole_rows):
+    monkeypatch.setattr(ordered, "WHOLE_ROWS", whole_rows)
+    state = spark.createDataFrame([("a", 3 * i, f"v{i}") for i in range(20)] + [("b", 7, "w")], "key string, pos long, value string")
+    assert rows(lists.slices(state, 1, -3)) == [("a", i, f"v{i}") for i in range(1, 18)]
+    assert rows(lists.slices(state, -19, 1)) == [("a", 1, "v1"), ("b", 0, "w")]
+    assert [r["value"] for r in lists.set_element(state, -2, "new").where("pos = 54").collect()] == ["new"]
+    assert rows(lists.set_element(state, 1, "new").where("value = 'new'"), "key", "pos") == [("a", 3)]
+    scored = state.select("key", F.col("value").alias("member"), F.floor(F.col("pos") / 6).cast("double").alias("score"))
+    order = [r["member"] for r in scored.where("key = 'a'").orderBy("score", "member").collect()]
+    assert rows(zsets.by_rank(scored, 2, -2).where("key = 'a'"), "rank", "member") == [(i, order[i]) for i in range(2, 19)]
+    assert rows(zsets.by_rank(scored, 2, -2, reverse=True).where("key = 'a'"), "rank", "member") == [(i, order[::-1][i]) for i in range(2, 19)]
+
+
+def test_exposition_lines(spark):
+    samples = spark.createDataFrame([("keys", 'shard="0"', 3.0), ("s", "", 1.25)], "name string, label string, value double")
+    assert rows(metrics.exposition_line(samples)) == [('keys{shard="0"} 3',), ("s 1.250000",)]
+
+
+def test_sessions(spark):
+    folder = tempfile.mkdtemp(prefix="spark-stream-")
+    batch = spark.createDataFrame([(1, f"2024-01-01 00:{m:02d}:00") for m in (0, 20, 50)] + [(1, "2024-01-01 03:00:00"), (2, "2024-01-01 03:00:00")], "user_id int, ts string")
+    batch.write.parquet(f"{folder}/in")
+    found = jobs.drain(jobs.sessions(jobs.read_events(spark, f"{folder}/in", batch.schema)), "complete", "sessions", f"{folder}/c")
+    assert rows(found.select("user_id", F.date_format("start", "HH:mm").alias("start"), "n_ops")) == [(1, "00:00", 3), (1, "03:00", 1), (2, "03:00", 1)]
