@@ -2,9 +2,11 @@
 
 Vectors are scaled to length one. Two codebooks, one for each half of the vector, make a grid
 of cells; every vector is a resident of its nearest cell and a visitor of the next cells in
-the order of a multi-sequence traversal (ascending sum of both halves' distances). How many
-cells it visits is calibrated: the fewest with which the target recall is reached on pairs of a
-bounded sample, both real ones and made ones with cosines spread evenly over the linked range.
+the order of a multi-sequence traversal (ascending sum of both halves' distances), as long as that
+sum exceeds the nearest cell's by no more than the index's reach. The reach is calibrated: the
+least with which the target recall is met on linked pairs that the codebooks haven't seen, both real
+ones (a bounded sample of vectors with partners found among all rows) and made ones with cosines
+spread evenly over the linked range. A vector deep inside a cell so visits few, one near a border many.
 A pair is met if either vector visits the other's cell; it is counted in exactly one cell and
 verified by its cosine in double precision.
 
@@ -16,24 +18,29 @@ return sums of links and a spanning forest of them, never pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 from .components import connected_components
 
 MIN_COSINE = 0.9
-TARGET_RECALL = 0.98
-#: Rows that codebooks and calibration see at most.
+TARGET_RECALL = 0.97
+#: Vectors that codebooks are fitted on at most. There are never more codes than these, which lets
+#: cells keep their size up to SAMPLE_ROWS ** 2 * PER_CELL vectors.
 SAMPLE_ROWS = 20_000
-CALIBRATION_PAIRS = 1_000
+#: Vectors whose partners calibrate the index, partners taken of each, and made pairs.
+PROBES, PARTNERS, MADE_PAIRS = 512, 4, 1_000
+#: Real pairs below this number are judged together with the made ones.
+LEAST_REAL = 50
 #: Vectors a cell holds on average.
-PER_CELL = 24
-MAX_CODES = 1_024
-BLOCK = 512
+PER_CELL = 512
+#: Residents, and visitors, of a cell that one comparison takes.
+BLOCK = 2_048
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -48,7 +55,7 @@ def codebook(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        near = _squares(x, centres).argmin(axis=1)
+        near = np.concatenate([_squares(x[at : at + 1_024], centres).argmin(axis=1) for at in range(0, len(x), 1_024)])
         sums, counts = np.zeros_like(centres), np.bincount(near, minlength=k)
         np.add.at(sums, near, x)
         full = counts > 0
@@ -61,81 +68,137 @@ def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (x * x).sum(axis=1)[:, None] - 2.0 * (x @ centres.T) + (centres * centres).sum(axis=1)[None, :]
 
 
-def visited_cells(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], cells: int) -> np.ndarray:
-    """The first ``cells`` cells of each row's multi-sequence traversal, nearest first.
-
-    The cell of the i-th nearest code of one half and the j-th of the other has (i+1)(j+1)-1
-    cells before it at least, so only those with (i+1)(j+1) <= cells are looked at.
-    """
-    half = books[0].shape[1]
-    k = len(books[0])
-    cells = min(cells, k * k)
-    depth = min(k, cells)
-    near, far = [], []
-    for part, book in ((x[:, :half], books[0]), (x[:, half:], books[1])):
-        d = _squares(part, book)
-        order = np.argsort(d, axis=1, kind="stable")[:, :depth]
-        near.append(order)
-        far.append(np.take_along_axis(d, order, axis=1))
-    i, j = np.meshgrid(np.arange(depth), np.arange(depth), indexing="ij")
-    use = (i + 1) * (j + 1) <= cells
-    i, j = i[use], j[use]
-    sums = far[0][:, i] + far[1][:, j]
-    order = np.argsort(sums, axis=1, kind="stable")[:, :cells]
-    return np.take_along_axis(near[0][:, i] * k + near[1][:, j], order, axis=1).astype(np.int32)
-
-
-def _pairs(x: np.ndarray, min_cosine: float, n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs to calibrate with: made ones of all cosines, and real ones of the sample."""
+@dataclass(frozen=True)
+class Index:
+    """Codebooks of both halves and how far beyond its nearest cell a vector visits others."""
+
+    books: tuple[np.ndarray, np.ndarray]
+    reach: float
+
+    def beyond(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By how much each code of either half is farther from each row than the nearest one."""
+        half = self.books[0].shape[1]
+        each = (_squares(x[:, :half], self.books[0]), _squares(x[:, half:], self.books[1]))
+        return tuple(d - d.min(axis=1, keepdims=True) for d in each)
+
+    def visited(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of each row's multi-sequence traversal within the reach: rows in order, cells nearest first.
+
+        Only codes within the reach by themselves can be part of a cell within it.
+        """
+        k = len(self.books[1])
+        rows, cells = [], []
+        at = 0
+        while at < len(x):
+            part = x[at : at + 256]
+            far, order = [], []
+            for d in self.beyond(part):
+                near = np.argsort(d, axis=1, kind="stable")[:, : max(1, int((d <= self.reach).sum(axis=1).max()))]
+                order.append(near)
+                far.append(np.take_along_axis(d, near, axis=1))
+            # so many rows at once that their sums stay small
+            step = max(1, (1 << 21) // (far[0].shape[1] * far[1].shape[1]))
+            for s in range(0, len(part), step):
+                sums = far[0][s : s + step, :, None] + far[1][s : s + step, None, :]
+                r, i, j = np.nonzero(sums <= self.reach)
+                by = np.lexsort((j, i, sums[r, i, j], r))
+                r, i, j = r[by] + s, i[by], j[by]
+                rows.append(r + at)
+                cells.append(order[0][r, i] * k + order[1][r, j])
+            at += 256
+        return np.concatenate(rows), np.concatenate(cells).astype(np.int32)
+
+
+def made_pairs(x: np.ndarray, min_cosine: float, n: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` pairs of a row and a vector in a random direction from it, cosines spread evenly from ``min_cosine`` to 1."""
     rng = np.random.default_rng(seed)
     a = x[rng.choice(len(x), n, replace=len(x) < n)]
     other = rng.standard_normal(a.shape)
     other -= (other * a).sum(axis=1, keepdims=True) * a
     length = np.sqrt((other * other).sum(axis=1, keepdims=True))
     cosine = rng.uniform(min_cosine, 1.0, (n, 1))
-    made = cosine * a + np.sqrt(1 - cosine * cosine) * np.divide(other, length, out=np.zeros_like(other), where=length > 0)
-    probe = x[rng.choice(len(x), min(n, len(x)), replace=False)]
-    real = np.argwhere(probe[:200] @ x.T >= min_cosine)[:n]
-    return [(a, made), (probe[real[:, 0]], x[real[:, 1]])]
-
-
-def calibrated_cells(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], min_cosine: float, target: float, seed: int = 5) -> int:
-    """The fewest cells (a power of two, or all) with which recall reaches ``target`` on either kind of pairs."""
-    kinds = _pairs(x, min_cosine, CALIBRATION_PAIRS, seed)
-    everything, cells = len(books[0]) ** 2, 1
-    while cells < everything:
-        recall = 1.0
-        for a, b in kinds:
-            va, vb = visited_cells(a, books, cells), visited_cells(b, books, cells)
-            met = (va == vb[:, :1]).any(axis=1) | (vb == va[:, :1]).any(axis=1)
-            recall = min(recall, met.mean() if len(met) else 1.0)
-        if recall >= target:
-            return cells
-        cells *= 2
-    return everything
+    return a, cosine * a + np.sqrt(1 - cosine * cosine) * np.divide(other, length, out=np.zeros_like(other), where=length > 0)
+
+
+def calibrated(books: tuple[np.ndarray, np.ndarray], made: tuple[np.ndarray, np.ndarray], real: tuple[np.ndarray, np.ndarray], target: float) -> Index:
+    """The index of the least reach with which a share ``target`` of either kind of pairs is met."""
+    kinds = [made, real] if len(real[0]) >= LEAST_REAL else [tuple(np.concatenate(p) for p in zip(made, real, strict=True))]
+    index, reach = Index(books, 0.0), 0.0
+    for a, b in kinds:
+        fa, fb = index.beyond(a), index.beyond(b)
+        row = np.arange(len(a))
+        # how far either vector has to reach for the other's cell
+        needed = np.minimum(sum(x[row, y.argmin(axis=1)] for x, y in zip(fa, fb, strict=True)), sum(y[row, x.argmin(axis=1)] for x, y in zip(fa, fb, strict=True)))
+        reach = max(reach, float(np.sort(needed)[int(np.ceil(target * len(needed))) - 1]))
+    return Index(books, reach * (1 + 1e-9))
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return unit(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
 
 
-def _assigner(books: tuple[np.ndarray, np.ndarray], cells: int, dim: int):
-    """For mapInArrow over (gid, n, vec): a row for each visited cell, the first as resident."""
+def _partners(probes: np.ndarray, marks: np.ndarray, dim: int, min_cosine: float):
+    """For mapInArrow over (h, vec): (probe, order, vec) of a few other vectors that each probe is linked with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[dict[int, pa.Scalar]] = [{} for _ in probes]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_024):
+                part = batch.slice(at, 1_024)
+                h = part.column(0).to_numpy()
+                near = (probes @ _vectors(part.column(1), dim).T >= min_cosine) & (marks[:, None] != h[None, :])
+                for p, i in zip(*np.nonzero(near), strict=True):
+                    own, mark = best[p], int(h[i])
+                    if len(own) < PARTNERS or mark < max(own):
+                        own[mark] = part.column(1)[i]
+                        if len(own) > PARTNERS:
+                            del own[max(own)]
+        rows = [(p, mark, v.as_py()) for p, own in enumerate(best) for mark, v in own.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.list_(pa.float64())), strict=True)], ["probe", "mark", "vec"])
+
+    return run
+
+
+def fitted(vectors: DataFrame, dim: int, total: int, min_cosine: float, target: float) -> Index:
+    """The index for ``vectors(h, vec)`` of one dimension, about ``total`` of them different; ``h``: a hash of the vector.
+
+    Codebooks and probes come of a sample of different vectors in the order of a hash, of SAMPLE_ROWS and PROBES
+    rows at most; the probes' partners are looked for among all rows.
+    """
+    wanted = SAMPLE_ROWS + PROBES
+    order = F.xxhash64("h", F.lit(3))
+    some = vectors if total <= 2 * wanted else vectors.where(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * 1.5 * wanted / total))
+    sample = some.groupBy("h").agg(F.first("vec").alias("vec")).orderBy(order, "h").limit(wanted).toArrow()
+    x, marks = _vectors(sample.column("vec").combine_chunks(), dim), sample.column("h").to_numpy()
+    unseen = min(PROBES, len(x) // 4)
+    seen = x[unseen:]
+    k = int(min(max(1, round((total / PER_CELL) ** 0.5)), len(seen)))
+    books = (codebook(seen[:, : dim // 2], k, 1), codebook(seen[:, dim // 2 :], k, 2))
+    if k == 1 or not unseen:
+        return Index(books, np.inf)
+    probes = x[:unseen]
+    found = vectors.select("h", "vec").mapInArrow(_partners(probes, marks[:unseen], dim, min_cosine), "probe int, mark long, vec array<double>")
+    rn = F.row_number().over(Window.partitionBy("probe").orderBy("mark"))
+    real = found.dropDuplicates(["probe", "mark"]).withColumn("rn", rn).where(F.col("rn") <= PARTNERS).select("probe", "vec").toArrow()
+    pairs = (probes[real.column("probe").to_numpy()], _vectors(real.column("vec").combine_chunks(), dim)) if real.num_rows else (probes[:0], probes[:0])
+    return calibrated(books, made_pairs(probes, min_cosine, MADE_PAIRS), pairs, target)
+
+
+def _assigner(indexes: dict[int, Index]):
+    """For mapInArrow over (gid, h, g, low, n, vec): the same and what each vector visits, its own cell first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                seen = visited_cells(_vectors(part.column(2), dim), books, cells)
-                many, width = seen.shape
-                row = pa.array(np.repeat(np.arange(many), width))
-                gid, n, vec = (part.column(i).take(row) for i in range(3))
-                home = pa.array(np.repeat(seen[:, 0], width))
-                resident = np.tile(np.arange(width) == 0, many)
-                # only residents carry what they visit
-                ends = np.concatenate(([0], np.cumsum(np.where(resident, width, 0)))).astype(np.int32)
-                visits = pa.ListArray.from_arrays(pa.array(ends), pa.array(seen.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(seen.ravel()), pa.array(resident), gid, n, home, visits, vec], ["cell", "resident", "gid", "n", "home", "visits", "vec"])
+            vec = batch.column("vec")
+            sizes = np.diff(vec.offsets.to_numpy())
+            visits: list = [None] * batch.num_rows
+            for dim in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == dim)
+                row, cell = indexes[dim].visited(_vectors(vec.take(pa.array(at)), dim))
+                for i, own in zip(at.tolist(), np.split(cell, np.flatnonzero(np.diff(row)) + 1), strict=True):
+                    visits[i] = own
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(visits, pa.list_(pa.int32()))], [*batch.schema.names, "visits"])
 
     return run
 
@@ -156,24 +219,34 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(side: np.ndarray, gid: np.ndarray, n: np.ndarray, home: np.ndarray, visits: list, x: np.ndarray, diagonal: bool, min_cosine: float) -> tuple[list, list]:
+def _compare(side: np.ndarray, gid: np.ndarray, n: np.ndarray, home: np.ndarray, visits: pa.Array, x: np.ndarray, diagonal: bool, min_cosine: float) -> tuple[list, list]:
     """Link sums (gid, weight) and forest edges (gid, gid) of one group."""
     own = np.flatnonzero(side == 0)
     if not len(own):
         return [], []
     m = len(side)
     linked = np.zeros((m, m), bool)
-    close = x[own] @ x.T >= min_cosine
+    for at in range(0, len(own), 256):
+        some = own[at : at + 256]
+        linked[some] = x[some] @ x.T >= min_cosine
+    close = linked[own]
     close[:, side == 0] &= diagonal
     close[np.arange(len(own)), own] = False
     guests = np.flatnonzero(side == 2)
     if len(guests):
         r, g = np.nonzero(close[:, guests])
-        for at in range(0, len(r), 1 << 16):
-            rr, gg = r[at : at + (1 << 16)], guests[g[at : at + (1 << 16)]]
+        # what the residents visit, as rows of one width
+        ends = visits.offsets.to_numpy()
+        flat, starts, counts = visits.values.to_numpy(), ends[own], ends[own + 1] - ends[own]
+        seen = np.full((len(own), max(1, int(counts.max(initial=0)))), -1, np.int32)
+        for i, (s, c) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
+            seen[i, :c] = flat[s : s + c]
+        for at in range(0, len(r), 1 << 14):
+            rr, gg = r[at : at + (1 << 14)], guests[g[at : at + (1 << 14)]]
             # if both visit each other's cell, the pair counts where the visitor has the smaller gid
-            back = (visits[own[rr]] == home[gg][:, None]).any(axis=1)
+            back = (seen[rr] == home[gg][:, None]).any(axis=1)
             close[rr, gg] &= ~back | (gid[gg] < gid[own[rr]])
+    linked[:] = False
     linked[own] = close
     linked |= linked.T
     weight = linked @ n
@@ -181,64 +254,47 @@ def _compare(side: np.ndarray, gid: np.ndarray, n: np.ndarray, home: np.ndarray,
     return list(zip(gid[at].tolist(), weight[at].tolist(), strict=True)), [(int(gid[i]), int(gid[j])) for i, j in _forest(linked)]
 
 
-def _comparer(dim: int, width: int, min_cosine: float):
-    """For mapInArrow over rows sorted by (cell, a, b): sums (a, null, w) and edges (a, b, null)."""
+def _comparer(min_cosine: float):
+    """For mapInArrow over rows sorted by (dim, cell, a, b): sums (a, null, w) and edges (a, b, null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
 
         def result(rows: pa.Table) -> pa.RecordBatch:
-            cell, a, b, side, gid, n, home = (rows.column(i).to_numpy() for i in range(7))
-            visits = np.full((len(cell), width), -1, np.int32)
-            lists = rows.column(7).combine_chunks()
-            if len(flat := lists.flatten().to_numpy()):
-                visits[np.diff(lists.offsets.to_numpy()) > 0] = flat.reshape(-1, width)
-            x = _vectors(rows.column(8).combine_chunks(), dim)
-            cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
-            sums, edges = [], []
-            for s, e in zip([0, *cuts], [*cuts, len(cell)], strict=True):
-                if e - s > 1:
-                    found = _compare(side[s:e], gid[s:e], n[s:e], home[s:e], visits[s:e], x[s:e], a[s] == b[s], min_cosine)
-                    sums += found[0]
-                    edges += found[1]
+            dim, a, b, side, gid, n, home = (rows.column(i).to_numpy() for i in (0, 2, 3, 4, 5, 6, 7))
+            lists = rows.column(8).combine_chunks()
+            x = _vectors(rows.column(9).combine_chunks(), int(dim[0]))
+            sums, edges = _compare(side, gid, n, home, lists, x, a[0] == b[0], min_cosine) if len(side) > 1 else ([], [])
             first = [g for g, _ in sums] + [p for p, _ in edges]
             second = [None] * len(sums) + [q for _, q in edges]
             weights = [w for _, w in sums] + [None] * len(edges)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (first, second, weights)], ["a", "b", "w"])
 
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            keys = [rows.column(i).to_numpy() for i in range(3)]
-            open_from = len(rows)
-            same = np.ones(len(rows), bool)
-            for k in keys:
-                same &= k == k[-1]
-            open_from = int(same.argmax())
-            if open_from:
-                yield result(rows.slice(0, open_from))
-            held = rows.slice(open_from)
-        if held is not None and len(held):
-            yield result(held)
+            keys = np.stack([batch.column(i).to_numpy() for i in range(4)])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(s, e - s)
+                if held and part.num_rows and any(held[0].column(i)[0].as_py() != part.column(i)[0].as_py() for i in range(4)):
+                    yield result(pa.Table.from_batches(held))
+                    held = []
+                if part.num_rows:
+                    held.append(part)
+        if held:
+            yield result(pa.Table.from_batches(held))
 
     return run
 
 
-def _links(reps: DataFrame, dim: int, total: int, min_cosine: float, target: float, block: int) -> DataFrame:
-    """(a, b, w) of ``reps(gid, n, vec)`` of one dimension."""
-    sample = reps.orderBy(F.xxhash64("gid", F.lit(3)), "gid").limit(SAMPLE_ROWS).select("vec").toArrow()
-    x = _vectors(sample.column(0).combine_chunks(), dim)
-    k = int(min(MAX_CODES, max(1, round((total / PER_CELL) ** 0.5)), len(x)))
-    half = dim // 2
-    books = (codebook(x[:, :half], k, 1), codebook(x[:, half:], k, 2))
-    cells = calibrated_cells(x, books, min_cosine, target)
-    kind = reps.schema["vec"].dataType.simpleString()
-    placed = written(reps.select("gid", "n", "vec").mapInArrow(_assigner(books, cells, dim), f"cell int, resident boolean, gid long, n long, home int, visits array<int>, vec {kind}"), "cells")
-    sizes = placed.groupBy("cell").agg(F.count_if("resident").alias("r"), F.count_if(~F.col("resident")).alias("v"))
+def _links(reps: DataFrame, min_cosine: float, block: int) -> DataFrame:
+    """(a, b, w) of ``reps(gid, n, vec, visits)``."""
+    dim = F.size("vec").alias("dim")
+    sizes = reps.select(dim, F.posexplode("visits").alias("pos", "cell")).groupBy("dim", "cell").agg(F.count_if(F.col("pos") == 0).alias("r"), F.count_if(F.col("pos") > 0).alias("v"))
     parts = lambda c: F.greatest(F.ceil(F.col(c) / F.lit(block)), F.lit(1)).cast("int")
     # written, so that Spark knows its size when it chooses the join
-    large = written(sizes.where((F.col("r") > block) | (F.col("v") > block)).select("cell", parts("r").alias("sr"), parts("v").alias("sv")), "large")
-    marked = placed.join(large, "cell", "left")
+    large = written(sizes.where((F.col("r") > block) | (F.col("v") > block)).select("dim", "cell", parts("r").alias("sr"), parts("v").alias("sv")), "large")
+    placed = reps.select(dim, "gid", "n", F.col("visits")[0].alias("home"), "visits", "vec", F.posexplode("visits").alias("pos", "cell")).withColumn("resident", F.col("pos") == 0)
+    marked = placed.join(large, ["dim", "cell"], "left")
     own = F.pmod(F.xxhash64("gid", F.lit(9)), F.when(F.col("resident"), F.col("sr")).otherwise(F.col("sv"))).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     spot = lambda a, b, side: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), side.cast("int").alias("side"))
@@ -249,8 +305,10 @@ def _links(reps: DataFrame, dim: int, total: int, min_cosine: float, target: flo
     for_visitor = F.transform(upto(F.col("sr")), lambda j: spot(j, F.col("sr") + r, F.lit(2)))
     alone = F.array(spot(F.lit(0), F.lit(0), F.when(F.col("resident"), 0).otherwise(2)))
     spots = F.when(F.col("sr").isNull(), alone).when(F.col("resident"), for_resident).otherwise(for_visitor)
-    rows = marked.withColumn("own", own).withColumn("spot", F.explode(spots)).select("cell", "spot.a", "spot.b", "spot.side", "gid", "n", "home", "visits", "vec")
-    return rows.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(_comparer(dim, min(cells, k * k), min_cosine), "a long, b long, w long")
+    # only residents carry what they visit
+    seen = F.when(F.col("resident"), F.col("visits")).otherwise(F.array().cast("array<int>"))
+    rows = marked.withColumn("own", own).withColumn("spot", F.explode(spots)).select("dim", "cell", "spot.a", "spot.b", "spot.side", "gid", "n", "home", seen.alias("visits"), "vec")
+    return rows.repartition("dim", "cell", "a", "b").sortWithinPartitions("dim", "cell", "a", "b").mapInArrow(_comparer(min_cosine), "a long, b long, w long")
 
 
 def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", min_cosine: float = MIN_COSINE, target_recall: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
@@ -267,16 +325,15 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
     sound = F.coalesce(F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("h", F.when(sound, F.xxhash64(vec))).withColumn("g", F.when(sound, F.xxhash64(vec, F.lit(1))))
-    groups = rows.where("h is not null").groupBy("h", "g").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("vec").alias("vec"))
-    reps = written(groups.withColumn("gid", F.monotonically_increasing_id()), "vectors")
+    known = rows.where("h is not null")
     # one length is usual; each has its own index
-    lengths = reps.groupBy(F.size("vec").alias("dim")).count().collect()
-    found = None
-    for dim, total in sorted(tuple(x) for x in lengths):
-        one = written(_links(reps.where(F.size("vec") == dim), dim, total, min_cosine, target_recall, block), "links")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = reps.sparkSession.createDataFrame([], "a long, b long, w long")
+    lengths = known.groupBy(F.size("vec").alias("dim")).agg(F.approx_count_distinct("h", 0.02)).collect()
+    indexes = {dim: fitted(known.where(F.size("vec") == dim).select("h", "vec"), dim, total, min_cosine, target_recall) for dim, total in lengths}
+    groups = known.groupBy("h", "g").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("vec").alias("vec"))
+    numbered = groups.select(F.monotonically_increasing_id().alias("gid"), "h", "g", "low", "n", "vec")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema.fields)
+    reps = written(numbered.mapInArrow(_assigner(indexes), f"{schema}, visits array<int>"), "vectors")
+    found = written(_links(reps, min_cosine, block), "links")
     sums = found.where("w is not null").groupBy(F.col("a").alias("gid")).agg(F.sum("w").alias("w"))
     roots = connected_components(found.where("b is not null").select("a", "b"))
     named = reps.select("gid", "h", "g", "low", "n").join(sums, "gid", "left").join(roots.withColumnRenamed("node", "gid"), "gid", "left")
