@@ -2,42 +2,62 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keyloom.sources.scratch import scratch
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the setting is absent (tests on a local master) a temporary folder is set; on a
-    cluster that is refused, since other machines could not see it.
-    """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="keyloom-")
-        sc.setCheckpointDir(root)
-    return str(root).rstrip("/")
+_opened: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/keyloom/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that driver and executors share, ``spark.checkpoint.dir``."""
+    path = scratch(spark, label)
+    for own in _opened:
+        own.append(path)
+    return path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of the shared folder that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def removing(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``new_path`` gave out in between; results have to be written elsewhere by then."""
+    _opened.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_opened.pop())
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there,
     so a lost executor costs no upstream work and several readers compute nothing twice."""
+    return written_at(df, label)[0]
+
+
+def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``written`` and the path, for what is removed before the end."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores where its files make fewer parts than there are cores; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -1,9 +1,10 @@
 """URL filters: host and path rules, then a list of canonical URLs behind a blocked Bloom filter.
 
 The listed URLs set bits in a filter of 256-bit blocks, one block and eight bits a key. The
-filter is a table of at most ``MAX_BLOCKS`` rows, so it can always be broadcast. URLs that it
-rules out are done; only possible hits are shuffled for an exact hash join with the list, which
-removes the false positives. A longer list makes the filter fuller, never the result wrong.
+filter grows with the list, so it is never fuller than designed. Up to ``MAX_BLOCKS`` rows it is
+broadcast; a larger one is dealt by block, and so are the URLs. URLs that it
+rules out are done; only possible hits go to an exact hash join with the list, which
+removes the false positives.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Largest filter: 65,536 blocks of 256 bits, about 3 MB as rows.
+#: Largest filter that is broadcast: 65,536 blocks of 256 bits, about 3 MB as rows.
 MAX_BLOCKS = 1 << 16
 BITS_PER_KEY = 16
 WORDS = 4
@@ -86,31 +87,35 @@ def listed_urls(urls: DataFrame, url_col: str = "url") -> DataFrame:
     return written(urls.select(canonical(F.col(url_col)).alias("url")).where("url != ''").distinct(), "listed")
 
 
-def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", max_blocks: int = MAX_BLOCKS) -> DataFrame:
+def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", max_blocks: int = MAX_BLOCKS, blocks: int | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, listed) for each row of ``pages``.
 
     ``listed``: distinct canonical URLs (url). verdict is the rule's, or else block for listed
     URLs and allow for others. Null and malformed URLs have empty host and path, fit no rule
     and are allowed. Repeated rows come out as often as they went in; very long URLs are used
     whole; with an empty list or empty pages everything is allowed or nothing returned. Other
-    columns of ``pages`` are not read.
+    columns of ``pages`` are not read. ``blocks``: the filter's size, else by the list's.
     """
-    blocks, wanted = 1, listed.count() * BITS_PER_KEY
-    while blocks < max_blocks and blocks * 64 * WORDS < wanted:
-        blocks *= 2
+    if blocks is None:
+        blocks, wanted = 1, listed.count() * BITS_PER_KEY
+        while blocks * 64 * WORDS < wanted:
+            blocks *= 2
     url = F.col("__keyloom_url")
     rows = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("__keyloom_url"))
     rows = rows.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("__keyloom_key"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("verdict")).select("*", *_key("__keyloom_key", blocks))
+    bloom = bloom_blocks(listed, "url", blocks)
     # at most max_blocks rows: a proven bound
-    asked = rows.join(F.broadcast(bloom_blocks(listed, "url", blocks)), "block", "left")
+    asked = rows.join(F.broadcast(bloom) if blocks <= max_blocks else written(bloom, "filter"), "block", "left")
     possible = F.coalesce((F.col("w0").bitwiseAND(F.col("m0")) == F.col("m0")) & (F.col("w1").bitwiseAND(F.col("m1")) == F.col("m1"))
                           & (F.col("w2").bitwiseAND(F.col("m2")) == F.col("m2")) & (F.col("w3").bitwiseAND(F.col("m3")) == F.col("m3")), F.lit(False))
     names = [id_col, "host", "path", "rule", "verdict"]
-    clear = asked.where(~possible).select(*names, F.lit(False).alias("listed"))
+    # URLs are read and taken apart once; hits and others go on from here
+    seen = written(asked.select(*names, F.when(possible, F.col("__keyloom_key")).alias("__keyloom_key")), "asked")
+    clear = seen.where("__keyloom_key is null").select(*names, F.lit(False).alias("listed"))
     exact = listed.select(F.col("url").alias("__keyloom_key"), F.lit(True).alias("__keyloom_in"))
-    hits = asked.where(possible).join(exact, "__keyloom_key", "left")
+    hits = seen.where("__keyloom_key is not null").join(exact, "__keyloom_key", "left")
     hits = hits.select(*names, F.coalesce("__keyloom_in", F.lit(False)).alias("listed"))
     out = clear.unionByName(hits)
     return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("listed"), "block").otherwise("allow")))
