@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +24,29 @@ from pyspark.sql import functions as F
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 ESCAPE = "\\"
 _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
-#: The template of the registered query. Only an assistant's text is generated.
-TEMPLATE = (
-    "<s>{% for m in messages %}[INST] {{ m.role | escape }} [/INST] "
-    "{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}</s>\n"
-    "{% endfor %}{% if add_generation_prompt %}[INST] {{ 'assis' ~ 'tant' }} [/INST] {% endif %}"
-)
+
+
+@dataclass(frozen=True)
+class Marks:
+    """What stands before the first turn, before and after a turn's role, and after its text. All hold control strings."""
+
+    start: str = "<s>"
+    head: str = "[INST] "
+    middle: str = " [/INST] "
+    end: str = "</s>\n"
+
+    def template(self) -> str:
+        """A template of these marks. Only an assistant's text is generated."""
+        return (
+            f"{self.start}{{% for m in messages %}}{self.head}{{{{ m.role | escape }}}}{self.middle}"
+            "{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}"
+            f"{self.end}{{% endfor %}}{{% if add_generation_prompt %}}{self.head}{{{{ 'assis' ~ 'tant' }}}}{self.middle}{{% endif %}}"
+        )
+
+
+#: The marks and the template of the registered query.
+MARKS = Marks()
+TEMPLATE = MARKS.template()
 Segment = tuple[str, bool]
 
 
@@ -385,9 +403,8 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, add_generat
 class _Reader:
     """Reads one conversation's segments back and keeps digests only."""
 
-    HEAD, MIDDLE, END = "[INST] ", " [/INST] ", "</s>\n"
-
-    def __init__(self) -> None:
+    def __init__(self, marks: Marks) -> None:
+        self.marks = marks
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.chars = 0
         self.open, self.started, self.made = "", False, ""
@@ -399,13 +416,14 @@ class _Reader:
         else:
             self._mask()
         self.open += text
-        if not self.started and len(self.open) >= 3:
-            if not self.open.startswith("<s>"):
+        start, end = self.marks.start, self.marks.end
+        if not self.started and len(self.open) >= len(start):
+            if not self.open.startswith(start):
                 raise ValueError("a conversation doesn't begin with its mark")
-            self.open, self.started = self.open[3:], True
-        while self.started and (end := self.open.find("</s>")) >= 0 and len(self.open) > end + 4:
-            turn, self.open = self.open[:end], self.open[end + len(self.END):]
-            role, mark, body = turn.removeprefix(self.HEAD).partition(self.MIDDLE)
+            self.open, self.started = self.open[len(start):], True
+        while self.started and (at := self.open.find(end)) >= 0:
+            turn, self.open = self.open[:at], self.open[at + len(end):]
+            role, mark, body = turn.removeprefix(self.marks.head).partition(self.marks.middle)
             if not mark:
                 raise ValueError("a turn has no mark")
             self.turns.update(f"{unescape(role)}\n{unescape(body)}\n".encode("utf-8", "surrogatepass"))
@@ -425,7 +443,7 @@ class _Reader:
         return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
-def reader(id_type: pa.DataType):
+def reader(id_type: pa.DataType, marks: Marks = MARKS):
     """For mapInArrow over segments: one row of digests for each conversation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,7 +460,7 @@ def reader(id_type: pa.DataType):
                 if firsts[i]:
                     if now is not None:
                         out.append((key, *now.result()))
-                    key, now = ids[i], _Reader()
+                    key, now = ids[i], _Reader(marks)
                 now.add(texts[i], made[i])
             if len(out) > 10_000:
                 yield batch()
@@ -455,15 +473,16 @@ def reader(id_type: pa.DataType):
     return run
 
 
-def read_back(segments: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Digests of each conversation, parsed from what ``format_conversations`` made by TEMPLATE.
+def read_back(segments: DataFrame, id_col: str = "conv_id", marks: Marks = MARKS) -> DataFrame:
+    """Digests of each conversation, parsed from what ``format_conversations`` made by a template of ``marks``.
 
-    Has to follow it directly, as the order of segments counts.
+    Has to follow it directly, as the order of segments counts. Null ids, empty texts, ties and repeated
+    turns are as they were formatted; no segments give no rows; a text without its marks raises.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = segments.schema["id"].dataType
-    out = segments.mapInArrow(reader(to_arrow_type(kind)), f"id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    out = segments.mapInArrow(reader(to_arrow_type(kind), marks), f"id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return out.withColumnRenamed("id", id_col)
 
 
