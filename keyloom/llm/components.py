@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import remove, written_at
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     gives an empty result. Nodes without an edge do not occur. Raises if ``max_rounds`` do
     not suffice (it would need more than 2^60 nodes).
     """
-    now = written(
+    now, path = written_at(
         edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).distinct(),
         "edges",
     )
@@ -43,6 +43,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == before or mark[0] == 0:
             stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
             return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
-        before = mark
-        now = written(_small_star(_large_star(now)), "edges")
+        before, last = mark, path
+        now, path = written_at(_small_star(_large_star(now)), "edges")
+        remove(now.sparkSession, last)
     raise RuntimeError("components did not settle")
