@@ -220,9 +220,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     chosen = written(chosen.join(often, chosen["id"].eqNullSafe(often["id"]), "left").select(
         chosen["id"].alias("__keyloom_id"), F.col("fp").alias("__keyloom_fp"), F.col("root").alias("__keyloom_root"), F.coalesce("often", F.lit(False)).alias("often")), "chosen")
     single = docs.join(chosen.where("not often").select("__keyloom_id"), F.col(id_col) == F.col("__keyloom_id"), "left_semi")
-    several = chosen.where("often").drop("often")
+    # written, so that Spark knows how few they are and fingerprints no others
+    several = written(chosen.where("often").drop("often"), "several")
     same = F.col(id_col).eqNullSafe(F.col("__keyloom_id"))
-    marked = docs.join(several.select("__keyloom_id").distinct(), same, "left_semi").withColumn("__keyloom_own", fingerprint_udf(F.col(text_col)))
+    repeated = written(docs.join(several.select("__keyloom_id").distinct(), same, "left_semi"), "repeated")
+    marked = repeated.withColumn("__keyloom_own", fingerprint_udf(F.col(text_col)))
     found = marked.join(several, same & (F.col("__keyloom_own") == F.col("__keyloom_fp")))
     others = [F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, AtomicType)]
     # the limit of one row works within each task before anything is shuffled
