@@ -2,6 +2,8 @@
 
 import hashlib
 import json
+import math
+import re
 import tempfile
 
 import numpy as np
@@ -33,35 +35,76 @@ def none(spark):
     return frame(spark, [])
 
 
+#: Two made languages: shares of two common words each, and of character classes.
+REFS = quality_rules.References(
+    ("aa", "bb"), ((0.8, 0.02, 0.005, 0.155, 0.0, 0.02), (0.75, 0.05, 0.005, 0.175, 0.0, 0.02)),
+    ("der", "of", "the", "und"), ((0.0, 0.15, 0.25, 0.0), (0.2, 0.0, 0.0, 0.1)))
+
+
 def test_quality_rules(spark, odd, none):
-    got = quality_rules.with_quality(odd, prefix="q_")
-    assert got.columns[:13] == odd.columns
-    by = {r.doc_id: r for r in got.where("doc_id is not null").collect()}
-    assert [by[i].q_n_words for i in (1, 2, 3)] == [0, 0, 0] and all(by[i].q_base_failed and not by[i].q_kept for i in (1, 2, 3))
-    assert by[4].q_n_words == 12_000 * len(PROSE.split()) and by[4].q_n_repeat_words == by[4].q_n_words and not by[4].q_kept
-    assert quality_rules.with_quality(none, prefix="q_").count() == quality_rules.keep_good(none).count() == 0
-    assert quality_rules.keep_good(odd).columns == odd.columns
+    for refs in (REFS, quality_rules.References()):
+        got = quality_rules.with_quality(odd, refs, prefix="q_")
+        assert got.columns[:13] == odd.columns
+        by = {r.doc_id: r for r in got.where("doc_id is not null").collect()}
+        assert [by[i].q_n_words for i in (1, 2, 3)] == [0, 0, 0] and all(by[i].q_base_failed and not by[i].q_kept for i in (1, 2, 3))
+        assert by[4].q_n_words == 12_000 * len(PROSE.split()) and by[4].q_n_repeat_words == by[4].q_n_words and not by[4].q_kept
+        assert quality_rules.with_quality(none, refs, prefix="q_").count() == quality_rules.keep_good(none, refs).count() == 0
+        assert quality_rules.keep_good(odd, refs).columns == odd.columns
 
 
 @pytest.mark.parametrize(("text", "n"), [("a b c d", 0), ("a b c a b c", 6), ("a b c x a b c", 6), ("a a a a", 4), ("a a a", 0), ("a b a b a b x", 6)])
 def test_repeat_words(spark, text, n):
-    assert quality_rules.with_quality(frame(spark, [(1, text)]), prefix="q_").first().q_n_repeat_words == n
+    assert quality_rules.with_quality(frame(spark, [(1, text)]), REFS, prefix="q_").first().q_n_repeat_words == n
 
 
 def test_dup_lines_and_symbols(spark):
-    r = quality_rules.with_quality(frame(spark, [(1, "a\n\nb\na\n \n\na # <b>")]), prefix="q_").first()
+    r = quality_rules.with_quality(frame(spark, [(1, "a\n\nb\na\n \n\na # <b>")]), REFS, prefix="q_").first()
     assert (r.q_n_dup_lines, r.q_n_symbols, r.q_word_chars) == (1, 3, 8)
 
 
+def plain_distance(p, q):
+    m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    half = lambda x: sum(a * math.log2(a / c) for a, c in zip(x, m, strict=True) if a > 0)
+    return math.sqrt(max(0.0, (half(p) + half(q)) / 2))
+
+
+def test_distances_are_jensen_shannon(spark):
+    texts = ["The cat, THE dog. of (the) x", "der Hund und die Katze", "1234 $$ ÄÖ é日\t\n", "nothing common here", "the", "of the of the", "?!"]
+    rows = {r.doc_id: r for r in quality_rules.with_quality(frame(spark, list(enumerate(texts))), REFS, prefix="q_").collect()}
+    for i, t in enumerate(texts):
+        words = [w for w in re.split(r'[\x20\x09-\x0D.,;:!?"()]+', t.lower()) if w]
+        counts = [sum(map(str.islower, t)), sum(map(str.isupper, t)), sum(map(str.isdigit, t)), sum(c in " \t\n" for c in t), sum(c in quality_rules.SYMBOLS for c in t)]
+        classes = [c / len(t) for c in [*counts, len(t) - sum(counts)]]
+        for k, lang in enumerate(REFS.languages):
+            assert rows[i].q_class_distances[lang] == pytest.approx(plain_distance(classes, REFS.classes[k]))
+            if words:
+                own = [words.count(v) / len(words) for v in REFS.vocabulary]
+                assert rows[i].q_word_distances[lang] == pytest.approx(plain_distance([*own, 1 - sum(own)], [*REFS.words[k], 1 - sum(REFS.words[k])]), abs=1e-7)
+        assert rows[i].q_class_distance == min(rows[i].q_class_distances.values())
+        assert rows[i].q_word_distances is not None if words else rows[i].q_word_distance is None
+    assert quality_rules.without_common_words(0.4) == pytest.approx(plain_distance([0, 1], [0.4, 0.6]))
+
+
+def test_references_are_those_of_good_documents(spark):
+    rows = [(1, "The cat, the DOG", "en"), (1, "the", "en"), (2, "le chat", "fr"), (3, "the junk junk junk", "en"), (4, "no label", "en"), (5, None, "fr"), (6, "none", None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, word string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, 0), (5, 1), (6, 1), (None, 1)], "doc_id long, quality int")
+    refs = quality_rules.references(docs, labels)
+    assert refs.languages == ("en", "fr") and refs.vocabulary == ("cat", "chat", "dog", "le", "the")
+    assert refs.words == ((0.2, 0.0, 0.2, 0.0, 0.6), (0.0, 0.5, 0.0, 0.5, 0.0))
+    assert refs.classes[1] == pytest.approx((6 / 7, 0, 0, 1 / 7, 0, 0)) and [sum(c) for c in refs.classes] == pytest.approx([1, 1])
+    assert quality_rules.references(docs, labels.limit(0)) == quality_rules.references(docs.limit(0), labels) == quality_rules.References()
+
+
 def test_clean_documents_stay(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    good = quality_rules.with_quality(docs).join(labels.where("quality = 1"), "doc_id").where("not base_failed")
+    refs = quality_rules.references(docs, labels)
+    good = quality_rules.with_quality(docs, refs).join(labels.where("quality = 1"), "doc_id").where("not base_failed")
     assert good.where("not kept").count() <= 0.01 * good.count()
 
 
-def drawn(lang, n, rng):
-    """``n`` words by the shares of a language's common words, all others made up; only made-up ones without a language."""
-    shares = quality_rules.WORD_SHARES.get(lang, {})
+def drawn(shares, n, rng):
+    """``n`` words by the shares of common words, all others made up."""
     common = rng.choice([*shares, ""], n, p=[*shares.values(), 1 - sum(shares.values())])
     return " ".join(w or "".join(rng.choice(list("bcfghkmprt"), 6)) for w in common)
 
@@ -69,12 +112,12 @@ def drawn(lang, n, rng):
 @pytest.mark.parametrize("n", [60, 300, 5000])
 def test_long_texts_without_common_words_fail(spark, n):
     rng = np.random.default_rng(n)
-    made = [drawn(None, n, rng) for _ in range(4)]
-    clean = [drawn(lang, n, rng) for lang in quality_rules.WORD_SHARES for _ in range(5)]
-    short = [drawn(None, 59, rng)]
-    got = quality_rules.with_quality(frame(spark, list(enumerate(made + clean + short))), prefix="q_").collect()
+    made = [drawn({}, n, rng) for _ in range(4)]
+    clean = [drawn({w: s for w, s in zip(REFS.vocabulary, own, strict=True) if s}, n, rng) for own in REFS.words for _ in range(5)]
+    short = [drawn({}, 59, rng)]
+    got = quality_rules.with_quality(frame(spark, list(enumerate(made + clean + short))), REFS, prefix="q_").collect()
     assert not any(r.q_base_failed for r in got)
-    assert [r.q_kept for r in sorted(got, key=lambda r: r.doc_id)] == [False] * 4 + [True] * 21
+    assert [r.q_kept for r in sorted(got, key=lambda r: r.doc_id)] == [False] * 4 + [True] * 11
 
 
 def test_simhash(spark, odd, none):
@@ -217,6 +260,9 @@ def test_chat_edges(spark):
     assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars) == (3, want, 0)
     assert got[None].loss_chars == 6 and got[2].loss_chars == 2 * len(LONG) and got[3].loss_sha256 == hashlib.sha256(b"\\").hexdigest()
     assert chat.read_back(chat.format_conversations(turns.limit(0))).count() == 0
+    marks = chat.Marks("<s><<SYS>>", "<s>", "[INST]", "</s>")
+    other = {r.conv_id: r for r in chat.read_back(chat.format_conversations(turns, marks.template()), marks=marks).collect()}
+    assert all((other[i].turns_sha256, other[i].loss_sha256) == (got[i].turns_sha256, got[i].loss_sha256) for i in got) and set(other) == set(got)
     prompted = [r.text for r in chat.format_conversations(turns.where("conv_id = 3"), add_generation_prompt=True).collect()]
     assert prompted[-1] == "[INST] assistant [/INST] "
 
@@ -232,11 +278,13 @@ def test_embeddings(spark):
 
 def test_traversal_is_nearest_first():
     rng = np.random.default_rng(1)
-    x, books = rng.standard_normal((20, 6)), (rng.standard_normal((7, 3)), rng.standard_normal((7, 3)))
-    sums = embedding_dedup._squares(x[:, :3], books[0])[:, :, None] + embedding_dedup._squares(x[:, 3:], books[1])[:, None, :]
-    want = np.argsort(sums.reshape(20, -1), axis=1)
-    for n in (1, 2, 8, 49):
-        assert (embedding_dedup.visited_cells(x, books, n) == want[:, :n]).all()
+    x, books = rng.standard_normal((600, 6)), (rng.standard_normal((7, 3)), rng.standard_normal((7, 3)))
+    sums = (embedding_dedup._squares(x[:, :3], books[0])[:, :, None] + embedding_dedup._squares(x[:, 3:], books[1])[:, None, :]).reshape(600, -1)
+    for reach in (0.0, 0.5, 3.0, np.inf):
+        row, cell = embedding_dedup.Index(books, reach).visited(x)
+        for i in range(600):
+            own = np.argsort(sums[i])
+            assert cell[row == i].tolist() == own[sums[i][own] - sums[i].min() <= reach + (1e-12 if reach else 0)].tolist()
 
 
 def test_urls(spark):
@@ -244,8 +292,8 @@ def test_urls(spark):
     pages = spark.createDataFrame([(*r, "b", "h") for r in rows], "page_id long, url string, block string, host string")
     listed = url_filter.listed_urls(spark.createDataFrame([("http://bad.com/p",), (None,), ("nothing",)], "url string"))
     rules = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-    for blocks in (1, 1 << 16):
-        got = sorted((r.page_id or 0, r.host, r.rule, r.verdict) for r in url_filter.judge_urls(pages, listed, rules, max_blocks=blocks).collect())
+    for blocks, most in ((1, 1), (None, 1 << 16), (64, 8)):
+        got = sorted((r.page_id or 0, r.host, r.rule, r.verdict) for r in url_filter.judge_urls(pages, listed, rules, max_blocks=most, blocks=blocks).collect())
         assert got == [(0, "a.net", "net/", "block"), (1, "", None, "allow"), (2, "", None, "allow"), (3, "", None, "allow"), (4, "a.example.net", "example.net/en/", "allow"), (5, "example.com", "example.com/de/", "block"), (6, "x.org", "org/fr/", "allow"), (7, "net", None, "allow"), (8, "bad.com", None, "block"), (8, "bad.com", None, "block"), (9, "www.bad.com", None, "block"), (10, "bad.com", None, "allow")]
     assert url_filter.judge_urls(pages.limit(0), listed, rules).count() == 0
     assert url_filter.judge_urls(pages, listed.limit(0), rules).where("listed").count() == 0
@@ -255,7 +303,15 @@ def test_full_filter_stays_exact(spark):
     """A filter of one block lets nearly all through; the exact join still decides."""
     pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.com/"), "id").alias("url"))
     listed = url_filter.listed_urls(pages.where("page_id < 500"))
-    assert url_filter.judge_urls(pages, listed, (), max_blocks=1).where("verdict = 'block'").count() == 500
+    for blocks, most in ((1, 1), (None, 1 << 16), (None, 4)):
+        assert url_filter.judge_urls(pages, listed, (), max_blocks=most, blocks=blocks).where("verdict = 'block'").count() == 500
+
+
+def test_the_list_is_used(spark):
+    from keyloom.llm.queries import op4_url_filter
+
+    got = op4_url_filter(spark, "/root/testdata/sf0.1")
+    assert got.where("rule is null and verdict = 'block'").count() > 0
 
 
 def test_warc_parts():
@@ -281,6 +337,85 @@ def test_warc_round_trip(spark):
     html = {r[0]: (r[2] or "").encode() for r in rows}
     assert all(r.payload_digest == hashlib.sha256(html[r.page_id]).hexdigest() and r.payload_bytes == len(html[r.page_id]) for r in got)
     assert [(r.page_id, r.refers_to) for r in got if r.record_type == "revisit"] == [(4, 3), (8, 3)] and len(got) == len(rows)
-    whole = {r.key: bytes(r.payload) for r in warc.read_warc(spark, path).collect() if r.payload is not None}
-    assert whole["7"] == html[7] and whole["2"] == b""
+    whole = {r.key: bytes(r.payload) for r in warc.read_warc(spark, path).collect()}
+    assert whole == {None if k is None else str(k): v for k, v in html.items()}  # revisits have the payload of what they name
     assert warc.archived(pages.limit(0)).count() == 0
+
+
+def one_record(spark, name, rows):
+    """An archive of records as they stand, in a plain file."""
+    folder = tempfile.mkdtemp(prefix="spark-warc-")
+    with open(f"{folder}/{name}", "wb") as f:
+        f.write(b"".join(r + warc.END for r in rows))
+    return folder
+
+
+def test_warc_revisits_are_resolved(spark):
+    body = b"x" * 300
+    digest = hashlib.sha256(body).hexdigest()
+    response = list(warc.records("a", "1", "http://u", body, digest, None))
+    revisit = list(warc.records("b", "2", "http://v", body, digest, "a", "http://u"))
+    lost = list(warc.records("c", "3", "http://w", body, digest, "nowhere"))
+    other = list(warc.records("d", "4", "http://w", body, "0" * 64, "a"))
+    got = warc.read_warc(spark, one_record(spark, "x.warc", revisit + response)).collect()
+    assert sorted((r.key, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to_key, bytes(r.payload)) for r in got) == [("1", 300, digest, "response", None, body), ("2", 300, digest, "revisit", "1", body)]
+    for bad, says in ((lost, "absent record"), (other, "digest")):
+        with pytest.raises(Exception, match=says):
+            warc.read_warc(spark, one_record(spark, "x.warc", response + bad)).collect()
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_large_archives_are_read_in_pieces(spark, packed):
+    """One file far larger than a split: plain ones are read by many tasks and put in order."""
+    import gzip
+
+    rng = np.random.default_rng(8)
+    bodies = [bytes(rng.integers(0, 256, int(n), dtype=np.uint8)) + warc.END * 2 + b"WARC/1.1\r\n" for n in rng.integers(0, 90_000, 150)]
+    rows = [r for i, b in enumerate(bodies) for r in warc.records(f"id{i}", str(i), None, b, hashlib.sha256(b).hexdigest(), None)]
+    folder = one_record(spark, "big.warc", rows)
+    if packed:
+        folder2 = tempfile.mkdtemp(prefix="spark-warc-")
+        with open(f"{folder2}/big.warc.gz", "wb") as f:
+            f.write(b"".join(gzip.compress(r + warc.END) for r in rows))  # a member for each record
+        folder = folder2
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 200_000)
+    try:
+        got = {r.key: bytes(r.payload) for r in warc.read_warc(spark, folder).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {str(i): b for i, b in enumerate(bodies)}
+
+
+def test_archives_are_the_same_each_time(spark):
+    pages = spark.createDataFrame([(i, f"http://u/{i}", "y" * 200 if i % 3 else f"z{i}" * 60) for i in range(20)], "page_id long, url string, html string")
+    ids = []
+    for _ in range(2):
+        path = tempfile.mkdtemp(prefix="spark-warc-") + "/archive"
+        warc.write_warc(pages, path)
+        ids.append(sorted((r.record_id, r.refers_to_id or "") for r in warc.read_warc(spark, path).collect()))
+    assert ids[0] == ids[1] and len({r for r, _ in ids[0]}) == 20
+
+
+def test_pipeline_stages_take_odd_rows(spark, odd, none):
+    """Every stage on nulls, empty and very long texts, repeated rows and clashing columns, and on an empty table."""
+    import corpus_pipeline as c
+
+    sf = "/root/testdata/sf0.001"
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns, name
+        assert {(r.doc_id, r.text) for r in out.collect()} <= {(r.doc_id, r.text) for r in odd.collect()}, name
+        assert stage(spark, none, sf).count() == 0, name
+    packed = c.pack(spark, odd, sf).collect()
+    assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed) and c.pack(spark, none, sf).count() == 0
+
+
+def test_intermediate_tables_are_removed(spark, tmp_path):
+    from keyloom.llm import common
+
+    with common.removing(spark):
+        df, path = common.written_at(spark.range(3), "x")
+        assert df.count() == 3
+    with pytest.raises(Exception, match="exist"):
+        spark.read.parquet(path).count()
