@@ -16,9 +16,9 @@ from .common import spread, table, written
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and divergence verdict of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     refs = quality_rules.references(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.with_quality(spread(docs.drop("lang")), refs).select(
+    return quality_rules.with_quality(docs.drop("lang"), refs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
