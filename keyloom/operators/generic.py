@@ -165,6 +165,20 @@ def object_info(requests: DataFrame, keys: DataFrame) -> DataFrame:
     return requests.join(held, "key", "left")
 
 
+def memory_usage(now_ms: int, **tables: DataFrame) -> DataFrame:
+    """(type, keys, bytes) of the live keys of state tables by type: 48 bytes a key, the bytes of its texts, 8 a number."""
+    out = None
+    for kind, df in tables.items():
+        rows = live(df, now_ms) if "deadline_ms" in df.columns else df
+        parts = [f.name for f in rows.schema.fields if f.name not in ("key", "deadline_ms")]
+        sizes = [F.octet_length(c) if rows.schema[c].dataType.simpleString() == "string" else F.lit(8) for c in parts]
+        by_key = rows.groupBy("key").agg(F.sum(sum((F.coalesce(x, F.lit(0)) for x in sizes), F.lit(0))).alias("n"))
+        one = by_key.agg(F.count("*").alias("keys"), F.coalesce(F.sum(F.col("n") + F.octet_length("key") + 48), F.lit(0)).cast("bigint").alias("bytes"))
+        one = one.select(F.lit(kind).alias("type"), "keys", "bytes")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def active_expire(state: DataFrame, now_ms: int, budget: int | None = None) -> DataFrame:
     """Keys whose deadline has passed; at most ``budget`` of them, the earliest first."""
     dead = state.where(F.col("deadline_ms") <= now_ms).select("key", "deadline_ms")

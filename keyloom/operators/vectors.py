@@ -61,6 +61,14 @@ def unit(a: Column) -> Column:
     return F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double"))))[0]
 
 
+def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
+    """1 minus the product of two unit vectors, or the square of the Euclidean distance."""
+    fold = lambda x, y, term: F.aggregate(F.zip_with(x, y, term), F.lit(0.0), lambda t, v: t + v)
+    if metric == "cosine":
+        return F.lit(1.0) - fold(unit(a), unit(b), lambda x, y: x * y)
+    return fold(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)

@@ -328,6 +328,14 @@ def object_encoding(spark, d):
     return keyed.select("key", generic.encoding(F.col("type"), F.col("value")).alias("encoding"))
 
 
+_SIZES = {"string": ("live", "strlen(value)"), "hash": ("hashes", "strlen(field) + strlen(value)"), "list": ("lists", "8 + strlen(value)"), "set": ("sets", "strlen(member)"), "zset": ("zsets", "strlen(member) + 8")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS type, count(*)::BIGINT AS keys, sum(n + strlen(key) + 48)::BIGINT AS bytes FROM (SELECT key, sum({size}) AS n FROM {{{n}}} GROUP BY key)" for t, (n, size) in _SIZES.items()))
+def memory_usage(spark, d):
+    return generic.memory_usage(NOW_MS, string=state.strings(spark, d), hash=state.hashes(spark, d), list=state.lists(spark, d), set=state.sets(spark, d), zset=state.zsets(spark, d))
+
+
 @query(f"SELECT count(*)::BIGINT AS n FROM {_KEYS}")
 def dbsize(spark, d):
     return _keys(spark, d).agg(F.count("*").alias("n"))
@@ -803,6 +811,16 @@ def pfcount(spark, d):
     return sketches.count(_registers(spark, d))
 
 
+_LINES = _REGISTERS.replace("SELECT event_type AS key, ('0x' || substr(md5(user_id::VARCHAR), 1, 15))::BIGINT AS h FROM events", "SELECT 'lines' AS key, ('0x' || substr(md5(l_orderkey || ':' || l_linenumber), 1, 15))::BIGINT AS h FROM lineitem")
+
+
+@query(_COUNT.replace("{r}", _LINES))
+def pfcount_large(spark, d):
+    """Enough elements for the raw estimate, from 41,000 on (scale factor 0.01)."""
+    element = F.concat_ws(":", "l_orderkey", "l_linenumber")
+    return sketches.count(sketches.add(table(spark, d, "lineitem").select(F.lit("lines").alias("key"), element.alias("element"))))
+
+
 @query(f"SELECT 'all' AS key, idx, max(reg)::INTEGER AS reg FROM {_REGISTERS} GROUP BY idx")
 def pfmerge(spark, d):
     return sketches.merge(_registers(spark, d), "all")
@@ -863,6 +881,18 @@ def vsim_indexed(spark, d):
     return vectors.search_indexed(state.vectors(spark, d), _questions(spark, d), 10)
 
 
+@query("SELECT label, list_transform(vec, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(vec, lambda y: y::DOUBLE * y::DOUBLE))), 6)) AS vec FROM {vectors}")
+def vector_prepare(spark, d):
+    return state.vectors(spark, d).select("label", F.transform(vectors.unit(F.col("vec")), lambda x: F.round(x, 6)).alias("vec"))
+
+
+@query("SELECT a.label, round(1 - list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]), 6) AS cosine, round(list_distance(a.vec::DOUBLE[], b.vec::DOUBLE[]) ** 2, 6) AS l2 FROM {vectors} a JOIN {vectors} b ON b.label = a.label + 1")
+def vector_distance(spark, d):
+    v = state.vectors(spark, d)
+    pairs = v.join(v.select((F.col("label") - 1).alias("label"), F.col("vec").alias("other")), "label")
+    return pairs.select("label", *[F.round(vectors.distance(F.col("vec"), F.col("other"), m), 6).alias(m) for m in ("cosine", "l2")])
+
+
 @query("SELECT r.key, r.label, (v.label IS NOT NULL)::INTEGER AS reply FROM (SELECT key, label * 2 AS label FROM {vectors}) r LEFT JOIN {vectors} v USING (key, label)")
 def vrem_replies(spark, d):
     v = state.vectors(spark, d)
