@@ -57,7 +57,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of files a core below which a table may be a row group or two.
+SMALL = 2 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt to all cores where its files make fewer parts than there are cores; else as it is."""
+    """``df``, a table as it is read, dealt to all cores if it is so small that its files may not reach them; else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SMALL else df

@@ -30,6 +30,8 @@ CLASSES = ("lower", "upper", "digit", "space", "symbol", "other")
 COMMON = 40
 #: Languages with references, those with the most good documents.
 LANGUAGES = 64
+#: Ids of good documents that are broadcast at most, some 100 MB; with more of them documents are shuffled.
+BROADCAST_IDS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -179,7 +181,9 @@ def references(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     Null languages and texts without words give none; without good documents there are no references. The
     driver gets COMMON words a language and the counts of those words, at most LANGUAGES * LANGUAGES * COMMON numbers.
     """
-    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("__keyloom_id")).distinct()
+    good = written(labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("__keyloom_id")).distinct(), "good")
+    if good.count() <= BROADCAST_IDS:
+        good = F.broadcast(good)
     rows = docs.select(F.col(id_col).alias("__keyloom_id"), F.col(lang_col).cast("string").alias("lang"), _whole(F.col(text_col)).alias("text")).where("lang is not null and text != ''")
     rows = rows.join(good, "__keyloom_id", "left_semi")
     counts = written(rows.select("lang", F.explode(folded_words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
