@@ -85,7 +85,9 @@ def test_distances_are_jensen_shannon(spark):
     assert quality_rules.without_common_words(0.4) == pytest.approx(plain_distance([0, 1], [0.4, 0.6]))
 
 
-def test_references_are_those_of_good_documents(spark):
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_references_are_those_of_good_documents(spark, monkeypatch, most):
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", most)
     rows = [(1, "The cat, the DOG", "en"), (1, "the", "en"), (2, "le chat", "fr"), (3, "the junk junk junk", "en"), (4, "no label", "en"), (5, None, "fr"), (6, "none", None)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, word string")
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, 0), (5, 1), (6, 1), (None, 1)], "doc_id long, quality int")
