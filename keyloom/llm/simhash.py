@@ -7,7 +7,10 @@ together; every candidate pair is verified on its whole fingerprint before it be
 
 Copies collapse to one fingerprint before any signature is made. Inside one signature bucket a
 task emits a spanning forest of the verified links, never all pairs. A bucket above
-``BUCKET_LIMIT`` is not compared in one task: its fingerprints go to an exact linear way, where
+``BUCKET_LIMIT`` is not compared in one task: its fingerprints get finer signatures, each of the 64
+with one of five pieces of the other bits, of which one is the same in both of a linked pair. So buckets
+stay below the limit up to some 10^12 fingerprints. Where even a finer bucket is above it, fingerprints go
+to an exact linear way, where
 each emits every value within two flips; two fingerprints are within four bits of each other
 exactly if they share such a value.
 """
@@ -76,6 +79,27 @@ def signatures(fp: str = "fp"):
     return F.array(*out)
 
 
+#: Widths of the pieces that the 43 bits outside a segment are cut into.
+PIECES = (9, 9, 9, 8, 8)
+
+
+def finer_signatures(fp: str = "fp"):
+    """Every signature with each piece of the bits outside its segment, as a long array.
+
+    A linked pair that agrees in a signature differs in at most four of those bits, so one of five pieces is the same.
+    """
+    out = []
+    for (offset, width), own in zip(SEGMENTS, (range(0, 21), range(21, 42), range(42, 64)), strict=True):
+        below = F.col(fp).bitwiseAND(F.lit((1 << offset) - 1))
+        rest = below.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(fp), offset + width), offset)) if offset + width < BITS else below
+        at = 0
+        for number, bits in enumerate(PIECES):
+            piece = F.shiftrightunsigned(rest, at).bitwiseAND(F.lit((1 << bits) - 1))
+            at += bits
+            out += [F.shiftleft(F.get(F.col("__keyloom_signatures"), F.lit(k)).cast("long"), 12) + F.lit(number << 9) + piece for k in own]
+    return F.array(*out)
+
+
 def _forest(values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """A spanning forest of the links among ``values`` (uint64, distinct)."""
     out, rest = [], values
@@ -114,7 +138,7 @@ def bucket_links(limit: int = BUCKET_LIMIT):
     """For mapInArrow over rows (key, fp) sorted by key; holds one batch and one open bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f, spilled = np.zeros(0, np.int32), np.zeros(0, np.uint64), None
+        held_k, held_f, spilled = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
 
         def batch_of(pairs):
             a = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.uint64)
@@ -165,16 +189,18 @@ def _ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_links(fps: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """``fps(fp long)``, distinct, to links (a, b): a graph with the components of all pairs
     within MAX_DISTANCE bits, every link of it verified."""
-    keyed = fps.select(F.explode(signatures()).alias("key"), "fp")
-    found = written(
-        keyed.repartition("key").sortWithinPartitions("key").mapInArrow(bucket_links(bucket_limit), "a long, b long"),
-        "links",
-    )
-    marked = found.where("a = b").select(F.col("a").alias("fp")).distinct()
+    met = lambda keyed: written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(bucket_links(bucket_limit), "a long, b long"), "links")
+    marked = lambda found: found.where("a = b").select(F.col("a").alias("fp")).distinct()
+    found = met(fps.select(F.explode(signatures()).alias("key"), "fp"))
+    links, large = found.where("a != b"), marked(found)
+    if large.isEmpty():
+        return links
+    signed = large.withColumn("__keyloom_signatures", signatures())
+    finer = met(signed.select(F.explode(finer_signatures()).alias("key"), "fp"))
     # at most 2081 distinct fingerprints share a point, so this window's groups are bounded
-    ball = marked.mapInArrow(_ball, "fp long, point long")
+    ball = marked(finer).mapInArrow(_ball, "fp long, point long")
     hubs = ball.select(F.col("fp").alias("a"), F.min("fp").over(Window.partitionBy("point")).alias("b"))
-    return found.where("a != b").unionByName(hubs.where("a != b"))
+    return links.unionByName(finer.where("a != b")).unionByName(hubs.where("a != b"))
 
 
 def _rooted(docs: DataFrame, id_col: str, text_col: str, bucket_limit: int) -> tuple[DataFrame, DataFrame]:
