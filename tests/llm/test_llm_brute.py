@@ -78,6 +78,18 @@ def test_simhash_links_at_every_distance(spark, limit):
     assert groups(len(prints), lambda j: near[j]) == groups(len(prints), lambda j: np.flatnonzero(np.bitwise_count(u ^ u[j]) <= 4).tolist())
 
 
+def test_finer_signatures_bring_all_links_together(spark):
+    """Of two fingerprints within four bits, some finer signature is the same; equal ones agree in a signature and a piece."""
+    rng = np.random.default_rng(5)
+    base = [int(x) for x in rng.integers(-(2**63), 2**63, 200)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    pairs = [(b, signed((b & M64) ^ sum(1 << int(i) for i in rng.choice(64, k, replace=False)))) for b in base for k in (1, 2, 3, 4)]
+    df = spark.createDataFrame(pairs, "x long, y long")
+    of = lambda c: df.select(F.col(c).alias("fp")).withColumn("__keyloom_signatures", simhash.signatures()).select(simhash.finer_signatures().alias("s")).collect()
+    xs, ys = of("x"), of("y")
+    assert all(len(set(x.s)) == 64 * 5 and set(x.s) & set(y.s) for x, y in zip(xs, ys, strict=True))
+
+
 @pytest.mark.parametrize("limit", [2, 4096])
 def test_one_row_of_each_component_stays(spark, limit):
     """Repeated ids with other texts, copies under other ids, rows without an id: nothing unique goes, nothing twice stays."""
