@@ -64,5 +64,5 @@ SMALL = 2 << 20
 def spread(df: DataFrame) -> DataFrame:
     """``df``, a table as it is read, dealt to all cores if it is so small that its files may not reach them; else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SMALL else df
