@@ -39,7 +39,7 @@ def cardinality(state: DataFrame) -> DataFrame:
 
 
 def members(state: DataFrame) -> DataFrame:
-    """SMEMBERS of every set, in order."""
+    """SMEMBERS of every set, in order. A set is one value here, so it has to fit in memory; the rows of ``state`` are the same answer for those that don't."""
     return state.groupBy("key").agg(F.array_sort(F.collect_list("member")).alias("members"))
 
 

@@ -86,7 +86,7 @@ def get_set(log: DataFrame) -> DataFrame:
 
 
 def append(log: DataFrame) -> DataFrame:
-    """APPEND: the concatenation of each key's writes in order, and its bytes."""
+    """APPEND: the concatenation of each key's writes in order, and its bytes. A string is one value, so it has to fit in memory."""
     parts = F.array_sort(F.collect_list(F.struct("seq", "value")))
     joined = F.array_join(F.transform(parts, lambda p: p["value"]), "")
     return log.groupBy("key").agg(joined.alias("value")).withColumn("n_bytes", F.octet_length("value").cast("bigint"))

@@ -1001,12 +1001,12 @@ def command_table(spark, d):
 
 
 @query("""SELECT event_id AS seq, CASE WHEN event_type IN ('view', 'click') THEN NULL ELSE 'unknown command' END AS error,
-CASE WHEN event_type IN ('view', 'click') THEN 2 END::INTEGER AS n_keys FROM events""")
+CASE WHEN event_type IN ('view', 'click') THEN ['user:' || user_id, 'user:' || user_id || ':b'] END AS keys FROM events""")
 def command_check(spark, d):
     key = F.concat(F.lit("user:"), "user_id")
     name = F.when(F.col("event_type") == "view", "MGET").when(F.col("event_type") == "click", "Del").otherwise("nosuch")
     log = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.array(name, key, F.concat(key, F.lit(":b"))).alias("argv"))
-    return commands.checked(log, commands.table(spark)).select("seq", "error", F.size("keys").alias("n_keys")).withColumn("n_keys", F.when(F.col("error").isNull(), F.col("n_keys")))
+    return commands.checked(log, commands.table(spark)).select("seq", "error", "keys")
 
 
 # ---- recovery
