@@ -11,11 +11,12 @@ import public_tokenizers as P
 import pytest
 import sentencepiece
 import xxhash
+from compare import connect
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from keyloom.llm import embedding_dedup, mixing, packing, quality_classifier, simhash
-from keyloom.llm.queries import QUERIES
+from keyloom.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -258,12 +259,9 @@ def test_features_of_a_very_long_text():
     assert (quality_classifier.features(text) == quality_classifier.features(text, block=1 << 30)).all()
 
 
-def test_classifier_query_is_that_of_a_plain_version(spark):
-    """Training rows, ratios, fit and scores, without blocks, batches or hashing in numpy."""
-    sf = "/root/testdata/sf0.01"
-    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+def plain_scorer(spark, texts, labels):
+    """A function of texts: the classifier's score, of training rows, ratios and fit without blocks, batches or hashing in numpy."""
     ranked = labels.where("quality in (0, 1)").select("doc_id", "quality", F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)).alias("rank")).toPandas()
-    texts = docs.toPandas().set_index("doc_id").text
     chosen = [(r.doc_id, int(r.quality)) for r in ranked.sort_values("rank").itertuples() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in texts.index]
     rows, y = [plain_features(texts[i]) for i, _ in chosen], [q for _, q in chosen]
     counts = [defaultdict(lambda: 1.0), defaultdict(lambda: 1.0)]
@@ -281,9 +279,17 @@ def test_classifier_query_is_that_of_a_plain_version(spark):
     margin = lambda row: float(w[row] @ unit(row)) + bias if row else bias
     held = [k for k in range(len(rows)) if k % 5 == 4]
     slope, shift = quality_classifier._logistic(np.array([margin(rows[k]) for k in held]), np.array([y[k] for k in held]))
+    return lambda text: 1 / (1 + np.exp(-(slope * margin(plain_features(text)) + shift)))
+
+
+def test_classifier_query_is_that_of_a_plain_version(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    texts = docs.toPandas().set_index("doc_id").text
+    score = plain_scorer(spark, texts, labels)
     got = QUERIES["op7_quality_classifier"](spark, sf).toPandas().set_index("doc_id")
     some = texts.index[:60]
-    assert np.allclose([got.score[i] for i in some], [1 / (1 + np.exp(-(slope * margin(plain_features(texts[i])) + shift))) for i in some], atol=1e-4)
+    assert np.allclose([got.score[i] for i in some], [score(texts[i]) for i in some], atol=1e-4)
 
 
 def plain_packing(lengths, capacity):
@@ -405,21 +411,44 @@ def test_embedding_query(spark):
 
 
 def test_pipeline(spark):
+    """Every stage against a plain version of it, on its own input."""
     import corpus_pipeline as c
 
-    source = spark.read.parquet(f"{SF}/documents.parquet")
+    source, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     stages, seen = dict(c.STAGES), [source]
     for name, stage in c.STAGES[:-1]:
         out = stage(spark, seen[-1], SF)
         assert out.columns == source.columns, name
-        seen.append(out)
-    ids = [set(r[0] for r in df.select("doc_id").collect()) for df in seen]
+        seen.append(out.cache())
+    rows = [{r.doc_id: r for r in df.collect()} for df in seen]
+    ids = [set(r) for r in rows]
     assert all(b <= a for a, b in zip(ids, ids[1:], strict=False))
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in seen[2].collect()}
+    # the classifier
+    texts = source.toPandas().set_index("doc_id").text
+    score = plain_scorer(spark, texts, labels)
+    scores = {i: score(texts[i]) for i in ids[0]}
+    assert all((i in ids[1]) == (x >= 0.3) for i, x in scores.items() if abs(x - 0.3) > 1e-3)
+    # the rules, by their SQL over what the classifier kept
+    con = connect(SF)
+    con.register("kept_documents", seen[1].toPandas())
+    con.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM kept_documents")
+    assert ids[2] == {r[0] for r in con.execute(f"SELECT doc_id FROM ({ORACLE_SQL['op1_quality_rules']}) WHERE kept").fetchall()}
+    # near-dedup
+    prints = {r.doc_id: plain_fingerprint(r.text) for r in rows[2].values()}
     order = sorted(prints)
     u = np.array([prints[i] for i in order], dtype=np.uint64)
     low = groups(len(order), lambda j: np.flatnonzero(np.bitwise_count(u ^ u[j]) <= 4).tolist())
     assert ids[3] == {order[x] for x in low}
+    # the mixture: tokens and cells, raked, and the draw
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    cells = defaultdict(int)
+    cell = {i: (r.source, r.lang, plain_form(r.text or "")) for i, r in rows[3].items()}
+    for i, r in rows[3].items():
+        cells[cell[i]] += len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)
+    names = sorted(cells)
+    chances = dict(zip(names, mixing.rake([(*n, float(cells[n])) for n in names], ("source", "lang", "topic"), mixing.PRODUCTION)[1], strict=True))
+    draw = lambda r: int(hashlib.md5(f"mix\x01{r.doc_id}\x01{hashlib.md5((r.text or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / (1 << 52)
+    assert ids[4] == {i for i, r in rows[3].items() if draw(r) < chances[cell[i]]}
     packed = c.run(spark, SF).toPandas()
-    check_packing(packed, {r.doc_id: r.text for r in seen[4].collect()})
+    check_packing(packed, {r.doc_id: r.text for r in rows[4].values()})
     assert list(stages)[-1] == "best-fit packing"
