@@ -1112,3 +1112,9 @@ def stream_counters(spark, d):
 @query("SELECT to_timestamp((epoch_us(ts) // 86400000000) * 86400)::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n_ops FROM events GROUP BY ALL")
 def stream_rates(spark, d):
     return jobs.settled(jobs.windowed_rates(_stream(spark, d)), ["start", "event_type"], scratch(spark, "rates")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT user_id, count(*)::BIGINT AS n_ops, false AS expired FROM events GROUP BY user_id")
+def stream_expiring(spark, d):
+    """Counters with a deadline in event time that none of them reaches."""
+    return jobs.settled(jobs.expiring_counters(_stream(spark, d), "36500 days"), ["user_id"], scratch(spark, "expiring"))
