@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.keys import live, parse_double, parse_int, shard_of
 from keyloom.operators import commands, generic, hashes, lists, metrics, sets, sketches, strings, vectors, zsets
-from keyloom.plans import fold
+from keyloom.plans import fold, replay
 from keyloom.sources import oplog, state
 from keyloom.sources.scratch import scratch
 from keyloom.sources.state import NOW_MS, table
@@ -1073,6 +1073,45 @@ def replay_from_files(spark, d):
     return fold.snapshot_and_log(oplog.read_snapshot(spark, f"{folder}/snapshot"), fold.commands_to_log(oplog.read_log(spark, f"{folder}/log")))
 
 
+#: A log of commands on all types: what each event does, by its number.
+_DONE = """(SELECT seq, substr(key, 6) AS u, kind, props, value, CASE WHEN seq % 31 = 0 THEN 'del' WHEN seq % 13 = 0 THEN 'hdel' WHEN seq % 17 = 0 THEN 'srem' WHEN seq % 19 = 0 THEN 'zrem' WHEN seq % 7 = 0 THEN 'set'
+ WHEN seq % 5 = 0 THEN 'hset' WHEN seq % 5 = 1 THEN 'sadd' WHEN seq % 5 = 2 THEN 'zadd' WHEN seq % 5 = 3 THEN 'zincrby' ELSE 'incrby' END AS op FROM {log})"""
+
+
+def _done(spark, d):
+    seq, u, kind = F.col("seq"), F.substring("key", 6, 20), F.col("kind")
+    words = lambda name, *more: F.array(F.lit(name), *[(F.lit(m) if isinstance(m, str) else m).cast("string") for m in more])
+    key = lambda t: F.concat(F.lit(f"{t}:"), u)
+    argv = (F.when(seq % 31 == 0, words("DEL", key("h"), key("z"), key("c"))).when(seq % 13 == 0, words("HDEL", key("h"), kind, "n")).when(seq % 17 == 0, words("SREM", key("s"), kind)).when(seq % 19 == 0, words("ZREM", key("z"), kind))
+            .when(seq % 7 == 0, words("SET", key("c"), seq % 23)).when(seq % 5 == 0, words("HSET", key("h"), kind, F.col("props"), "n", seq)).when(seq % 5 == 1, words("SADD", key("s"), kind, "all"))
+            .when(seq % 5 == 2, words("ZADD", key("z"), F.col("value"), kind)).when(seq % 5 == 3, words("ZINCRBY", key("z"), "1.5", kind)).otherwise(words("INCRBY", key("c"), seq % 23)))
+    return state.events(spark, d).select("seq", argv.alias("argv"))
+
+
+@query(f"""WITH ops AS (SELECT * FROM {_DONE}), cut AS (SELECT u, max(seq) AS cut FROM ops WHERE op = 'del' GROUP BY u),
+live AS (SELECT ops.* FROM ops LEFT JOIN cut USING (u) WHERE cut IS NULL OR seq > cut),
+fields AS (SELECT u, kind AS item, seq, op, props AS v FROM live WHERE op IN ('hset', 'hdel') UNION ALL SELECT u, 'n', seq, op, seq::VARCHAR FROM live WHERE op IN ('hset', 'hdel')),
+members AS (SELECT u, kind AS item, seq, op FROM ops WHERE op IN ('sadd', 'srem') UNION ALL SELECT u, 'all', seq, op FROM ops WHERE op = 'sadd'),
+scores AS (SELECT *, kind AS item FROM live WHERE op IN ('zadd', 'zincrby', 'zrem')),
+zends AS (SELECT u, item, max(seq) FILTER (op = 'zrem') AS gone, max(seq) FILTER (op = 'zadd') AS put, arg_max(value, seq) FILTER (op = 'zadd') AS base, max(seq) AS last FROM scores GROUP BY ALL),
+sets AS (SELECT u, max(seq) FILTER (op = 'set') AS put, arg_max(seq % 23, seq) FILTER (op = 'set') AS base FROM live WHERE op IN ('set', 'incrby') GROUP BY u)
+SELECT 'hash' AS type, 'h:' || u AS key, item, arg_max(v, seq) AS text, NULL::DOUBLE AS score FROM fields GROUP BY u, item HAVING arg_max(op, seq) = 'hset'
+UNION ALL SELECT 'set', 's:' || u, item, NULL, NULL FROM members GROUP BY u, item HAVING arg_max(op, seq) = 'sadd'
+UNION ALL SELECT 'zset', 'z:' || e.u, e.item, NULL, round(coalesce(CASE WHEN gone IS NULL OR put > gone THEN base END, 0)
+  + 1.5 * (SELECT count(*) FROM scores s WHERE s.u = e.u AND s.item = e.item AND s.op = 'zincrby' AND s.seq > greatest(coalesce(gone, -1), coalesce(put, -1))), 4) FROM zends e WHERE gone IS NULL OR last > gone
+UNION ALL SELECT 'string', 'c:' || s.u, '', (coalesce(base, 0) + (SELECT coalesce(sum(seq % 23), 0) FROM live l WHERE l.u = s.u AND l.op = 'incrby' AND l.seq > coalesce(s.put, -1)))::BIGINT::VARCHAR, NULL FROM sets s""")
+def replay_all(spark, d):
+    """State of all types from framed files of mixed commands."""
+    folder = scratch(spark, "commands")
+    oplog.write_log(_done(spark, d), folder)
+    tables = replay.replay(oplog.read_log(spark, folder), scratch(spark, "operations"))
+    none, no_score = F.lit(None).cast("string"), F.lit(None).cast("double")
+    return (tables["hashes"].select(F.lit("hash").alias("type"), "key", F.col("field").alias("item"), F.col("value").alias("text"), no_score.alias("score"))
+            .unionByName(tables["sets"].select(F.lit("set").alias("type"), "key", F.col("member").alias("item"), none.alias("text"), no_score.alias("score")))
+            .unionByName(tables["zsets"].select(F.lit("zset").alias("type"), "key", F.col("member").alias("item"), none.alias("text"), F.round("score", 4).alias("score")))
+            .unionByName(tables["strings"].select(F.lit("string").alias("type"), "key", F.lit("").alias("item"), F.col("value").alias("text"), no_score.alias("score"))))
+
+
 @query("SELECT event_id AS seq, 'SET' AS name, 'user:' || user_id AS key, props || chr(13) || chr(10) || event_type AS value FROM events")
 def log_round_trip(spark, d):
     """Every event as a command whose value holds line ends, written to framed files and read back."""
