@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import ordered
 from keyloom.functions.keys import glob, glob_regex, live, parse_double, parse_int
 from keyloom.operators import commands, generic, hashes, lists, metrics, sets, sketches, strings, vectors, zsets
-from keyloom.plans import fold
+from keyloom.plans import fold, replay
 from keyloom.sources import oplog
 from keyloom.streaming import jobs
 
@@ -180,6 +180,19 @@ def test_commands_to_log(spark):
     assert got == [(1, "set", "a", 5), (2, "incrby", "a", 1), (3, "incrby", "a", -3), (4, "incrby", "a", 4), (6, "del", "c", None), (6, "del", "d", None), (7, "flush", None, None)]
 
 
+def test_replay_of_all_types(spark):
+    log = [["SET", "a", "5"], ["INCR", "a"], ["DECRBY", "a", "2"], ["MSET", "b", "x", "c", "1"], ["del", "c"], ["INCRBY", "c", "7"], ["HSET", "h", "f", "1", "g", "2"], ["HINCRBY", "h", "f", "4"], ["HDEL", "h", "g"],
+           ["SADD", "s", "m", "n", "m"], ["SREM", "s", "n", "o"], ["ZADD", "z", "1", "p", "2", "q"], ["ZINCRBY", "z", "0.5", "p"], ["ZREM", "z", "q"], ["ZINCRBY", "z", "3", "q"], ["RPUSH", "l", "1", "2", "3"], ["LPUSH", "l", "0", "-1"],
+           ["RPOP", "l"], ["LPOP", "l", "2"], ["PFADD", "p", "e1", "e2"], ["SETEX", "d", "9", "v"], ["GET", "a"], ["HSET", "h"], ["LPOP", "none", "3"]]
+    df = spark.createDataFrame(list(enumerate(log)), "seq long, argv array<string>")
+    got = {name: rows(t) for name, t in replay.replay(df.repartition(3), tempfile.mkdtemp(prefix="spark-ops-") + "/ops").items() if name != "sketches"}
+    assert got == {"strings": [("a", "4"), ("b", "x"), ("c", "7"), ("d", "v")], "hashes": [("h", "f", "5")], "sets": [("s", "m")],
+                   "zsets": [("z", "p", 1.5), ("z", "q", 3.0)], "lists": [("l", 0, "1"), ("l", 1, "2")]}
+    assert replay.replay(df)["sketches"].count() == 2
+    flushed = spark.createDataFrame([*enumerate(log), (99, ["FLUSHALL"]), (100, ["SET", "a", "1"])], df.schema)
+    assert {name: t.count() for name, t in replay.replay(flushed).items()} == {"strings": 1, "hashes": 0, "sets": 0, "zsets": 0, "lists": 0, "sketches": 0}
+
+
 def test_del_and_flush_after_a_snapshot(spark):
     log = spark.createDataFrame([(1, "a", "set", 5), (2, "b", "incrby", 2), (3, "c", "set", 1), (4, "a", "incrby", 1), (5, "b", "del", None), (6, "b", "incrby", 7)], "seq long, key string, op string, arg long")
     held = fold.fold_log(log.where("seq <= 3"))
