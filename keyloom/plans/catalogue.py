@@ -838,10 +838,11 @@ def vcard(spark, d):
     return vectors.cardinality(state.vectors(spark, d))
 
 
-@query("SELECT key, label % 100 AS label, arg_max(vec, label) AS vec FROM {vectors} GROUP BY ALL")
+@query("SELECT key, label, pos, vec[pos + 1]::DOUBLE AS value FROM (SELECT key, label % 100 AS label, arg_max(vec, label) AS vec FROM {vectors} GROUP BY ALL), (SELECT unnest(range(64))::INTEGER AS pos) WHERE pos < len(vec)")
 def vadd_latest(spark, d):
     v = state.vectors(spark, d)
-    return vectors.add_last(v.select("key", F.col("label").alias("seq"), (F.col("label") % 100).alias("label"), "vec"))
+    last = vectors.add_last(v.select("key", F.col("label").alias("seq"), (F.col("label") % 100).alias("label"), "vec"))
+    return last.select("key", "label", F.posexplode("vec").alias("pos", "value")).withColumn("value", F.col("value").cast("double"))
 
 
 @query("SELECT key, label, CASE WHEN label % 7 = 0 AND arg_min(label, label) OVER (PARTITION BY key) % 7 <> 0 THEN 'vector dimension mismatch' WHEN label % 7 <> 0 AND arg_min(label, label) OVER (PARTITION BY key) % 7 = 0 THEN 'vector dimension mismatch' END AS error FROM {vectors}")
@@ -881,9 +882,9 @@ def vsim_indexed(spark, d):
     return vectors.search_indexed(state.vectors(spark, d), _questions(spark, d), 10)
 
 
-@query("SELECT label, list_transform(vec, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(vec, lambda y: y::DOUBLE * y::DOUBLE))), 6)) AS vec FROM {vectors}")
+@query("SELECT label, pos, round(vec[pos + 1]::DOUBLE / sqrt(list_sum(list_transform(vec, lambda y: y::DOUBLE * y::DOUBLE))), 6) AS value FROM {vectors}, (SELECT unnest(range(64))::INTEGER AS pos) WHERE pos < len(vec)")
 def vector_prepare(spark, d):
-    return state.vectors(spark, d).select("label", F.transform(vectors.unit(F.col("vec")), lambda x: F.round(x, 6)).alias("vec"))
+    return state.vectors(spark, d).select("label", F.posexplode(vectors.unit(F.col("vec"))).alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
 @query("SELECT a.label, round(1 - list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]), 6) AS cosine, round(list_distance(a.vec::DOUBLE[], b.vec::DOUBLE[]) ** 2, 6) AS l2 FROM {vectors} a JOIN {vectors} b ON b.label = a.label + 1")
@@ -1001,12 +1002,12 @@ def command_table(spark, d):
 
 
 @query("""SELECT event_id AS seq, CASE WHEN event_type IN ('view', 'click') THEN NULL ELSE 'unknown command' END AS error,
-CASE WHEN event_type IN ('view', 'click') THEN ['user:' || user_id, 'user:' || user_id || ':b'] END AS keys FROM events""")
+CASE WHEN event_type IN ('view', 'click') THEN 'user:' || user_id || ' user:' || user_id || ':b' END AS keys FROM events""")
 def command_check(spark, d):
     key = F.concat(F.lit("user:"), "user_id")
     name = F.when(F.col("event_type") == "view", "MGET").when(F.col("event_type") == "click", "Del").otherwise("nosuch")
     log = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.array(name, key, F.concat(key, F.lit(":b"))).alias("argv"))
-    return commands.checked(log, commands.table(spark)).select("seq", "error", "keys")
+    return commands.checked(log, commands.table(spark)).select("seq", "error", F.array_join("keys", " ").alias("keys"))
 
 
 # ---- recovery
