@@ -90,10 +90,8 @@ def js_distances(places: Column, shares: Column, references: tuple[tuple[float,
     """
 
     def distance(reference: Column) -> Column:
-        each = F.zip_with(places, shares, lambda k, p: F.struct(_halves(p, reference[k]).alias("d"), reference[k].alias("q")))
-        zero = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q"))
-        total = F.aggregate(each, zero, lambda a, x: F.struct((a["d"] + x["d"]).alias("d"), (a["q"] + x["q"]).alias("q")))
-        return let(total, lambda t: F.sqrt(F.greatest((t["d"] + F.lit(1.0) - t["q"]) / F.lit(2.0), F.lit(0.0))))
+        each = F.zip_with(places, shares, lambda k, p: _halves(p, reference[k]) - reference[k])
+        return F.sqrt(F.greatest((F.aggregate(each, F.lit(1.0), lambda a, x: a + x)) / F.lit(2.0), F.lit(0.0)))
 
     return F.transform(_table(references), distance)
 
@@ -101,7 +99,8 @@ def js_distances(places: Column, shares: Column, references: tuple[tuple[float,
 def class_distances(counts: Column, total: Column, references: tuple[tuple[float, ...], ...]) -> Column:
     """Distances of class counts, an array, from each reference; null if nothing is counted."""
     here = F.filter(F.sequence(F.lit(0), F.lit(len(CLASSES) - 1)), lambda k: counts[k] > 0)
-    found = let(here, lambda k: js_distances(k, F.transform(k, lambda i: counts[i].cast("double") / total), references))
+    shares = lambda k: F.struct(k.alias("k"), F.transform(k, lambda i: counts[i].cast("double") / total).alias("p"))
+    found = let(let(here, shares), lambda h: js_distances(h["k"], h["p"], references))
     return F.when(total > 0, found)
 
 
@@ -109,23 +108,24 @@ def word_distances(words: Column, vocabulary: tuple[str, ...], references: tuple
     """Distances of an array of words from each reference, of which all words outside the vocabulary are one class; null without words."""
     lexicon, rest = F.array(*[F.lit(v) for v in vocabulary]), len(vocabulary)
     n = F.size(words)
-    places = F.sort_array(F.transform(F.filter(words, lambda w: w.isin(*vocabulary)), lambda w: F.array_position(lexicon, w).cast("int") - 1))
+    none = F.array().cast("array<int>")
 
-    def of_places(s: Column) -> Column:
-        # where each run of equal places begins
-        starts = F.when(F.size(s) == 0, F.array().cast("array<int>")).otherwise(
+    def of_common(s: Column) -> Column:
+        # where each run of equal words begins
+        starts = F.when(F.size(s) == 0, none).otherwise(
             F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), lambda i: (i == 0) | (s[i] != s[F.greatest(i - 1, F.lit(0))])))
 
         def of_starts(b: Column) -> Column:
-            counts = F.transform(b, lambda i, j: F.coalesce(F.get(b, j + 1), F.size(s)) - i)
             others = n - F.size(s)
-            at = F.concat(F.transform(b, lambda i: s[i]), F.when(others > 0, F.array(F.lit(rest))).otherwise(F.array().cast("array<int>")))
-            shares = F.transform(F.concat(counts, F.when(others > 0, F.array(others)).otherwise(F.array().cast("array<int>"))), lambda c: c.cast("double") / n)
-            return js_distances(at, shares, tuple((*r, 1.0 - sum(r)) for r in references))
+            more = lambda x: F.when(others > 0, F.array(x)).otherwise(none)
+            at = F.concat(F.transform(b, lambda i: F.array_position(lexicon, s[i]).cast("int") - 1), more(F.lit(rest)))
+            counts = F.concat(F.transform(b, lambda i, j: F.coalesce(F.get(b, j + 1), F.size(s)) - i), more(others))
+            return let(F.struct(at.alias("k"), F.transform(counts, lambda c: c.cast("double") / n).alias("p")),
+                       lambda h: js_distances(h["k"], h["p"], tuple((*r, 1.0 - sum(r)) for r in references)))
 
         return let(starts, of_starts)
 
-    return F.when(n > 0, let(places, of_places))
+    return F.when(n > 0, let(F.sort_array(F.filter(words, lambda w: w.isin(*vocabulary))), of_common))
 
 
 def repeated_words(words: Column) -> Column:
