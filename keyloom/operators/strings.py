@@ -123,5 +123,5 @@ def running(log: DataFrame, delta: Column, name: str = "running") -> DataFrame:
 
 
 def increase_checked(log: DataFrame, delta: Column) -> DataFrame:
-    """As ``increase`` for whole numbers; null where 64 bits overflow."""
-    return log.groupBy("key").agg(F.try_sum(delta.cast("bigint")).alias("total"))
+    """As ``increase`` for whole numbers of up to 38 digits; null where the total overflows 64 bits, whatever the order of the sum."""
+    return log.groupBy("key").agg(F.try_sum(delta.cast("decimal(38,0)")).try_cast("bigint").alias("total"))

@@ -216,7 +216,7 @@ def incrbyfloat_total(spark, d):
 
 @query("SELECT key, CASE WHEN abs(sum(seq::HUGEINT * 100000000000000)) <= 9223372036854775807 THEN sum(seq::HUGEINT * 100000000000000)::BIGINT END AS total FROM {log} GROUP BY key")
 def incrby_overflow(spark, d):
-    return strings.increase_checked(state.events(spark, d), F.col("seq") * 100_000_000_000_000)
+    return strings.increase_checked(state.events(spark, d), F.col("seq").cast("decimal(19,0)") * F.lit(100_000_000_000_000))
 
 
 @query("""SELECT event_id, CASE WHEN regexp_matches(t, '^-?[0-9]+$') THEN try_cast(t AS BIGINT) END AS as_int

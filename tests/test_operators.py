@@ -4,8 +4,10 @@ import math
 import tempfile
 from collections import deque
 
+import duckdb
 import numpy as np
 import pytest
+from compare import assert_same
 from pyspark.sql import functions as F
 
 from keyloom.functions import ordered
@@ -414,3 +416,20 @@ def test_sessions(spark):
     batch.write.parquet(f"{folder}/in")
     found = jobs.drain(jobs.sessions(jobs.read_events(spark, f"{folder}/in", batch.schema)), "complete", "sessions", f"{folder}/c")
     assert rows(found.select("user_id", F.date_format("start", "HH:mm").alias("start"), "n_ops")) == [(1, "00:00", 3), (1, "03:00", 1), (2, "03:00", 1)]
+
+
+def test_checked_totals_of_amounts_beyond_64_bits(spark):
+    """Single amounts and sums on the way may be wider than the total."""
+    log = spark.createDataFrame([("a", 93_000), ("b", 9_000_000_000_000_000_000), ("b", 9_000_000_000_000_000_000), ("b", -9_000_000_000_000_000_000), ("c", None)], "key string, seq long")
+    assert rows(strings.increase_checked(log, F.col("seq")), "key", "total") == [("a", 93_000), ("b", 9_000_000_000_000_000_000), ("c", None)]
+    assert rows(strings.increase_checked(log, F.col("seq").cast("decimal(19,0)") * F.lit(100_000_000_000_000)), "key", "total") == [("a", None), ("b", None), ("c", None)]
+
+
+def test_checked_increments_of_high_numbers(spark, tmp_path):
+    """The query over event numbers whose amounts don't fit 64 bits one by one."""
+    from keyloom.plans.catalogue import ORACLE_SQL, QUERIES
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("event_id", F.col("event_id") * 100).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert_same(QUERIES["incrby_overflow"](spark, str(tmp_path)), con, ORACLE_SQL["incrby_overflow"])
