@@ -68,9 +68,10 @@ def parse_int(column: Column) -> Column:
 
 
 def parse_double(column: Column) -> Column:
-    """A number, or inf with a sign; null otherwise. Hexadecimal floats aren't supported."""
+    """A number, inf or nan, each with or without a sign; null otherwise. Hexadecimal floats aren't supported."""
     word = F.lower(column)
     return (F.when(word.isin("inf", "+inf", "infinity"), F.lit(float("inf"))).when(word.isin("-inf", "-infinity"), F.lit(float("-inf")))
+            .when(word.isin("nan", "+nan", "-nan"), F.lit(float("nan")))
             .when(column.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?" + END), column.try_cast("double")))
 
 

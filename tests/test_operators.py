@@ -433,3 +433,22 @@ def test_checked_increments_of_high_numbers(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert_same(QUERIES["incrby_overflow"](spark, str(tmp_path)), con, ORACLE_SQL["incrby_overflow"])
+
+
+def test_doubles_that_are_no_numbers(spark):
+    """nan is read as strtod does, so that a double's own text always gives it back."""
+    values = [math.nan, math.inf, -math.inf, -0.0, 5e-324, 1.7976931348623157e308, 2e23, 0.1, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(parse_double(F.col("v").cast("string"))).collect()]
+    assert list(map(repr, got)) == list(map(repr, values))
+    texts = spark.createDataFrame([("nan",), ("-NaN",), (" nan",), ("nano",), ("nan\n",)], "t string")
+    assert list(map(repr, [r[0] for r in texts.select(parse_double(F.col("t"))).collect()])) == ["nan", "nan", "None", "None", "None"]
+
+
+def test_parsed_doubles_of_a_table_with_nan(spark, tmp_path):
+    from keyloom.plans.catalogue import ORACLE_SQL, QUERIES
+
+    value = F.when(F.col("event_id") % 3 == 0, F.lit(math.nan)).otherwise(F.col("value"))
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("value", value).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert_same(QUERIES["parse_doubles"](spark, str(tmp_path)), con, ORACLE_SQL["parse_doubles"])
