@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.functions.files import ordered_pieces
+from keyloom.functions.files import ordered_pieces, small_files
 from keyloom.functions.keys import live
 
 MAX_WORDS = 1 << 20
@@ -22,6 +22,8 @@ _END = b"\r\n"
 _NUMBER = b"@seq"
 #: Commands in one batch.
 BATCH = 10_000
+#: Commands in one written file, at most.
+FILE_COMMANDS = 16_384
 
 
 class FramingError(ValueError):
@@ -90,50 +92,60 @@ def framed(argv: Column) -> Column:
 def write_log(log: DataFrame, path: str) -> None:
     """Write (seq, argv) as framed, numbered files; each file holds a range of seq, in order.
 
-    Words are strings or bytes and are kept as they are.
+    Words are strings or bytes and are kept as they are. Files hold at most ``FILE_COMMANDS`` commands, so that
+    ``read_log`` parses most of them where they are read.
     """
     number = F.encode(F.concat(F.lit(_NUMBER.decode() + " "), F.col("seq").cast("string")), "utf-8")
     lines = log.repartitionByRange("seq").sortWithinPartitions("seq").select(F.concat(number, F.lit(_END), framed(F.col("argv"))).cast("string").alias("value"))
-    lines.write.option("lineSep", _END.decode()).text(path)
+    lines.write.option("lineSep", _END.decode()).option("maxRecordsPerFile", FILE_COMMANDS).text(path)
 
 
-def _commands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def pieces() -> Iterator[tuple[str, bytes]]:
-        for batch in batches:
-            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-
-    def of_files() -> Iterator[tuple]:
-        from itertools import groupby
-
-        for name, own in groupby(pieces(), key=lambda p: p[0]):
-            line, number = 0, None
-            for argv in parse_lines(piece for _, piece in own):
-                if argv[0] == _NUMBER and len(argv) == 2:
-                    number = int(argv[1])
-                else:
-                    yield name, line, number, argv
-                    line, number = line + 1, None
+def _parsed(files: Iterable[tuple[str, Iterable[bytes]]]) -> Iterator[pa.RecordBatch]:
+    """Batches of (file, line, seq, argv) of files as their lines."""
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.binary()))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "line", "seq", "argv"])
 
     rows: list[tuple] = []
-    for row in of_files():
-        rows.append(row)
-        if len(rows) == BATCH:
-            yield made(rows)
-            rows = []
+    for name, lines in files:
+        line, number = 0, None
+        for argv in parse_lines(lines):
+            if argv[0] == _NUMBER and len(argv) == 2:
+                number = int(argv[1])
+                continue
+            rows.append((name, line, number, argv))
+            line, number = line + 1, None
+            if len(rows) == BATCH:
+                yield made(rows)
+                rows = []
     if rows:
         yield made(rows)
 
 
+def _of_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from itertools import groupby
+
+    pieces = (p for batch in batches for p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    return _parsed((name, (piece for _, piece in own)) for name, own in groupby(pieces, key=lambda p: p[0]))
+
+
+def _of_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lines(data: bytes) -> list[bytes]:
+        found = data.split(_END)
+        return found if found[-1] else found[:-1]
+
+    return _parsed((batch.column(0)[i].as_py(), lines(batch.column(1)[i].as_py())) for batch in batches for i in range(batch.num_rows))
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, seq, argv) of the framed files below ``path``; words are bytes, ``seq`` is null where a log isn't numbered.
 
-    Files are read in pieces by many tasks and parsed by one task each, command by command.
+    Small files are parsed where they are read, without a shuffle. Larger and compressed ones are read in pieces by
+    many tasks and parsed by one task each, command by command.
     """
-    return ordered_pieces(spark, path, _END.decode()).mapInArrow(_commands, "file string, line long, seq long, argv array<binary>")
+    schema = "file string, line long, seq long, argv array<binary>"
+    return small_files(spark, path).mapInArrow(_of_files, schema).unionByName(ordered_pieces(spark, path, _END.decode(), above=True).mapInArrow(_of_pieces, schema))
 
 
 def write_snapshot(state: DataFrame, path: str) -> None:

@@ -1,5 +1,6 @@
 """Goldens and edge cases of the keyed-value operators."""
 
+import gzip
 import math
 import tempfile
 from collections import deque
@@ -10,7 +11,7 @@ import pytest
 from compare import assert_same
 from pyspark.sql import functions as F
 
-from keyloom.functions import ordered
+from keyloom.functions import files, ordered
 from keyloom.functions.keys import glob, glob_regex, live, parse_double, parse_int
 from keyloom.operators import commands, generic, hashes, lists, metrics, sets, sketches, strings, vectors, zsets
 from keyloom.plans import fold, replay
@@ -452,3 +453,37 @@ def test_parsed_doubles_of_a_table_with_nan(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert_same(QUERIES["parse_doubles"](spark, str(tmp_path)), con, ORACLE_SQL["parse_doubles"])
+
+
+@pytest.mark.parametrize(("small", "split"), [(4 << 20, None), (0, 50_000), (300, 2_000)])
+def test_small_and_large_log_files_are_read_alike(spark, monkeypatch, small, split):
+    """Files parsed where they are read, files of many splits, compressed ones, and all of them in one log."""
+    monkeypatch.setattr(files, "SMALL", small)
+    path = tempfile.mkdtemp(prefix="spark-log-")
+    rng = np.random.default_rng(5)
+    made = {}
+    for name, n in (("a.txt", 3), ("b.txt", 200), ("c.gz", 40), ("d.txt", 0)):
+        values = [b"\r\n@seq 7\r\n*1\r\n$4\r\nPING" * int(k % 3) + bytes(rng.integers(0, 256, int(k), dtype=np.uint8)) for k in rng.integers(0, 900, n)]
+        data = b"".join(b"@seq %d\r\n*2\r\n$3\r\nSET\r\n$%d\r\n%s\r\n" % (10 * i, len(v), v) for i, v in enumerate(values)) + b"*2\r\n$3\r\nDEL\r\n"
+        with open(f"{path}/{name}", "wb") as f:
+            f.write(gzip.compress(data) if name.endswith("gz") else data)
+        made.update({(name, i): (10 * i, [b"SET", v]) for i, v in enumerate(values)})
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        if split:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        got = {(r["file"].rsplit("/", 1)[1], r["line"]): (r["seq"], [bytes(w) for w in r["argv"]]) for r in oplog.read_log(spark, path).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == made
+
+
+def test_written_log_files_stay_small(spark, monkeypatch):
+    """However long a log is, a file holds a bounded number of commands and none of them needs a sort to be read."""
+    monkeypatch.setattr(oplog, "FILE_COMMANDS", 5)
+    path = tempfile.mkdtemp(prefix="spark-log-") + "/log"
+    oplog.write_log(spark.range(43).select(F.col("id").alias("seq"), F.array(F.lit("SET"), F.lit("k"), F.lit("\r\n")).alias("argv")), path)
+    got = oplog.read_log(spark, path)
+    assert max(r["count"] for r in got.groupBy("file").count().collect()) <= 5
+    assert sorted(r["seq"] for r in got.collect()) == list(range(43))
+    assert files.small_files(spark, path).count() >= 9 and files.ordered_pieces(spark, path, "\r\n", above=True).count() == 0
