@@ -1067,11 +1067,13 @@ def fold_with_barriers(spark, d):
 
 @query(_FOLD_ALL)
 def replay_from_files(spark, d):
-    """A log in framed files, some of it in a snapshot on disk: both read and folded."""
+    """A log in framed files, some of it in a snapshot on disk: both read and folded. The log is parsed once, to a table that the fold reads."""
     log, folder = _whole_log(spark, d), scratch(spark, "replay")
     oplog.write_log(_framed(log), f"{folder}/log")
     oplog.write_snapshot(fold.fold_log(log.where("seq < 400")), f"{folder}/snapshot")
-    return fold.snapshot_and_log(oplog.read_snapshot(spark, f"{folder}/snapshot"), fold.commands_to_log(oplog.read_log(spark, f"{folder}/log")))
+    rows = fold.commands_to_log(oplog.read_log(spark, f"{folder}/log"))
+    rows.write.parquet(f"{folder}/rows")
+    return fold.snapshot_and_log(oplog.read_snapshot(spark, f"{folder}/snapshot"), spark.read.schema(rows.schema).parquet(f"{folder}/rows"))
 
 
 #: A log of commands on all types: what each event does, by its number.

@@ -487,3 +487,11 @@ def test_written_log_files_stay_small(spark, monkeypatch):
     assert max(r["count"] for r in got.groupBy("file").count().collect()) <= 5
     assert sorted(r["seq"] for r in got.collect()) == list(range(43))
     assert files.small_files(spark, path).count() >= 9 and files.ordered_pieces(spark, path, "\r\n", above=True).count() == 0
+
+
+def test_replay_from_files_parses_the_log_once(spark):
+    """The fold reads its rows several times, from a table and not from the log."""
+    from keyloom.plans.catalogue import QUERIES
+
+    plan = QUERIES["replay_from_files"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "op#" in plan
