@@ -85,13 +85,17 @@ def items(ops: DataFrame, kind: str) -> DataFrame:
 def replay(commands: DataFrame, path: str | None = None) -> dict[str, DataFrame]:
     """The state tables strings, hashes, sets, zsets, lists and sketches of commands (seq, argv).
 
-    ``path``: a fresh folder that executors share; the rows of the commands are written there once for all
-    tables, by kind, so that each table reads its own. Without it every table parses the log again.
+    ``path``: a fresh folder that executors share; the log is parsed once and the rows of its commands are written
+    there, then those that stand, by kind, so that each table reads its own. Without it every table parses the log again.
     """
-    ops = standing(operations(commands))
+    ops = operations(commands)
     if path is not None:
-        ops.write.partitionBy("kind").parquet(path)
-        ops = commands.sparkSession.read.schema(ops.schema).parquet(path)
+        ops.write.parquet(f"{path}/all")
+        ops = standing(commands.sparkSession.read.schema(ops.schema).parquet(f"{path}/all"))
+        ops.write.partitionBy("kind").parquet(f"{path}/standing")
+        ops = commands.sparkSession.read.schema(ops.schema).parquet(f"{path}/standing")
+    else:
+        ops = standing(ops)
     text = F.when(F.col("whole").isNull(), F.col("value")).otherwise((F.coalesce(parse_int(F.col("value")), F.lit(0)) + F.col("whole")).cast("string"))
     score = F.coalesce(parse_double(F.col("value")), F.lit(0.0)) + F.coalesce("added", F.lit(0.0))
     lists = ops.where("kind = 'list'").select("key", "op", F.col("value").alias("arg"), F.col("n").alias("seq"))

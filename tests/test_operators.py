@@ -495,3 +495,17 @@ def test_replay_from_files_parses_the_log_once(spark):
 
     plan = QUERIES["replay_from_files"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "op#" in plan
+
+
+def test_replay_with_a_folder_reads_the_commands_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    log = spark.createDataFrame([(i, ["SET", f"k{i % 5}", "v"]) for i in range(40)] + [(40, ["DEL", "k1"])], "seq long, argv array<string>").repartition(2)
+    tables = replay.replay(log.mapInArrow(counted, log.schema), tempfile.mkdtemp(prefix="spark-ops-") + "/ops")
+    assert {name: t.count() for name, t in tables.items()} == {"strings": 4, "hashes": 0, "sets": 0, "zsets": 0, "lists": 0, "sketches": 0}
+    assert read.value == 41
